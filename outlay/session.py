@@ -21,6 +21,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "out
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("OUTLAY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.streaming.metricsEnabled", "false")
         .getOrCreate()
     )
