@@ -259,8 +259,9 @@ def spend_by_period(daily: DataFrame, periods: DataFrame) -> DataFrame:
     """
     known = periods.agg(F.collect_list(F.struct("period", "start", "end")).alias("p")).scalar()
     d = F.col("transaction_date")
-    inside = F.filter(known, lambda p: (p["start"] <= d) & (d <= p["end"]))
-    rows = daily.select("net", "count", F.explode(F.transform(inside, lambda p: p["period"])).alias("period"))
+    inside = F.filter(F.col("_periods"), lambda p: (p["start"] <= d) & (d <= p["end"]))
+    rows = daily.withColumn("_periods", known)
+    rows = rows.select("net", "count", F.explode(F.transform(inside, lambda p: p["period"])).alias("period"))
     return rows.groupBy("period").agg(F.sum("net").alias("net"), F.sum("count").alias("count"))
 
 
