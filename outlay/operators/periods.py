@@ -1,12 +1,12 @@
 """Named periods as date expressions.
 
-Everything is a Column over (today, first data day, last data day): with known dates it folds to literals that
-prune partitions, with measured dates it stays a scalar subquery, and one row can hold all periods at once.
+Everything follows from one row: today, the first and the last data day.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,133 +73,176 @@ def custom_window(date_from: str | None, date_to: str | None, data_min: Column,
     return start, end, swapped
 
 
-def _plain(period: str, today, data_min, data_max, focus_month, date_from, date_to):
-    """(start, end, name, notes) before any move to the end of the data."""
-    month = cal.month_start(today)
-    yesterday = F.date_sub(month, 1)
-    none: list[Column] = []
+def _span(low: Column, high: Column) -> Column:
+    return F.concat(cal.day_text(low), F.lit(" – "), cal.day_text(high))
+
+
+@dataclass(frozen=True)
+class Ask:
+    """One period request; dates matter for custom and focus_month only."""
+
+    period: str
+    date_from: str | None = None
+    date_to: str | None = None
+    focus_month: date | None = None
+    key: str | None = None
+
+    def __post_init__(self):
+        if self.period not in PERIODS:
+            raise ValueError(f"unknown period {self.period!r}")
+
+
+def _asked(ask: Ask) -> tuple[Column, Column, str | None, Column]:
+    """(start, end, name, swapped) of a request while the data reaches today."""
+    period, month, quarter, today = ask.period, F.col("_month"), F.col("_quarter"), F.col("_today")
+    year, yesterday, no = F.trunc(today, "year"), F.date_sub(month, 1), F.lit(False)
     if period == "all":
-        return data_min, data_max, "all data", none
+        return F.col("_lo"), F.col("_hi"), "all data", no
     if period == "this_month":
-        return month, today, "month to date", none
+        return month, today, "month to date", no
     if period == "last_month":
-        return F.add_months(month, -1), yesterday, None, none
+        return F.add_months(month, -1), yesterday, None, no
     if period.endswith("_months"):
         count = int(period.split("_")[1])
-        return F.add_months(month, -count), yesterday, f"last {count} months", none
+        return F.add_months(month, -count), yesterday, f"last {count} months", no
     if period == "year_to_date":
-        return F.trunc(today, "year"), today, "year to date", none
+        return year, today, "year to date", no
     if period == "last_year":
-        year = F.trunc(today, "year")
-        return F.add_months(year, -12), F.date_sub(year, 1), None, none
-    quarter = cal.quarter_start(today)
+        return F.add_months(year, -12), F.date_sub(year, 1), None, no
     if period == "this_quarter":
-        return quarter, today, "quarter to date", none
+        return quarter, today, "quarter to date", no
     if period == "last_quarter":
-        return F.add_months(quarter, -3), F.date_sub(quarter, 1), "last quarter", none
+        return F.add_months(quarter, -3), F.date_sub(quarter, 1), "last quarter", no
     if period == "focus_month":
-        anchor = cal.date_from_text(F.lit(date_from)) if date_from else data_max
-        if not date_from and focus_month is not None:
-            anchor = cal.day(focus_month)
-        return cal.month_start(anchor), F.last_day(anchor), "focus month", none
-    start, end, swapped = custom_window(date_from, date_to, data_min, data_max)
-    low, high = F.greatest(start, data_min), F.least(end, data_max)
-    outside = ((start < data_min) | (end > data_max)) & (low <= high)
-    notes = [
-        F.when(swapped, F.lit("date_from was after date_to, so the dates were swapped.")),
-        F.when(
-            outside,
-            F.concat(F.lit("Custom dates were limited to the available data ("), _span(data_min, data_max), F.lit(").")),
-        ),
-    ]
-    return F.when(outside, low).otherwise(start), F.when(outside, high).otherwise(end), None, notes
+        anchor = F.col("_hi") if ask.focus_month is None else cal.day(ask.focus_month)
+        if ask.date_from:
+            anchor = cal.date_from_text(F.lit(ask.date_from))
+        return cal.month_start(anchor), F.last_day(anchor), "focus month", no
+    start, end, swapped = custom_window(ask.date_from, ask.date_to, F.col("_lo"), F.col("_hi"))
+    return start, end, None, swapped
 
 
-def _span(low: Column, high: Column) -> Column:
-    return F.concat(cal.day_text(low), F.lit(" – "), cal.day_text(high))
-
-
-def _moved(period: str, today, data_min, data_max):
+def _moved(period: str) -> tuple[Column, Column, Column, str | None]:
     """(possible, start, end, name) of a relative period that ends with the data."""
-    latest = latest_complete_month(data_min, data_max, today)
-    newest = cal.month_start(data_max)
-
-    def closing(month: Column) -> Column:
-        return F.when(month == latest, F.last_day(month)).otherwise(F.least(F.last_day(month), data_max))
-
-    yes = F.lit(True)
-    month = F.coalesce(latest, newest)
+    yes, hi, newest = F.lit(True), F.col("_hi"), F.col("_newest")
+    last, close, latest = F.col("_last"), F.col("_close"), F.col("_latest")
     if period == "this_month":
-        return yes, newest, closing(newest), "latest month with data"
+        whole = F.when(newest == latest, F.last_day(newest)).otherwise(F.least(F.last_day(newest), hi))
+        return yes, newest, whole, "latest month with data"
     if period == "last_month":
-        return yes, month, closing(month), None
+        return yes, last, close, None
     if period.endswith("_months"):
         count = int(period.split("_")[1])
-        return yes, F.add_months(month, 1 - count), closing(month), f"last {count} months"
+        return yes, F.add_months(last, 1 - count), close, f"last {count} months"
     if period == "year_to_date":
-        return yes, F.trunc(data_max, "year"), data_max, "year to date"
+        return yes, F.trunc(hi, "year"), hi, "year to date"
     if period == "this_quarter":
-        return yes, cal.quarter_start(data_max), data_max, "latest quarter with data"
-    last = F.add_months(latest, -(F.month(latest) % 3))
-    first = F.add_months(last, -2)
-    whole = is_complete(first, data_min, data_max, today) & is_complete(last, data_min, data_max, today)
-    return F.coalesce(whole, F.lit(False)), first, F.last_day(last), "last quarter"
+        return yes, cal.quarter_start(hi), hi, "latest quarter with data"
+    if period == "last_quarter":
+        return F.col("_quarter_is_whole"), F.col("_quarter_first"), F.last_day("_quarter_last"), "last quarter"
+    return F.lit(False), F.lit(None), F.lit(None), None
 
 
-def resolve(
-    period: str, today, data_min: Column, data_max: Column, focus_month=None, date_from=None, date_to=None
-) -> Period:
-    """Inclusive dates of a named period.
+def resolve(bounds: DataFrame, today, asks: list[Ask]) -> DataFrame:
+    """(key, period, start, end, label, notes) of every request, from a one-row (data_min, data_max) table.
 
-    "Last N months" are whole months before the current one; to-date periods end today. When the data stops
-    before this month, relative periods end with the data instead.
+    "Last N months" are whole months before the current one; to-date periods end today. When the data stops before
+    this month, relative periods end with the data instead. Each step is a projection over the one before, so the
+    shared dates are computed once and the rules below the requests once for all of them.
     """
-    if period not in PERIODS:
-        raise ValueError(f"unknown period {period!r}")
-    today = cal.day(today)
-    start, end, name, notes = _plain(period, today, data_min, data_max, focus_month, date_from, date_to)
-    label = _named(start, end, name)
-    if period in RELATIVE:
-        possible, to_start, to_end, to_name = _moved(period, today, data_min, data_max)
-        move = (data_max < cal.month_start(today)) & (end > data_max) & possible
-        label = F.when(move, _named(to_start, to_end, to_name)).otherwise(label)
-        words = period.replace("_", " ")
-        notes = notes + [
-            F.when(
-                move,
-                F.concat(
-                    F.lit("Data ends "), cal.day_text(data_max), F.lit(f"; '{words}' = "),
-                    cal.period_text(to_start, to_end), F.lit("."),
-                ),
-            )
-        ]
-        start = F.when(move, to_start).otherwise(start)
-        end = F.when(move, to_end).otherwise(end)
-    empty = (end < data_min) | (start > data_max)
-    notes = notes + [
-        F.when(
-            empty,
-            F.concat(
-                F.lit("No data in this period; available data covers "), _span(data_min, data_max), F.lit(".")
+    now = cal.day(today)
+    lo, hi = F.col("_lo"), F.col("_hi")
+    shared = bounds.select(
+        F.coalesce("data_min", now).alias("_lo"), F.coalesce("data_max", now).alias("_hi"), now.alias("_today")
+    ).withColumns({"_month": cal.month_start(F.col("_today")), "_quarter": cal.quarter_start(F.col("_today"))})
+    shared = shared.withColumns(
+        {"_newest": cal.month_start(hi), "_latest": latest_complete_month(lo, hi, F.col("_today"))}
+    )
+    shared = shared.withColumns(
+        {
+            "_last": F.coalesce("_latest", "_newest"),
+            "_quarter_last": F.add_months("_latest", -(F.month("_latest") % 3)),
+        }
+    ).withColumns(
+        {
+            "_close": F.when(F.col("_latest").isNotNull(), F.last_day("_last")).otherwise(
+                F.least(F.last_day("_last"), hi)
             ),
+            "_quarter_first": F.add_months("_quarter_last", -2),
+        }
+    )
+    whole = is_complete(F.col("_quarter_first"), lo, hi, F.col("_today")) & is_complete(
+        F.col("_quarter_last"), lo, hi, F.col("_today")
+    )
+    shared = shared.withColumn("_quarter_is_whole", F.coalesce(whole, F.lit(False)))
+
+    rows = []
+    for ask in asks:
+        start, end, name, swapped = _asked(ask)
+        possible, to_start, to_end, to_name = _moved(ask.period)
+        rows.append(
+            F.struct(
+                F.lit(ask.key or ask.period).alias("key"),
+                F.lit(ask.period).alias("period"),
+                start.cast("date").alias("start"),
+                end.cast("date").alias("end"),
+                F.lit(name).cast("string").alias("name"),
+                swapped.alias("swapped"),
+                possible.alias("possible"),
+                to_start.cast("date").alias("to_start"),
+                to_end.cast("date").alias("to_end"),
+                F.lit(to_name).cast("string").alias("to_name"),
+            )
         )
-    ]
-    if period != "all":
-        text = F.concat(
-            F.lit("Data currently ends "), cal.day_text(data_max), F.lit(", so this period is incomplete.")
-        )
-        notes.append(F.when(~empty & (end > data_max), text))
-    if period not in ("all", "custom"):
-        text = F.concat(
-            F.lit("Data starts "), cal.day_text(data_min), F.lit(", so the start of this period is partial.")
-        )
-        notes.append(F.when(~empty & (start < data_min), text))
-    return Period(start, end, label, F.array_compact(F.array(*notes)))
+    out = shared.select("_lo", "_hi", "_month", F.inline(F.array(*rows)))
+    custom = F.col("period") == "custom"
+    low, high = F.greatest("start", lo), F.least("end", hi)
+    out = out.withColumns(
+        {
+            "move": F.col("period").isin(*RELATIVE) & (hi < F.col("_month")) & (F.col("end") > hi) & F.col("possible"),
+            "limited": custom & ((F.col("start") < lo) | (F.col("end") > hi)) & (low <= high),
+        }
+    )
+    out = out.withColumns(
+        {
+            c: F.when(F.col("move"), F.col(f"to_{c}")).when(F.col("limited"), limit).otherwise(F.col(c))
+            for c, limit in (("start", low), ("end", high))
+        }
+        | {"name": F.when(F.col("move"), F.col("to_name")).otherwise(F.col("name"))}
+    )
+    out = out.withColumns(
+        {
+            "text": cal.period_text(F.col("start"), F.col("end")),
+            "empty": (F.col("end") < lo) | (F.col("start") > hi),
+            "data": _span(lo, hi),
+            "ends": cal.day_text(hi),
+        }
+    )
+    asked = F.regexp_replace("period", "_", " ")
+    measured = ~F.col("empty") & (F.col("period") != "all")
+    notes = [
+        (F.col("swapped"), [F.lit("date_from was after date_to, so the dates were swapped.")]),
+        (F.col("limited"), [F.lit("Custom dates were limited to the available data ("), F.col("data"), F.lit(").")]),
+        (F.col("move"), [F.lit("Data ends "), F.col("ends"), F.lit("; '"), asked, F.lit("' = "), F.col("text"), F.lit(".")]),
+        (F.col("empty"), [F.lit("No data in this period; available data covers "), F.col("data"), F.lit(".")]),
+        (measured & (F.col("end") > hi), [F.lit("Data currently ends "), F.col("ends"), F.lit(", so this period is incomplete.")]),
+        (
+            measured & ~custom & (F.col("start") < lo),
+            [F.lit("Data starts "), cal.day_text(lo), F.lit(", so the start of this period is partial.")],
+        ),
+    ]
+    return out.select(
+        "key",
+        "period",
+        "start",
+        "end",
+        F.concat("text", F.coalesce(F.concat(F.lit(" ("), "name", F.lit(")")), F.lit(""))).alias("label"),
+        F.array_compact(F.array(*[F.when(test, F.concat(*words)) for test, words in notes])).alias("notes"),
+    )
 
 
-def _named(start: Column, end: Column, name: str | None) -> Column:
-    text = cal.period_text(start, end)
-    return F.concat(text, F.lit(f" ({name})")) if name else text
+def _named(start: Column, end: Column, name: str) -> Column:
+    return F.concat(cal.period_text(start, end), F.lit(f" ({name})"))
 
 
 COMPARISONS = {"previous_period": "previous period", "same_period_last_year": "same period last year"}
@@ -234,21 +277,8 @@ def comparison(start: Column, end: Column, compare_to: str) -> Comparison:
 
 
 def all_periods(bounds: DataFrame, today, focus_month=None, date_from=None, date_to=None) -> DataFrame:
-    """Every named period, one row each, from a one-row (data_min, data_max) table."""
-    lo, hi = F.col("data_min"), F.col("data_max")
-    rows = []
-    for name in PERIODS:
-        p = resolve(name, today, lo, hi, focus_month, date_from, date_to)
-        rows.append(
-            F.struct(
-                F.lit(name).alias("period"),
-                p.start.cast("date").alias("start"),
-                p.end.cast("date").alias("end"),
-                p.label.alias("label"),
-                p.notes.alias("notes"),
-            )
-        )
-    return bounds.select(F.inline(F.array(*rows)))
+    """Every named period, one row each."""
+    return resolve(bounds, today, [Ask(name, date_from, date_to, focus_month) for name in PERIODS]).drop("key")
 
 
 def spend_by_period(daily: DataFrame, periods: DataFrame) -> DataFrame:

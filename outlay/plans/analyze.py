@@ -70,23 +70,16 @@ def resolved_period(frame: DataFrame, spec: AnalysisSpec, ctx: Context) -> tuple
     Two dates decide the whole plan, so they are read first (one row: the given data dates, or a min/max scan of
     one column). Literal dates let every later filter prune partitions and row groups.
     """
-    today = cal.day(ctx.today)
     if ctx.data_min and ctx.data_max:
-        row = frame.sparkSession.range(1).select(
+        bounds = frame.sparkSession.range(1).select(
             cal.day(ctx.data_min).alias("data_min"), cal.day(ctx.data_max).alias("data_max")
         )
     else:
-        row = frame.agg(
-            F.coalesce(F.min("transaction_date"), today).alias("data_min"),
-            F.coalesce(F.max("transaction_date"), today).alias("data_max"),
-        )
-    p = periods.resolve(
-        spec.period, ctx.today, F.col("data_min"), F.col("data_max"), ctx.focus_month, spec.date_from, spec.date_to
-    )
-    fixed = row.select(
-        p.start.cast("date").alias("start"), p.end.cast("date").alias("end"), p.label.alias("label"), p.notes.alias("notes")
-    ).first()
-    period = periods.Period(F.lit(fixed.start), F.lit(fixed.end), F.lit(fixed.label), F.array(*map(F.lit, fixed.notes)).cast("array<string>"))
+        bounds = frame.agg(F.min("transaction_date").alias("data_min"), F.max("transaction_date").alias("data_max"))
+    ask = periods.Ask(spec.period, spec.date_from, spec.date_to, ctx.focus_month)
+    found = periods.resolve(bounds, ctx.today, [ask]).first()
+    notes = F.array(*map(F.lit, found.notes)).cast("array<string>")
+    period = periods.Period(F.lit(found.start), F.lit(found.end), F.lit(found.label), notes)
     if spec.compare_to == "none":
         return period, None
     c = periods.comparison(period.start, period.end, spec.compare_to)

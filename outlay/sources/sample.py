@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 from outlay.operators.gold import fact_transactions
 from outlay.sources.tables import analysis_frame
 
+RAW_CATEGORIES = (
+    "Groceries", "Restaurant-Restaurants", "Transportation-Airlines", "Travel", "Bills & Utilities", "Personal",
+    "Merchandise & Supplies-Pharmacies", "Merchandise & Supplies-Internet Purchase", "Shopping",
+    "Entertainment-General", "Business Services-Office Supplies", "Education", "Other-Charities", "Automotive-Fuel",
+    "Health & Wellness", "Gas",
+)
+_LIST = ", ".join(f"'{c}'" for c in RAW_CATEGORIES)
 CARD_LINES = """
 SELECT CASE WHEN l_linestatus = 'O' THEN 'Amex' ELSE 'Chase' END AS issuer,
   CAST(l_shipdate AS DATE) AS transaction_date,
@@ -22,13 +29,8 @@ SELECT CASE WHEN l_linestatus = 'O' THEN 'Amex' ELSE 'Chase' END AS issuer,
        ELSE -l_extendedprice END AS DECIMAL(18,2)) AS amount,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'Payment' WHEN l_returnflag = 'R' THEN 'Return'
        WHEN l_returnflag = 'A' THEN 'Adjustment' ELSE 'Sale' END AS transaction_type,
-  CASE WHEN o_orderpriority = '5-LOW' THEN 'Payment' ELSE CASE p_partkey % 16
-    WHEN 0 THEN 'Groceries' WHEN 1 THEN 'Restaurant-Restaurants' WHEN 2 THEN 'Transportation-Airlines'
-    WHEN 3 THEN 'Travel' WHEN 4 THEN 'Bills & Utilities' WHEN 5 THEN 'Personal'
-    WHEN 6 THEN 'Merchandise & Supplies-Pharmacies' WHEN 7 THEN 'Merchandise & Supplies-Internet Purchase'
-    WHEN 8 THEN 'Shopping' WHEN 9 THEN 'Entertainment-General' WHEN 10 THEN 'Business Services-Office Supplies'
-    WHEN 11 THEN 'Education' WHEN 12 THEN 'Other-Charities' WHEN 13 THEN 'Automotive-Fuel'
-    WHEN 14 THEN 'Health & Wellness' ELSE 'Gas' END END AS raw_category,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'Payment' ELSE element_at({categories}, CAST(p_partkey % 16 + 1 AS INT))
+  END AS raw_category,
   l_linenumber AS line_no, CAST(l_quantity AS INT) AS quantity
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
 """
@@ -148,7 +150,7 @@ TABLES = (
 
 def check_sql(text: str) -> str:
     """A binding text with plain table names."""
-    return text.format(**{t: t for t in TABLES})
+    return text.format(categories=f"[{_LIST}]", **{t: t for t in TABLES}).replace("element_at(", "list_extract(")
 
 
 class Sample:
@@ -162,7 +164,7 @@ class Sample:
 
     def bind(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
-        return self.spark.sql(text, **used)
+        return self.spark.sql(text.replace("{categories}", f"array({_LIST})"), **used)
 
     @cached_property
     def transactions(self) -> DataFrame:
