@@ -107,7 +107,7 @@ def percent_text(percent: Column, direction: Column) -> Column:
         .when(F.abs(percent) < 0.005, F.lit("0.00% (no change)"))
         .otherwise(
             F.concat(
-                F.format_number(F.abs(percent), "0.00"),
+                F.format_string("%.2f", F.abs(percent).cast("double")),
                 F.when(percent > 0, F.lit("% increase")).otherwise(F.lit("% decrease")),
             )
         )
@@ -133,29 +133,27 @@ def amounts_in_text(text: Column | str) -> Column:
 def suggested_cap(
     current: Column, previous: Column, has_previous: Column, target, shortfall: Column, eligible: Column
 ) -> tuple[Column, Column]:
-    """(cap, reason) for one discretionary category: share the shortfall, else hold at last month's spend."""
-    goal = lit_or_col(target).cast("decimal(38,2)")
-    cut = F.least(current, ratio_exact(shortfall * current, eligible))
-    held = has_previous & (current > previous) & (previous > 0)
-    cap = (
-        F.when(goal.isNull() | (current <= 0), F.lit(None).cast("double"))
-        .when(shortfall > 0, F.round(F.greatest(F.lit(0), current - cut), 2).cast("double"))
-        .when(held, previous.cast("double"))
-        .otherwise(current.cast("double"))
-    )
-    reason = (
-        F.when(goal.isNull(), F.lit("No numeric savings target is configured."))
-        .when(current <= 0, F.lit("No positive current discretionary spend to cap."))
-        .when(shortfall > 0, F.lit("Proportional share of the savings shortfall."))
-        .when(held, F.lit("Spending increased; capped at previous-month spend."))
-        .otherwise(F.lit("Savings target met; maintain current spend."))
-    )
-    return cap, reason
+    """(cap, reason) for one discretionary category: share the shortfall, else hold at last month's spend.
 
+    All amounts carry two decimals; the share is exact whole-number arithmetic in cents.
+    """
+    goal = lit_or_col(target).cast("decimal(20,2)")
+
+    def cents(x: Column) -> Column:
+        return (x.cast("decimal(24,2)") * 100).cast(WHOLE)
 
-def ratio_exact(top: Column, bottom: Column, places: int = 6) -> Column:
-    """``top / bottom`` as a decimal with ``places`` exact digits; null when the divisor is 0."""
-    up = F.lit(10**4).cast(WHOLE)
-    t = (top.cast("decimal(38,4)") * up).cast(WHOLE) * F.lit(10**places).cast(WHOLE)
-    b = (bottom.cast("decimal(38,4)") * up).cast(WHOLE)
-    return (whole_ratio(t, b).cast("decimal(38,6)") / F.lit(10**places)).cast(f"decimal(30,{places})")
+    left = F.greatest(F.lit(0).cast(WHOLE), cents(eligible) - cents(shortfall))
+    shared = (whole_ratio(cents(current) * left, cents(eligible)).cast("decimal(24,2)") / 100).cast("decimal(24,2)")
+    held = has_previous & (current > previous) & (previous > 0)
+    money = "decimal(24,2)"
+    rules = [
+        (goal.isNull(), F.lit(None).cast(money), "No numeric savings target is configured."),
+        (current <= 0, F.lit(None).cast(money), "No positive current discretionary spend to cap."),
+        (shortfall > 0, shared, "Proportional share of the savings shortfall."),
+        (held, previous.cast(money), "Spending increased; capped at previous-month spend."),
+        (F.lit(True), current.cast(money), "Savings target met; maintain current spend."),
+    ]
+    cap = reason = F
+    for test, amount, words in rules:
+        cap, reason = cap.when(test, amount), reason.when(test, F.lit(words))
+    return cap, reason

@@ -194,7 +194,7 @@ def resolve(bounds: DataFrame, today, asks: list[Ask]) -> DataFrame:
                 F.lit(to_name).cast("string").alias("to_name"),
             )
         )
-    out = shared.select("_lo", "_hi", "_month", F.inline(F.array(*rows)))
+    out = shared.select("_lo", "_hi", "_month", "_newest", "_latest", F.inline(F.array(*rows)))
     custom = F.col("period") == "custom"
     low, high = F.greatest("start", lo), F.least("end", hi)
     out = out.withColumns(
@@ -219,11 +219,12 @@ def resolve(bounds: DataFrame, today, asks: list[Ask]) -> DataFrame:
         }
     )
     asked = F.regexp_replace("period", "_", " ")
+    moved_to = _moved_text(F.col("period"), F.col("start"), F.col("end"), F.col("_newest"), F.col("_latest"))
     measured = ~F.col("empty") & (F.col("period") != "all")
     notes = [
         (F.col("swapped"), [F.lit("date_from was after date_to, so the dates were swapped.")]),
         (F.col("limited"), [F.lit("Custom dates were limited to the available data ("), F.col("data"), F.lit(").")]),
-        (F.col("move"), [F.lit("Data ends "), F.col("ends"), F.lit("; '"), asked, F.lit("' = "), F.col("text"), F.lit(".")]),
+        (F.col("move"), [F.lit("Data ends "), F.col("ends"), F.lit("; '"), asked, F.lit("' = "), moved_to, F.lit(".")]),
         (F.col("empty"), [F.lit("No data in this period; available data covers "), F.col("data"), F.lit(".")]),
         (measured & (F.col("end") > hi), [F.lit("Data currently ends "), F.col("ends"), F.lit(", so this period is incomplete.")]),
         (
@@ -241,6 +242,39 @@ def resolve(bounds: DataFrame, today, asks: list[Ask]) -> DataFrame:
     )
 
 
+def _moved_text(period: Column, start: Column, end: Column, newest: Column, latest: Column) -> Column:
+    """What a moved period became, for its note."""
+    month = F.date_format(start, "MMM yyyy")
+    known = latest.isNotNull()
+    whole = F.coalesce(newest == latest, F.lit(False))
+    months = F.when(end == F.last_day(end), cal.period_text(start, end)).otherwise(
+        F.concat(month, F.lit("–"), cal.day_text(end))
+    )
+    closing = F.when(known, F.lit(" (ending with the latest complete month)")).otherwise(
+        F.lit(" (no complete month yet)")
+    )
+    state = F.when(known, F.lit(" (the latest complete month)")).otherwise(
+        F.lit(" (partial; no complete month yet)")
+    )
+    return (
+        F.when(
+            period == "this_month",
+            F.concat(month, F.when(whole, F.lit(" (complete)")).otherwise(F.lit(" (partial)"))),
+        )
+        .when(period == "last_month", F.concat(month, state))
+        .when(period == "year_to_date", F.concat(F.lit("Jan 1 – "), cal.day_text(end)))
+        .when(period == "this_quarter", F.concat(cal.day_text(start), F.lit(" – "), cal.day_text(end), F.lit(" (partial)")))
+        .when(
+            period == "last_quarter",
+            F.concat(
+                F.date_format(start, "MMM"), F.lit("–"), F.date_format(end, "MMM yyyy"),
+                F.lit(" (the latest complete quarter)"),
+            ),
+        )
+        .otherwise(F.concat(months, closing))
+    )
+
+
 def _named(start: Column, end: Column, name: str) -> Column:
     return F.concat(cal.period_text(start, end), F.lit(f" ({name})"))
 

@@ -4,7 +4,9 @@ from outlay.queries import base
 
 
 def load_all() -> None:
-    from outlay.queries import analysis, costs, evidence, gold, retrieval, runs, scalars, silver, streams  # noqa: F401
+    from outlay.queries import (  # noqa: F401
+        analysis, costs, evidence, gold, plans, retrieval, runs, scalars, silver, streams,
+    )
 
 
 def registry():
