@@ -65,7 +65,7 @@ def bm25(facts: DataFrame, query: str, limit: int = 20, k1: float = K1, b: float
     if not terms or limit <= 0:
         docs = docs.where("false")
     corpus = corpus_statistics(docs)
-    found = docs.where(F.size("_hits") > 0).withColumn("_c", corpus.select(F.struct("*").alias("c")).scalar())
+    found = docs.withColumn("_c", corpus.select(F.struct("*").alias("c")).scalar())
     found = found.withColumns(
         {
             "_n": F.col("_c.documents"),
@@ -82,11 +82,14 @@ def bm25(facts: DataFrame, query: str, limit: int = 20, k1: float = K1, b: float
         return idf * (tf * (k1 + 1) / (tf + F.col("_norm")))
 
     score = F.aggregate(F.transform("matched_terms", part), F.lit(0.0), lambda acc, x: acc + x)
+    # Facts without a hit sort last and go after the limit: a filter before it would be pushed below the tokenizing
+    # projection and tokenize every text twice.
     return (
-        found.withColumn("bm25_score", score)
+        found.withColumn("bm25_score", F.when(F.size("matched_terms") > 0, score))
         .select(*[c for c in FACT_COLUMNS if c in facts.columns], "bm25_score", "matched_terms")
-        .orderBy(F.desc("bm25_score"), F.desc("weight"), F.desc("updated_at"), "id")
+        .orderBy(F.desc_nulls_last("bm25_score"), F.desc("weight"), F.desc("updated_at"), "id")
         .limit(max(0, limit))
+        .where(F.col("bm25_score").isNotNull())
     )
 
 

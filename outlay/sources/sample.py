@@ -53,7 +53,9 @@ RAW_LINES = (
 TRACE = """
 SELECT CONCAT('run-', CAST(user_id AS STRING)) AS run_id, event_id, ts,
   CASE event_type WHEN 'click' THEN 'model_call' WHEN 'view' THEN 'model_response' WHEN 'error' THEN
-    'model_call_failed' WHEN 'purchase' THEN 'tool_call' ELSE 'validation_progress' END AS event,
+    'model_call_failed' WHEN 'purchase' THEN CASE event_id % 5 WHEN 0 THEN 'agent_round' WHEN 1 THEN 'tool_error'
+    ELSE 'tool_call' END WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'validation_progress'
+    ELSE 'validation_cycle_result' END END AS event,
   CASE WHEN event_id % 3 = 0 THEN 'validator' ELSE 'author' END AS role,
   CAST(value AS DECIMAL(12,2)) AS elapsed_seconds,
   CASE WHEN event_type IN ('view', 'error') AND event_id % 5 <> 0
@@ -85,12 +87,12 @@ FROM {events} WHERE event_type IN ('view', 'error')
 
 # Review findings: suppliers are runs, line numbers are review cycles, items are findings.
 FINDINGS = """
-SELECT l_suppkey AS run_id, l_linenumber AS cycle, l_orderkey AS order_no, l_partkey AS part_no,
+SELECT l_suppkey AS run_id, l_linenumber AS cycle, l_orderkey * 100000000 + CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS position,
   CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'note' END AS severity,
   CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 'arithmetic' WHEN 1 THEN 'completeness' WHEN 2 THEN 'evidence'
     WHEN 3 THEN 'history' WHEN 4 THEN 'policy' WHEN 5 THEN 'html' WHEN 6 THEN 'usability'
     WHEN 7 THEN 'visual_design' WHEN 8 THEN 'tone' END AS category,
-  CONCAT('The ', p_name, ' total: shortfall, ', p_type, ' & Travel or Gas.') AS message
+  CONCAT('The ', p_name, ' total: ', CASE WHEN l_tax > 0.04 THEN 'shortfall, Food & Drink' ELSE 'mom, Travel or gas' END, '.') AS message
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
