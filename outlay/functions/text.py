@@ -90,5 +90,5 @@ def markup_problem(html: Column | str, require_label: bool = False, max_bytes: i
 
 
 def mentions(text: Column | str, phrase: str) -> Column:
-    """Whether a phrase occurs in a text as whole words."""
-    return col(text).rlike(r"(?U)(?<!\w)\Q" + phrase + r"\E(?!\w)")
+    """Whether a phrase occurs in a text as whole words. The cheap test first: most texts fail it."""
+    return col(text).contains(phrase) & col(text).rlike(r"(?U)(?<!\w)\Q" + phrase + r"\E(?!\w)")

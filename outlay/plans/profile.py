@@ -21,25 +21,38 @@ TOP_VALUES = 5
 def value_counts(frame: DataFrame) -> DataFrame:
     """(dimension, value, n, gross) of analyzed rows for all nine dimensions.
 
-    Rows are first summed per combination of categorical values and day, so the nine-fold expansion works on that
-    much smaller table, not on the facts.
+    A row counts once per categorical dimension and once for its day, summed map-side, so only distinct labels are
+    shuffled; the five calendar dimensions then follow from the day totals.
     """
+    d = F.col("transaction_date")
     rows = frame.where(is_analyzed())
-    days = rows.groupBy(*CATEGORICAL, "transaction_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(outflow()).alias("gross")
+    first = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL]
+    first.append(F.struct(F.lit("day").alias("dimension"), d.cast("string").alias("value")))
+    sums = rows.select(outflow().alias("gross"), F.inline(F.array(*first))).groupBy("dimension", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gross").alias("gross")
     )
-    d = F.col("transaction_date")
-    pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL]
-    pairs += [
-        F.struct(F.lit(c).alias("dimension"), cal.dimension_label(c, d).cast("string").alias("value"))
-        for c in DIMENSIONS
-        if c not in CATEGORICAL
-    ]
-    return days.select("n", "gross", F.inline(F.array(*pairs))).groupBy("dimension", "value").agg(
+    day = F.col("value").try_cast("date")
+    calendar = F.array(
+        *[
+            F.struct(F.lit(c).alias("dimension"), cal.dimension_label(c, day).cast("string").alias("value"))
+            for c in DIMENSIONS
+            if c not in CATEGORICAL
+        ]
+    )
+    own = F.array(F.struct("dimension", "value"))
+    spread = F.when(F.col("dimension") == "day", calendar).otherwise(own)
+    return sums.select("n", "gross", F.inline(spread)).groupBy("dimension", "value").agg(
         F.sum("n").alias("n"), F.sum("gross").alias("gross")
     )
 
 
+def distinct_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many different values each column of the analyzed rows has."""
+    labels = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    seen = frame.where(is_analyzed()).select(F.inline(labels)).distinct()
+    return seen.agg(*[F.count_if((F.col("c") == c) & F.col("v").isNotNull()).alias(c) for c in columns])
+
+
 def value_stats(counts: DataFrame) -> DataFrame:
     """Per dimension: distinct values, median and least rows per value, and what the ten largest cover.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from outlay.functions.categories import is_analyzed
 from outlay.operators import filters, periods, series
 from outlay.plans.analyze import Context, analyze, display_table, matrix
+from outlay.plans.profile import distinct_counts
 from outlay.plans.spec import AnalysisSpec
 from outlay.queries.base import LATE_TODAY, TODAY, percent, query, with_
 
@@ -456,12 +457,8 @@ def positive(s):
     "count(DISTINCT transaction_date) AS days FROM spend",
 )
 def distinct_values(s):
-    # Two-step distinct counts: one pass to distinct triples would not shrink, so each count keeps its own set.
-    return s.frame.where(is_analyzed()).agg(
-        F.count_distinct("merchant").alias("merchants"),
-        F.count_distinct("category").alias("categories"),
-        F.count_distinct("transaction_date").alias("days"),
-    )
+    row = distinct_counts(s.frame, ["merchant", "category", "transaction_date"])
+    return row.toDF("merchants", "categories", "days")
 
 
 _TOTAL = "CAST(sum(spend) AS DOUBLE)"

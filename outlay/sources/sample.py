@@ -102,8 +102,8 @@ SELECT CONCAT('run-', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 9 = 0 T
   o_orderkey % 4 <> 1 AS has_metrics, o_orderkey % 7 <> 2 AS has_progress,
   CASE WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'F' THEN 'validated' ELSE 'failed' END AS status,
   o_orderdate AS started_at,
-  CAST(o_totalprice / 1000 AS DECIMAL(12,1)) AS elapsed_seconds,
-  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice / 100000 AS DECIMAL(12,4)) END AS cost_usd,
+  CAST(o_custkey % 10007 / 10 AS DECIMAL(12,1)) AS elapsed_seconds,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice / 100 AS DECIMAL(12,4)) END AS cost_usd,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CONCAT('model-', CAST(o_custkey % 6 AS STRING)) END AS model,
   CASE WHEN o_orderkey % 2 = 0 THEN 'alpha' ELSE '' END AS provider,
   CONCAT('model-', CAST(o_custkey % 4 AS STRING)) AS progress_model,
