@@ -71,20 +71,15 @@ def neighbours(df: DataFrame, keys: list[str], bucket: str, order: list[str], pa
 
 
 def repeat_rows(df: DataFrame, times: str, block: int = COPY_BLOCK) -> DataFrame:
-    """Each row ``times`` times. A row with very many copies is cut into blocks that are spread before expanding."""
-    small = df.where(F.col(times) <= block)
-    pieces = F.sequence(F.lit(0), F.call_function("div", F.col(times) - 1, F.lit(block)))
-    large = (
-        df.where(F.col(times) > block)
-        .withColumn("_piece", F.explode(pieces))
-        .withColumn(times, F.least(F.lit(block), F.col(times) - F.col("_piece") * block))
-        .repartition("_piece")
-        .drop("_piece")
-    )
-    both = small.unionByName(large)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long")))).drop(
-        "_copy", times
-    )
+    """Each row ``times`` times. Copies are cut into blocks that are spread before expanding, so no task writes out
+    one row's copies alone. Meant for tables that hold counts instead of copies, which are small."""
+    columns = [c for c in df.columns if c != times]
+    n = F.col(times).cast("long")
+    pieces = F.sequence(F.lit(0).cast("long"), F.call_function("div", n - 1, F.lit(block)))
+    spread = df.where(n > 0).select(*df.columns, F.explode(pieces).alias("_piece"))
+    spread = spread.withColumn("_size", F.least(F.lit(block).cast("long"), n - F.col("_piece") * block))
+    spread = spread.repartition(*columns, "_piece")
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size")))).select(*columns)
 
 
 def keep_largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFrame:
@@ -113,5 +108,5 @@ def keep_largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFram
         "_before", F.lit(0)
     )
     kept = numbered.withColumn("_times", F.least(F.col("_times"), F.col("_before") + F.col("_times") - F.col("_covered")))
-    partial = repeat_rows(kept.where("_times > 0").select(*rows.columns, "_times"), "_times")
+    partial = repeat_rows(kept.select(*rows.columns, "_times"), "_times")
     return untouched.unionByName(partial)

@@ -40,14 +40,14 @@ TRANSACTIONS = (
 )
 
 # Exports: f1 holds every line, f2 lines 1-3 again, f3 line 1 twice. Payments have no category; one line in fifty
-# has no date and one in fifty a bad amount.
+# has no date and one in fifty a bad amount. {files} names the files a line goes to, written for each engine.
 RAW_LINES = (
-    "SELECT c.*, f.file_name, CASE WHEN quantity = 50 THEN NULL ELSE transaction_date END AS export_date, "
-    "CASE WHEN quantity = 1 THEN NULL ELSE amount END AS export_amount FROM ("
+    "SELECT c.*, CASE WHEN quantity = 50 THEN NULL ELSE transaction_date END AS export_date, "
+    "CASE WHEN quantity = 1 THEN NULL ELSE amount END AS export_amount, {files} AS file_name FROM ("
     + CARD_LINES
-    + """) c JOIN (SELECT 'f1' AS file_name, 7 AS upto, 1 AS copies UNION ALL SELECT 'f2', 3, 1
-      UNION ALL SELECT 'f3', 1, 1 UNION ALL SELECT 'f3', 1, 2) f ON line_no <= f.upto"""
+    + ") c"
 )
+FILES = "CASE WHEN line_no = 1 THEN {0}'f1', 'f2', 'f3', 'f3'{1} WHEN line_no <= 3 THEN {0}'f1', 'f2'{1} ELSE {0}'f1'{1} END"
 
 # Traces: one run per user, events in time order, five event kinds.
 TRACE = """
@@ -152,7 +152,9 @@ TABLES = (
 
 def check_sql(text: str) -> str:
     """A binding text with plain table names."""
-    return text.format(categories=f"[{_LIST}]", **{t: t for t in TABLES}).replace("element_at(", "list_extract(")
+    files = "unnest(" + FILES.format("[", "]") + ")"
+    filled = text.format(categories=f"[{_LIST}]", files=files, **{t: t for t in TABLES})
+    return filled.replace("element_at(", "list_extract(")
 
 
 class Sample:
@@ -166,7 +168,9 @@ class Sample:
 
     def bind(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
-        return self.spark.sql(text.replace("{categories}", f"array({_LIST})"), **used)
+        files = "explode(" + FILES.format("array(", ")") + ")"
+        text = text.replace("{categories}", f"array({_LIST})").replace("{files}", files)
+        return self.spark.sql(text, **used)
 
     @cached_property
     def transactions(self) -> DataFrame:
