@@ -33,7 +33,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     The number is increasing inside one split, and splits of a file are told apart by their offset, so (block, line)
     orders a file's lines however the splits were scheduled.
     """
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -90,10 +90,8 @@ def read_ledger(spark: SparkSession, path: str, fields: dict[str, str] = LEDGER_
 def read_documents(spark: SparkSession, root: str, name: str, fields: dict[str, str]) -> DataFrame:
     """One JSON document per run folder (run.json, metrics.json, progress.json); unreadable ones are left out."""
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name)
-        .text(root)
+        spark.read.option("pathGlobFilter", name)
+        .text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     rows = raw.withColumn("_v", _object(F.col("value"))).where(F.col("_v").isNotNull())
@@ -110,9 +108,8 @@ def list_documents(
     ``limit`` counts files before unreadable ones are left out.
     """
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(folder, wholetext=True)
         .select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
     )
     if newest_by is None and limit is not None:
