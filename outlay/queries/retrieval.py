@@ -49,8 +49,9 @@ _TOKENS = f"""q AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(low
   tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS t FROM tok) SEMI JOIN q USING (t) GROUP BY ALL),
   df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
   c AS (SELECT count(*) AS n, sum(n) AS total FROM len)"""
-_BM25 = f"""{_TOKENS}, scored AS (SELECT tf.doc_id, sum(ln(1 + (c.n - df.df + 0.5) / (df.df + 0.5)) *
-    (tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * len.n / (c.total / c.n))))) AS score,
+# Parts are added in term order, so equal texts tie in both engines.
+_BM25 = f"""{_TOKENS}, scored AS (SELECT tf.doc_id, list_reduce(list(ln(1 + (c.n - df.df + 0.5) / (df.df + 0.5)) *
+    (tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * len.n / (c.total / c.n)))) ORDER BY tf.t), lambda x, y: x + y) AS score,
     string_agg(tf.t, ' ' ORDER BY tf.t) AS terms FROM tf JOIN df USING (t) JOIN len USING (doc_id), c GROUP BY 1)"""
 
 
