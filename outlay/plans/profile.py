@@ -58,8 +58,9 @@ def value_stats(counts: DataFrame) -> DataFrame:
 
     ``row_number <= 10`` lets the planner drop all but ten rows per dimension before the shuffle.
     """
-    by_n = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
-    by_gross = Window.partitionBy("dimension").orderBy(F.desc("gross"), "value")
+    # Both orders read both sums, so the three branches have the same input and share its shuffle.
+    by_n = Window.partitionBy("dimension").orderBy(F.desc("n"), F.desc("gross"), "value")
+    by_gross = Window.partitionBy("dimension").orderBy(F.desc("gross"), F.desc("n"), "value")
     frequent = counts.withColumn("r", F.row_number().over(by_n)).where("r <= 10").groupBy("dimension").agg(
         F.sum("n").alias("top_n"),
         F.array_sort(F.collect_list(F.when(F.col("r") <= TOP_VALUES, F.struct("r", "value")))).alias("v"),

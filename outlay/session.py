@@ -18,6 +18,8 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "out
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Stages whose fused method the JVM would not compile run unfused instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("OUTLAY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
