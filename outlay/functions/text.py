@@ -14,7 +14,7 @@ STOP_WORDS = (
     "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to",
     "was", "what", "when", "where", "which", "with", "would", "user",
 )
-TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}]{2,}"
 
 # Elements that may not appear in a report, and the patterns that remove them.
 UNSAFE_TAGS = "script|iframe|object|embed|form|input|link|meta"
@@ -31,7 +31,7 @@ LOOKS_LIKE_HTML = r"(?i)<\s*(html|body|style|div|table)\b"
 def search_tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits, longer than one character, stop words out; repeats are kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
 def clip(text: Column | str, limit: int) -> Column:

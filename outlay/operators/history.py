@@ -122,8 +122,11 @@ def needing_embedding(facts: DataFrame, model: str, limit: int = 1000) -> DataFr
 
 
 def set_embeddings(facts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Replace vector and model where ``vectors`` (fact_key, embedding, embedding_model) has the key; nothing else."""
-    new = vectors.select(
+    """Replace vector and model where ``vectors`` (fact_key, embedding, embedding_model) has the key; nothing else.
+
+    One vector per key; with several, one of them is taken.
+    """
+    new = vectors.dropDuplicates(["fact_key"]).select(
         "fact_key", F.col("embedding").alias("_e"), F.col("embedding_model").alias("_m"), F.lit(True).alias("_hit")
     )
     joined = facts.join(new, "fact_key", "left")

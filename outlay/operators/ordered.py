@@ -70,6 +70,20 @@ def neighbours(df: DataFrame, keys: list[str], bucket: str, order: list[str], pa
     )
 
 
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the place of a row, from 1, among the rows of its keys in ``order``.
+
+    ``bucket`` must never fall as ``order`` rises within a key; only sizes of buckets are added up across it.
+    """
+    work = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = work.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    placed = work.withColumn("_place", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"])
+    return placed.withColumn(out, F.col("_offset") + F.col("_place")).drop("_bucket", "_place", "_offset")
+
+
 def repeat_rows(df: DataFrame, times: str, block: int = COPY_BLOCK) -> DataFrame:
     """Each row ``times`` times. Copies are cut into blocks that are spread before expanding, so no task writes out
     one row's copies alone. Meant for tables that hold counts instead of copies, which are small."""

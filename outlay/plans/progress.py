@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from outlay.functions.categories import CATEGORY_NAMES
 from outlay.functions.text import finding_key, finding_label, mentions
+from outlay.operators.ordered import numbered
 
 # Order in which findings are fixed, how many at once, and phrases that point at a snapshot value.
 PRIORITY = ("arithmetic", "completeness", "evidence", "history", "policy", "html", "usability", "visual_design")
 MAX_FOCUSED = 3
 MAX_RESOLVED = 10
+PIECE = 10_000
 FIELD_HINTS = (
     ("disposable_cash", ("disposable", "projected savings")),
     ("remaining_gap_after_cuts", ("remaining gap", "remaining_gap")),
@@ -29,6 +31,11 @@ FIELD_HINTS = (
 CYCLE = ["run_id", "cycle"]
 
 
+def _piece() -> Column:
+    """Stretches of a review's findings that one task can hold, however long the review."""
+    return F.floor(F.col("position") / PIECE)
+
+
 def _errors(findings: DataFrame) -> DataFrame:
     rows = findings.where(F.lower("severity") == "error")
     return rows.withColumns(
@@ -116,8 +123,7 @@ def unchanged_errors(findings: DataFrame) -> DataFrame:
     ``findings`` has ``position``, the place of a finding in its review.
     """
     rows = findings.where(F.coalesce("severity", F.lit("error")) == "error")
-    place = Window.partitionBy(*CYCLE).orderBy("position")
-    rows = rows.select(*CYCLE, F.row_number().over(place).alias("place"), "category", "message")
+    rows = numbered(rows, CYCLE, _piece(), ["position"], "place").select(*CYCLE, "place", "category", "message")
     before = rows.select("run_id", (F.col("cycle") + 1).alias("cycle"), "place", F.col("category").alias("c"), F.col("message").alias("m"))
     joined = rows.join(before, [*CYCLE, "place"], "full_outer")
     same = F.col("category").eqNullSafe(F.col("c")) & F.col("message").eqNullSafe(F.col("m"))
@@ -156,10 +162,11 @@ def focused_errors(findings: DataFrame, most: int | None = MAX_FOCUSED) -> DataF
     table = F.create_map(*[x for i, name in enumerate(PRIORITY) for x in (F.lit(name), F.lit(i))])
     rank = F.coalesce(F.try_element_at(table, F.col("category")), F.lit(len(PRIORITY)))
     errors = findings.where(F.lower("severity") == "error").withColumn("priority", rank)
-    order = Window.partitionBy(*CYCLE).orderBy("priority", "position")
-    chosen = errors.withColumn("place", F.row_number().over(order))
-    if most is not None:
-        chosen = chosen.where(F.col("place") <= most)
+    if most is None:
+        chosen = numbered(errors, CYCLE, F.struct("priority", _piece()), ["priority", "position"], "place")
+    else:
+        order = Window.partitionBy(*CYCLE).orderBy("priority", "position")
+        chosen = errors.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     sizes = errors.groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("_all"))
     limit = F.col("_all") if most is None else F.least(F.col("_all"), F.lit(most))
     return chosen.join(sizes, CYCLE).withColumn("remaining", F.col("_all") - limit).drop("_all", "priority")

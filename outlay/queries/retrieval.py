@@ -150,7 +150,7 @@ _CHUNKS = """WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(text, '[\\s
     SELECT doc_id, no + 1, a2, CASE WHEN total <= a2 + 900 THEN total ELSE
       CASE WHEN strpos(reverse(t[a2 + 451:a2 + 900]), ' ') > 0 THEN a2 + 900 - strpos(reverse(t[a2 + 451:a2 + 900]), ' ') ELSE a2 + 900 END END
     FROM (SELECT w.doc_id, w.no, n.t, n.total, greatest(w.a + 1, w.b - 120) AS a2 FROM w JOIN n USING (doc_id) WHERE w.b < n.total))
-  SELECT doc_id, no AS passage_no, trim(t[a + 1:b]) AS passage FROM w JOIN n USING (doc_id)"""
+  SELECT doc_id, CAST(no AS BIGINT) AS passage_no, trim(t[a + 1:b]) AS passage FROM w JOIN n USING (doc_id)"""
 
 
 @query("f27_x11_passages", _CHUNKS)
@@ -367,7 +367,7 @@ def backfill(s):
 # ----- number claims -----
 
 # One row per number in the sentence: exact total, thousands, percent, whole total, customer number.
-_CLAIMS = with_("narratives", "known") + """, c AS (SELECT o_orderkey AS report_id, unnest([0, 1, 2, 3, 4]) AS position,
+_CLAIMS = with_("narratives", "known") + """, c AS (SELECT o_orderkey AS report_id, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS position,
     unnest([CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE), CAST(CAST(o_totalprice / 1000 AS DECIMAL(18,1)) AS DOUBLE) * 1000,
       CAST(CAST(o_totalprice AS DECIMAL(18,0)) AS DOUBLE), CAST(o_custkey AS DOUBLE), CAST(CAST(o_totalprice / 5000 AS DECIMAL(18,1)) AS DOUBLE)]) AS value,
     unnest([0.01, 50.0, 0.5, 0.5, 0.05]) AS tolerance FROM orders)"""

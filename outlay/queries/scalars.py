@@ -134,7 +134,7 @@ def change_percent(s):
 
 @query(
     "f19_percent_text",
-    f"""SELECT l_orderkey, l_linenumber, CASE WHEN pct IS NULL THEN 'no percentage (previous amount was $0.00)' WHEN abs(pct) < 0.005 THEN '0.00% (no change)'
+    f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN pct IS NULL THEN 'no percentage (previous amount was $0.00)' WHEN abs(pct) < 0.005 THEN '0.00% (no change)'
   ELSE format('{{:.2f}}', abs(pct)) || CASE WHEN pct > 0 THEN '% increase' ELSE '% decrease' END END AS shown, count(*) AS n
   FROM (SELECT l_orderkey, l_linenumber, {percent("a - b", "abs(b)", 2)} AS pct FROM ({_CHANGE})) GROUP BY ALL""",
 )

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "outlay") -> SparkSession:
@@ -44,10 +44,3 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder under the shared scratch root."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, so lost executors never redo earlier stages."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,7 +87,7 @@ FROM {events} WHERE event_type IN ('view', 'error')
 
 # Review findings: suppliers are runs, line numbers are review cycles, items are findings.
 FINDINGS = """
-SELECT l_suppkey AS run_id, l_linenumber AS cycle, l_orderkey * 100000000 + CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS position,
+SELECT l_suppkey AS run_id, CAST(l_linenumber AS BIGINT) AS cycle, l_orderkey * 100000000 + CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS position,
   CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'note' END AS severity,
   CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 'arithmetic' WHEN 1 THEN 'completeness' WHEN 2 THEN 'evidence'
     WHEN 3 THEN 'history' WHEN 4 THEN 'policy' WHEN 5 THEN 'html' WHEN 6 THEN 'usability'

@@ -11,7 +11,7 @@ from outlay.functions import merchants, money, payloads, pricing, stamps, text
 from outlay.functions.chunks import passage_bounds, passage_rows
 from outlay.functions.html import history_text, html_text
 from outlay.operators import claims, history, silver
-from outlay.operators.ordered import keep_largest_copies, neighbours, repeat_rows, running_total
+from outlay.operators.ordered import keep_largest_copies, neighbours, numbered, repeat_rows, running_total
 
 
 def test_running_total_in_a_hot_group(spark):
@@ -44,6 +44,16 @@ def test_neighbours_across_buckets(spark):
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
+def test_numbered(spark):
+    rows = [("hot" if i % 2 else f"k{i % 5}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    got = {(r.k, r.i): r.place for r in numbered(df, ["k"], F.floor(F.col("i") / 50), ["i"], "place").collect()}
+    seen = Counter()
+    for k, i in rows:
+        seen[k] += 1
+        assert got[k, i] == seen[k]
+
+
 def test_repeat_rows(spark):
     df = spark.createDataFrame([("a", 25), ("b", 1), ("c", 10), ("d", 0)], "k string, n int")
     got = Counter(r.k for r in repeat_rows(df, "n", block=4).collect())

@@ -166,6 +166,8 @@ def test_review_progress(spark):
     assert gone[-2:] == [("html: Bad tag", 4), ("arithmetic: Total wrong", 4)] and {r[1] for r in gone[:4]} == {5}
     focus = [(r.category, r.remaining) for r in progress.focused_errors(findings).where("cycle = 4").orderBy("place").collect()]
     assert focus == [("evidence", 1), ("policy", 1), ("usability", 1)]
+    every = [(r.category, r.remaining) for r in progress.focused_errors(findings, None).where("cycle = 4").orderBy("place").collect()]
+    assert every == [("evidence", 0), ("policy", 0), ("usability", 0), (None, 0)]
     same = {r.cycle for r in progress.unchanged_errors(findings.where("message = 'Bad tag'")).collect()}
     assert same == {2}
 
