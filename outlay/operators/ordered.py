@@ -50,24 +50,20 @@ def neighbours(df: DataFrame, keys: list[str], bucket: str, order: list[str], pa
 
     ``bucket`` must never fall as ``order`` rises within a key (a file block, an hour); it bounds one task's share.
     """
-    row = F.struct(*payload)
-    key = F.struct(*order)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    near = df.withColumn("_in_prev", F.lag(row).over(inside)).withColumn("_in_next", F.lead(row).over(inside))
+    row, key = F.struct(*payload), F.struct(*order)
     edges = df.groupBy(*keys, bucket).agg(F.min_by(row, key).alias("_first"), F.max_by(row, key).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(bucket)
-    edges = edges.select(
-        *keys,
-        bucket,
-        F.lag("_last").over(across).alias("_out_prev"),
-        F.lead("_first").over(across).alias("_out_next"),
-    )
-    return (
-        near.join(edges, [*keys, bucket], "left")
-        .withColumn("prev", F.coalesce("_in_prev", "_out_prev"))
-        .withColumn("next", F.coalesce("_in_next", "_out_next"))
-        .drop("_in_prev", "_in_next", "_out_prev", "_out_next")
+    # The neighbours beyond a bucket's borders join it as two extra rows, so one sort solves inside and border alike.
+    beyond = F.array(
+        F.struct(F.lit(0).alias("_side"), F.lag("_last").over(across).alias("_row")),
+        F.struct(F.lit(2).alias("_side"), F.lead("_first").over(across).alias("_row")),
     )
+    extra = edges.select(*keys, bucket, beyond.alias("_b")).select(*keys, bucket, F.inline("_b"))
+    rows = df.withColumn("_side", F.lit(1)).withColumn("_row", row)
+    both = rows.unionByName(extra.where(F.col("_row").isNotNull()), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, bucket).orderBy("_side", *order)
+    near = both.withColumn("prev", F.lag("_row").over(inside)).withColumn("next", F.lead("_row").over(inside))
+    return near.where(F.col("_side") == 1).drop("_side", "_row")
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:

@@ -318,22 +318,18 @@ def first_and_last(s):
 
 @query(
     "s11_s13_run_documents",
-    with_("runs") + "SELECT status, count(*) AS n, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(elapsed_seconds) AS DOUBLE) AS elapsed "
-    "FROM runs WHERE has_progress GROUP BY 1",
+    with_("runs") + "SELECT 'group-' || CAST(tool_calls AS VARCHAR) AS run_id, count(*) AS n, min(status) AS status, "
+    "CAST(sum(elapsed_seconds) AS DOUBLE) AS elapsed FROM runs WHERE has_progress GROUP BY 1",
 )
 def run_documents(s):
-    """Progress documents saved one folder per run, then read by folder name."""
+    """One document per run folder, the folder named after the run, read back as documents by folder name."""
     folder = scratch_dir(s.spark, "documents")
-    docs = documents(s)[1].withColumn("run_id", F.concat(F.lit("run-"), F.pmod(F.xxhash64("run_id"), F.lit(50))))
-    jsonl.write_runs(docs.groupBy("run_id", "status").agg(
-        F.count("*").alias("n"), F.sum("tool_calls").alias("tool_calls"), F.sum("elapsed_seconds").alias("elapsed")
-    ), folder)
-    fields = {"status": "string", "n": "bigint", "tool_calls": "bigint", "elapsed": "double"}
-    rows = jsonl.read_trace(s.spark, folder, fields)
-    return rows.groupBy("status").agg(
-        F.sum("n").alias("n"), F.sum("tool_calls").alias("tool_calls"),
-        F.round(F.sum("elapsed"), 1).alias("elapsed"),
-    )
+    docs = s.runs.where("has_progress").groupBy(F.concat(F.lit("group-"), "tool_calls").alias("run_id")).agg(
+        F.count("*").alias("n"), F.min("status").alias("status"), F.sum("elapsed_seconds").alias("elapsed")
+    )
+    jsonl.write_runs(docs, folder)
+    rows = jsonl.read_documents(s.spark, folder, "*.json", {"n": "bigint", "status": "string", "elapsed": "double"})
+    return rows.withColumn("run_id", F.regexp_replace("run_id", "^run_id=", ""))
 
 
 @query(
