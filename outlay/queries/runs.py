@@ -413,13 +413,13 @@ def cycle_progress(s):
 @query(
     "w14_unchanged_errors",
     _ERRORS
-    + """, l AS (SELECT run_id, cycle % 2 + 1 AS cycle, string_agg(DISTINCT kc, '|' ORDER BY kc) AS entries FROM err WHERE cycle <= 2 GROUP BY ALL)
+    + """, l AS (SELECT run_id, cycle, string_agg(DISTINCT kc, '|' ORDER BY kc) AS entries FROM err GROUP BY ALL)
   SELECT b.run_id, b.cycle FROM l a JOIN l b ON a.run_id = b.run_id AND b.cycle = a.cycle + 1 AND a.entries = b.entries""",
 )
 def unchanged(s):
     """Reviews reduced to their distinct error categories, so that some of them repeat exactly."""
-    errors = s.findings.where("severity = 'error' and cycle <= 2")
-    rows = errors.select("run_id", (F.col("cycle") % 2 + 1).alias("cycle"), "severity", F.lower(F.coalesce("category", F.lit(""))).alias("category"))
+    errors = s.findings.where("severity = 'error'")
+    rows = errors.select("run_id", "cycle", "severity", F.lower(F.coalesce("category", F.lit(""))).alias("category"))
     rows = rows.distinct().withColumns({"message": F.lit("same"), "position": F.xxhash64("category")})
     return progress.unchanged_errors(rows)
 
