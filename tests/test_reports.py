@@ -267,3 +267,18 @@ def test_wrong_header_fails(spark, tmp_path):
     (tmp_path / "x.csv").write_text("Date,Other\n1,2\n")
     with pytest.raises(Exception):
         cards.read_exports(spark, str(tmp_path), cards.CHASE).collect()
+
+
+def test_passage_search(spark):
+    vectors = {0: [1.0, 0.0], 1: [0.6, 0.8], 2: [0.0, 0.0], 3: [1.0], 4: [-1.0, 0.1], 5: [0.9, 0.1]}
+    rows = [(1, i, f"p{i}", v) for i, v in vectors.items()]
+    passages = spark.createDataFrame(rows, "doc_id int, passage_no int, passage string, embedding array<double>")
+
+    def score(v):
+        size = math.sqrt(sum(x * x for x in v))
+        return v[0] / size if len(v) == 2 and size else -1.0
+
+    want = sorted(vectors, key=lambda i: (-score(vectors[i]), i))
+    got = search.passage_search(passages, [2.0, 0.0], 6).collect()
+    assert [r.passage_no for r in got] == want
+    assert [round(r.similarity, 9) for r in got] == [round(score(vectors[i]), 9) for i in want]
