@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from outlay.llm import quality_rules, simhash
+from outlay.llm import decontaminate, pieces, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_simhash_near_dedup": simhash.op2,
+    "op7_sentencepiece": pieces.op7,
+    "op10_decontaminate": decontaminate.op10,
 }
 SQL = {"op1_quality_rules": quality_rules.OP1_SQL}
