@@ -31,7 +31,7 @@ from outlay.llm.common import table, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words remembered by a task, besides those of the batch at hand.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE, _FREE = -1, -2
 _BITS, _SLOTS = 20, 21
