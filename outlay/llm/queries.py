@@ -1,13 +1,23 @@
-"""Registered queries of the operators and their check SQL."""
+"""Registered queries of the operators and the pipeline, and their check SQL."""
 
 from __future__ import annotations
 
-from outlay.llm import decontaminate, pieces, quality_rules, simhash
+import corpus_pipeline
+from outlay.llm import (
+    decontaminate, language_model, line_dedup, pieces, private_data, quality_rules, secrets, simhash, toxicity, url_filters,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_simhash_near_dedup": simhash.op2,
+    "op3_language_model": language_model.op3,
+    "op4_private_data": private_data.op4,
+    "op5_line_dedup": line_dedup.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_sentencepiece": pieces.op7,
+    "op8_url_filters": url_filters.op8,
+    "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
+    "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL}
