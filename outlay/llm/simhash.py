@@ -205,7 +205,7 @@ def components(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, key:
     tree = stored(roots(links(reps.select("fp"), radius)), "roots")
     rooted = reps.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
