@@ -14,7 +14,7 @@ A line is removed if some earlier line matches it, whether that one is removed o
 4. Partners are verified word by word. Sets whose partner fails meet all their possible partners, and those are verified.
 5. Removed lines are dropped from their documents. Documents without a removed line are not shuffled.
 
-Words are 63-bit keys, set names 128 bits. Bit tables of fixed size (512 KB) keep rows that cannot matter out of
+Words are verified by 64-bit hashes; set names have 128 bits. Bit tables of fixed size (512 KB) keep rows that cannot matter out of
 shuffles; when they fill up they let more rows through, never fewer.
 
 Null texts stay null, blank lines stay, texts that lose all lines become empty and stay as rows. Rows with a null id
@@ -34,6 +34,9 @@ TOP, BOTTOM = 4, 5
 #: Size of the word-count table, and longs of a bit table.
 BUCKETS = 16_384
 LONGS = 65_536
+#: Words of a set from which the whole sketch is kept.
+LONG = 48
+SIZES = ("n", "parity", "half")
 _LEAST = -(1 << 63)
 
 
@@ -80,49 +83,63 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).withColumn("t", F.lower("t"))
 
 
-def _hashes(t: Column) -> Column:
-    """63-bit hashes of the distinct words of a line."""
-    return F.transform(F.array_distinct(F.array_remove(F.split(t, BLANKS), "")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 1))
+def _words(t: Column) -> Column:
+    """Words of a line, empty ones among them; lines without other blanks take the faster split."""
+    plain = F.when(t.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(t, BLANKS, " ")).otherwise(t)
+    return F.split(plain, " ")
 
 
-def _keys(hashes: Column, classes: Column) -> Column:
-    """Words as longs that sort from rare to frequent: six bits of class, then 57 bits of hash."""
-    return F.sort_array(
-        F.transform(hashes, lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 6)))
-    )
+def _keys(t: Column, classes: Column) -> Column:
+    """Distinct words as longs that sort from rare to frequent: six bits of class, then 57 bits of hash."""
 
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-def _named(lines: DataFrame) -> DataFrame:
-    """With the 128-bit name of the set: of its hashes in order, so that it needs no class table."""
-    return lines.withColumn("h", F.sort_array(_hashes(F.col("t")))).withColumns({"s1": F.xxhash64("h"), "s2": F.xxhash64(F.lit(1), "h")})
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(t), ""), key)))
 
 
-def sets(docs: DataFrame, classes: Column, text: str) -> DataFrame:
-    """One row for each distinct set: s1, s2, its first line (doc, line), size n, parity sketch and prefix.
+def keyed_lines(docs: DataFrame, classes: Column, text: str) -> DataFrame:
+    """(doc, line, s1, s2, n, parity, half, prefix) of every line: its place, and its set's 128-bit name, size,
+    sketch and prefix.
 
-    The sketch has 64 bits, each the parity of the words that fall on it: sets that differ in d words differ in d bits
-    at most.
+    A sketch has 128 bits, each the parity of the words that fall on it: sets that differ in d words differ in d bits at
+    most. ``parity`` folds it to 64 bits, enough for sets of fewer than ``LONG`` words; longer ones keep a half too.
     """
-    rows = _named(_lines(docs, text)).withColumn("keys", _keys(F.col("h"), classes))
+    rows = _lines(docs, text).select("doc", "line", _keys(F.col("t"), classes).alias("keys"))
     n = F.size("keys")
     prefix = F.when(n >= TOP, F.transform(F.slice("keys", 1, n - F.ceil(n * TOP / BOTTOM).cast("int") + 1), lambda k: F.shiftrightunsigned(k, 31).cast("int")))
     parity = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, CAST(k & 63L AS INT)))")
-    rows = rows.select("s1", "s2", F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("first"))
+    half = F.expr("aggregate(filter(keys, k -> k & 64L = 64L), 0L, (a, k) -> a ^ shiftleft(1L, CAST(k & 63L AS INT)))")
+    half = F.when(n >= LONG, half).otherwise(F.lit(0).cast("long")).alias("half")
+    names = F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")
+    return rows.select("doc", "line", *names, n.alias("n"), parity.alias("parity"), half, prefix.alias("prefix"))
+
+
+def sets(lines: DataFrame) -> DataFrame:
+    """One row for each distinct set, with its first line (doc, line)."""
+    rows = lines.select("s1", "s2", F.struct("doc", "line", *SIZES, "prefix").alias("first"))
     return rows.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("s1", "s2", "first.*")
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    return found.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
+    rows = found.select("doc", "line", *SIZES, F.posexplode("prefix").alias("pos", "token"))
+    # None is null; saying so spares the planner filters that would tell apart the uses of one exchange.
+    return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
 
 
 def _possible(x: str, y: str) -> Column:
     """Bounds that every matching pair meets: sizes, what is left after the shared word, and differing words."""
     nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
     # Overlap o of a match: BOTTOM * o >= TOP * (nx + ny - o).
+    apart = F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))
+    half = F.col(f"{x}.half").bitwiseXOR(F.col(f"{y}.half"))
+    narrow, wide = F.bit_count(apart), F.bit_count(half) + F.bit_count(apart.bitwiseXOR(half))
     return (
         (F.least(nx, ny) * BOTTOM >= F.greatest(nx, ny) * TOP)
         & ((F.least(nx - px, ny - py) + F.least(px, py)) * (TOP + BOTTOM) >= (nx + ny) * TOP)
-        & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) * (TOP + BOTTOM) <= (nx + ny) * (BOTTOM - TOP))
+        & (narrow * (TOP + BOTTOM) <= (nx + ny) * (BOTTOM - TOP))
+        & ((F.least(nx, ny) < LONG) | (wide * (TOP + BOTTOM) <= (nx + ny) * (BOTTOM - TOP)))
     )
 
 
@@ -131,17 +148,23 @@ def _earlier(y: str, x: str) -> Column:
 
 
 def _suspects(found: DataFrame) -> DataFrame:
-    """(doc, line, ydoc, yline): sets with a possible earlier match; a likely partner where there is one."""
-    p = _postings(found).repartition("token")
+    """(doc, line) of sets with a possible earlier match."""
+    p = _postings(found)
     semi = p.alias("x").join(p.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y"), "left_semi")
-    semi = semi.select("doc", "line", F.lit(None).cast("struct<d:int,ydoc:bigint,yline:int>").alias("y"))
+    return semi.select("doc", "line").distinct()
+
+
+def _partners(found: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(doc, line, ydoc, yline): for suspects the nearest of the first sets of a shared word and size class, if it may match."""
+    sieve = Sieve(_postings(found.join(suspects, ["doc", "line"], "left_semi")).select("token"), "token")
+    p = _postings(found).where(sieve.may_hold(F.col("token")))
+    own = F.struct("doc", "line", *SIZES, "pos")
     band = F.floor(F.log("n") / F.log(F.lit(BOTTOM / TOP)))
     w = Window.partitionBy("token", "band").orderBy("doc", "line")
-    led = p.withColumn("band", band).select(F.struct("doc", "line", "n", "pos", "parity").alias("x"), F.first(F.struct("doc", "line", "n", "pos", "parity")).over(w).alias("y"))
-    led = led.where(_earlier("y", "x") & _possible("x", "y"))
-    near = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).cast("int")
+    led = p.withColumn("band", band).select(own.alias("x"), F.first(own).over(w).alias("y")).where(_earlier("y", "x") & _possible("x", "y"))
+    near = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
     led = led.select(F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.struct(near.alias("d"), F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).alias("y"))
-    return semi.unionByName(led).groupBy("doc", "line").agg(F.min("y").alias("y")).select("doc", "line", "y.ydoc", "y.yline")
+    return led.groupBy("doc", "line").agg(F.min("y").alias("y")).select("doc", "line", "y.ydoc", "y.yline")
 
 
 # ----- verification -----
@@ -151,7 +174,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """(doc, line) of the pairs (doc, line, ydoc, yline) whose lines match word by word."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))
     sieve = Sieve(ends, "doc", "line")
-    words = _lines(docs, text).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", _hashes(F.col("t")).alias("h"))
+    words = _lines(docs, text).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
     # Rows that share an id give a place twice: one of them speaks for it.
     words = words.groupBy("doc", "line").agg(F.min("h").alias("h"))
     y = words.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("h").alias("hy"))
@@ -163,8 +186,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
 def _matched(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """(doc, line) of the first lines of sets that match an earlier set."""
     suspects = stored(_suspects(found), "suspects")
-    done = stored(_verified(docs, suspects.where("ydoc IS NOT NULL"), text), "matched")
-    left = stored(suspects.select("doc", "line").join(done, ["doc", "line"], "left_anti"), "left")
+    partners = stored(_partners(found, suspects), "partners")
+    done = stored(_verified(docs, partners, text), "matched")
+    left = stored(suspects.join(done, ["doc", "line"], "left_anti"), "left")
     if left.isEmpty():
         return done
     # The rest meet all their possible partners.
@@ -181,14 +205,14 @@ def _matched(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
 
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, line) of every line to remove; ``doc`` is the id, or the least long for a null id."""
-    words = _lines(docs, text).select(F.explode(F.array_remove(F.split("t", BLANKS), "")).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 1).alias("h"))
-    classes = _word_classes(words)
-    found = stored(sets(docs, classes, text), "sets")
+    words = _lines(docs, text).select(F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+    classes = _word_classes(words.select(F.xxhash64("w").alias("h")))
+    lines = stored(keyed_lines(docs, classes, text), "lines")
+    found = stored(sets(lines), "sets")
     matched = _matched(docs, found, text)
     gone = found.select("doc", "line", "s1", "s2").join(matched.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
     gone = gone.select("s1", "s2", F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    every = _named(_lines(docs, text)).select("doc", "line", "s1", "s2")
-    return every.join(gone, ["s1", "s2"]).where("gone OR doc <> fdoc OR line <> fline").select("doc", "line").distinct()
+    return lines.select("doc", "line", "s1", "s2").join(gone, ["s1", "s2"]).where("gone OR doc <> fdoc OR line <> fline").select("doc", "line").distinct()
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
