@@ -7,7 +7,7 @@ any unknown word. Probabilities of a state sum to one. A text is read once from
 word if it is known, the root otherwise; the start of a text is a state too.
 
 The automaton grows with the corpus and is never held whole. Documents are dealt into blocks of about
-``BLOCK_CHARS`` by a hash. Each block counts its words and pairs and sends the keys, packed, to shards by key hash; a
+``BLOCK_CHARS`` by a hash. Each block counts its words and pairs and sends the keys, packed, to shards by key range; a
 shard adds up all blocks and sends back to each block the totals that differ from its own; with those the block holds
 exactly the arcs that its texts can take, and walks them. A key comes at most once from a block, so no key is hot, and
 shards and blocks are as many as the corpus needs. The texts are shuffled once, keys once, differing totals once.
@@ -85,7 +85,22 @@ class Block:
 
 
 _PACKED = "shard long, block long, keys binary, counts binary"
-_TOTALS = "block long, shard long, keys binary, counts binary, n long, v long"
+_TOTALS = "block long, shard long, changed binary, totals binary, n long, v long"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as eight planes of bytes: the upper ones of sorted keys and small counts compress to little."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _cuts(keys: np.ndarray, shards: int) -> list[int]:
+    """Where each shard begins in sorted keys: shards are equal ranges of the keys' upper half."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64)).tolist()
 
 
 def _count_block(shards: int, held: int):
@@ -93,15 +108,13 @@ def _count_block(shards: int, held: int):
         number = group.column("block")[0].as_py()
         block = Block(group.column("text").to_pylist())
         keys, counts = block.counts(_training(group, held))
-        shard = (keys >> np.uint64(20)) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        cuts = _cuts(keys, shards)
         # Every block writes to every shard, so that it hears the sums of all.
-        parts = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        parts = list(zip(cuts[:-1], cuts[1:]))
         return pa.table({
             "shard": pa.array(np.arange(shards), pa.int64()), "block": pa.array(np.full(shards, number), pa.int64()),
-            "keys": pa.array([keys[p].tobytes() for p in parts], pa.binary()),
-            "counts": pa.array([counts[p].astype("<u4").tobytes() for p in parts], pa.binary()),
+            "keys": pa.array([_planes(keys[a:b]) for a, b in parts], pa.binary()),
+            "counts": pa.array([_planes(counts[a:b]) for a, b in parts], pa.binary()),
         })
 
     return run
@@ -114,35 +127,37 @@ def _training(group: pa.Table, held: int) -> np.ndarray:
 def _sum_shard(group: pa.Table) -> pa.Table:
     number = group.column("shard")[0].as_py()
     blocks = group.column("block").to_pylist()
-    keys = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in group.column("counts").to_pylist()]
+    keys = [_numbers(k.as_py()) for k in group.column("keys")]
+    counts = [_numbers(c.as_py()).astype(np.int64) for c in group.column("counts")]
     all_keys, back = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(back, np.concatenate(counts), len(all_keys)).astype(np.int64)
     words = (all_keys & _ONE) == 0
     n, v = int(totals[words].sum()), int((totals[words] > 0).sum())
-    out_keys, out_counts, at = [], [], 0
+    changed, news, at = [], [], 0
     for k, c in zip(keys, counts):
         total = totals[back[at : at + len(k)]]
         at += len(k)
         new = total != c
-        out_keys.append(k[new].tobytes())
-        out_counts.append(total[new].tobytes())
+        changed.append(np.packbits(new).tobytes())
+        news.append(_planes(total[new]))
     many = len(blocks)
     return pa.table({
-        "block": pa.array(blocks, pa.int64()), "shard": pa.array([number] * many, pa.int64()), "keys": pa.array(out_keys, pa.binary()),
-        "counts": pa.array(out_counts, pa.binary()), "n": pa.array([n] * many, pa.int64()), "v": pa.array([v] * many, pa.int64()),
+        "block": pa.array(blocks, pa.int64()), "shard": pa.array([number] * many, pa.int64()), "changed": pa.array(changed, pa.binary()),
+        "totals": pa.array(news, pa.binary()), "n": pa.array([n] * many, pa.int64()), "v": pa.array([v] * many, pa.int64()),
     })
 
 
 _SCORED = "doc_id long, fold long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_block(held: int, mu: float):
+def _score_block(shards: int, held: int, mu: float):
     def run(group: pa.Table, totals: pa.Table) -> pa.Table:
         block = Block(group.column("text").to_pylist())
         keys, counts = block.counts(_training(group, held))
-        for k, c in zip(totals.column("keys").to_pylist(), totals.column("counts").to_pylist()):
-            counts[np.searchsorted(keys, np.frombuffer(k, np.uint64))] = np.frombuffer(c, np.int64)
+        cuts = _cuts(keys, shards)
+        for shard, changed, news in zip(totals.column("shard").to_pylist(), totals.column("changed"), totals.column("totals")):
+            own = counts[cuts[shard] : cuts[shard + 1]]
+            own[np.unpackbits(np.frombuffer(changed.as_py(), np.uint8), count=len(own)).astype(bool)] = _numbers(news.as_py())
         n, v = sum(totals.column("n").to_pylist()), sum(totals.column("v").to_pylist())
         found = block.walk(keys, counts, n, v, mu)
         return pa.table({
@@ -162,7 +177,7 @@ def scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD, mu: float = MU
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), "text")
     packed = rows.groupBy("block").applyInArrow(_count_block(many, held), _PACKED)
     totals = packed.groupBy("shard").applyInArrow(_sum_shard, _TOTALS)
-    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score_block(held, mu), _SCORED)
+    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score_block(many, held, mu), _SCORED)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
