@@ -31,6 +31,11 @@ def within(day: Column | str, start: Column, end: Column) -> Column:
     return (d >= start) & (d <= end)
 
 
+def in_months(start: Column, end: Column) -> Column:
+    """Rows whose ``month``, the partition column of a stored frame, touches the dates: opens no other partition."""
+    return (F.col("month") >= F.trunc(start, "MM")) & (F.col("month") <= F.trunc(end, "MM"))
+
+
 def positive_rows(table: DataFrame, value: str) -> DataFrame:
     """Rows that can be drawn as shares of an area."""
     return table.where(F.coalesce(F.col(value), F.lit(0)) > 0)

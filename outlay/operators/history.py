@@ -10,8 +10,6 @@ from outlay.functions.text import clip
 
 MAX_TURNS = 12
 SUMMARY_CHARS = 1200
-# The shortest line turn_line can make.
-SHORTEST_LINE = 16
 NO_ANSWER = "(no answer)"
 
 
@@ -55,17 +53,14 @@ def turn_line(question, caption, answer):
     return F.concat(F.lit("- Q: "), clip(question, 100), shown, F.lit(" | answer: "), clip(reply, 120))
 
 
-def rolling_summary(
-    lines: DataFrame, max_chars: int = SUMMARY_CHARS, shortest: int = SHORTEST_LINE
-) -> DataFrame:
+def rolling_summary(lines: DataFrame, max_chars: int = SUMMARY_CHARS) -> DataFrame:
     """(thread_id, kept, omitted): per thread the newest lines that fit, each counting its length plus one.
 
-    No line is shorter than ``shortest``, so only the newest ``max_chars / (shortest + 1)`` lines of a thread can
-    fit; the rank limit drops the rest before the shuffle and only counts see every row. Kept lines are a bounded
-    list. Pass ``shortest=0`` for lines of any length.
+    Every line costs at least one character, so only the newest ``max_chars`` lines of a thread can fit, whatever
+    their length; the rank limit drops the rest before the shuffle and only counts see every row.
     """
     newest = Window.partitionBy("thread_id").orderBy(F.desc("turn"))
-    near = lines.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= max_chars // (shortest + 1))
+    near = lines.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= max_chars)
     used = F.sum(F.length("line") + 1).over(newest.rowsBetween(Window.unboundedPreceding, 0))
     kept = (
         near.withColumn("_used", used)

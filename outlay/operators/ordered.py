@@ -76,8 +76,11 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], o
     sizes = work.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    placed = work.withColumn("_place", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"])
-    return placed.withColumn(out, F.col("_offset") + F.col("_place")).drop("_bucket", "_place", "_offset")
+    placed = work.withColumn("_place", F.row_number().over(inside))
+    named = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in [*keys, "_bucket"]], "_offset")
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*keys, "_bucket"]]
+    joined = placed.join(named, same)
+    return joined.withColumn(out, F.col("_offset") + F.col("_place")).select(*df.columns, out)
 
 
 def repeat_rows(df: DataFrame, times: str, block: int = COPY_BLOCK) -> DataFrame:

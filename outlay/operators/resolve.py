@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from outlay.functions.similarity import close_ratio
 
 CUTOFF = 0.6
-MAX_WANTED = 20
 CLOSEST = 5
 
 
 def _asked(wanted: list[str], options: DataFrame) -> DataFrame:
-    """(wanted, value, low): every option beside each requested name. A request holds at most 20 names."""
-    if len(wanted) > MAX_WANTED:
-        raise ValueError(f"at most {MAX_WANTED} names per request")
+    """(wanted, value, low): every option beside each requested name; the request bounds their number."""
     names = F.array(*[F.lit(w) for w in wanted])
     return options.select(F.col("value"), F.lower("value").alias("low")).distinct().select(
         F.explode(names).alias("wanted"), "value", "low"

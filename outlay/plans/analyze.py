@@ -16,7 +16,7 @@ from outlay.functions import calendar as cal
 from outlay.functions.categories import is_analyzed
 from outlay.functions.money import by_unit, inflow, outflow
 from outlay.operators import periods
-from outlay.operators.filters import apply_filters, within
+from outlay.operators.filters import apply_filters, in_months, within
 from outlay.operators.series import largest_step, transformed
 from outlay.plans.spec import (
     ADDITIVE,
@@ -99,6 +99,9 @@ def grouped_sums(
     rows = apply_filters(frame.where(is_analyzed()), spec.filters)
     d = F.col("transaction_date")
     current = within(d, period.start, period.end)
+    if "month" in frame.columns:
+        months = in_months(period.start, period.end)
+        rows = rows.where(months if compared is None else months | in_months(compared.start, compared.end))
     if compared is None:
         rows = rows.where(current).withColumn("_side", F.lit("cur")).withColumn("_day", d)
     else:

@@ -167,9 +167,11 @@ def focused_errors(findings: DataFrame, most: int | None = MAX_FOCUSED) -> DataF
     else:
         order = Window.partitionBy(*CYCLE).orderBy("priority", "position")
         chosen = errors.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    sizes = errors.groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("_all"))
+    sizes = errors.groupBy(*[F.col(c).alias(f"_s_{c}") for c in CYCLE]).agg(F.count(F.lit(1)).alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in CYCLE]
     limit = F.col("_all") if most is None else F.least(F.col("_all"), F.lit(most))
-    return chosen.join(sizes, CYCLE).withColumn("remaining", F.col("_all") - limit).drop("_all", "priority")
+    shown = [c for c in chosen.columns if c != "priority"]
+    return chosen.join(sizes, same).withColumn("remaining", F.col("_all") - limit).select(*shown, "remaining")
 
 
 def mentioned_fields(text: Column) -> Column:

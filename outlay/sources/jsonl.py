@@ -131,7 +131,5 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 def empty_like(spark: SparkSession, fields: dict[str, str]) -> DataFrame:
     """An empty table with a run_id and the given fields, for documents that do not exist."""
-    schema = T.StructType().add("run_id", "string")
-    for name, kind in fields.items():
-        schema = schema.add(name, T._parse_datatype_string(kind) if "<" in kind else kind)
-    return spark.createDataFrame([], schema)
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in {"run_id": "string", **fields}.items())
+    return spark.createDataFrame([], T.StructType.fromDDL(kinds))

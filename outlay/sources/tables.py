@@ -37,7 +37,11 @@ def read_facts(spark: SparkSession, path: str, start=None, today: date | None =
         if today is None:
             raise ValueError("give start or today")
         start = F.add_months(cal.month_start(cal.day(today)), -DEFAULT_MONTHS_BACK)
-    return spark.read.parquet(path).select(*ANALYSIS_COLUMNS).where(F.col("transaction_date") >= cal.day(start))
+    facts = spark.read.parquet(path)
+    if "transaction_month" in facts.columns:
+        # The column that ``write_table`` partitions by: months before the start are not opened.
+        facts = facts.where(F.col("transaction_month") >= F.last_day(cal.day(start)))
+    return facts.where(F.col("transaction_date") >= cal.day(start)).select(*ANALYSIS_COLUMNS)
 
 
 def analysis_frame(facts: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:

@@ -282,3 +282,19 @@ def test_role_models(spark):
         F.struct(*stamps.role_model((F.lit(None), F.lit(None)), (F.lit(""), F.lit("m1")), (F.lit("p"), F.lit("m1")), (F.lit("q"), F.lit("m2")))).alias("x")
     ).first().x
     assert tuple(row) == ("p", "m1")
+
+
+def test_short_lines_fill_the_summary(spark):
+    df = spark.createDataFrame([("t", k, "x") for k in range(20)], "thread_id string, turn long, line string")
+    row = history.rolling_summary(df, 30).first()
+    assert (len(row.kept), row.omitted) == (15, 5)
+
+
+def test_rows_with_null_keys_are_numbered(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, i long")
+    got = sorted((r.k or "", r.i, r.place) for r in numbered(df, ["k"], F.floor(F.col("i") / 2), ["i"], "place").collect())
+    assert got == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
+
+
+def test_the_last_of_equal_aliases_counts(spark):
+    assert column(spark, ["costco #1"], lambda c: merchants.merchant_name(c, {"Costco": "First", "COSTCO ": "Second"})) == ["Second"]

@@ -66,3 +66,16 @@ def test_texts_are_tokenized_once_per_pass(spark, tmp_path):
     spark.createDataFrame([(1, "k", "t", 1.0, "1")], "id long, fact_key string, fact_text string, weight double, updated_at string").write.parquet(str(tmp_path / "f"))
     text = plan(search.bm25(spark.read.parquet(str(tmp_path / "f")), "some words"))
     assert text.count("regexp_extract_all") == 2  # one pass for the statistics, one for the scores
+
+
+def test_months_outside_the_dates_are_not_opened(spark, stored, tmp_path):
+    rows = spark.read.parquet(stored)
+    facts, frame = str(tmp_path / "facts"), str(tmp_path / "frame")
+    tables.write_table(rows.withColumn("transaction_month", F.last_day("transaction_date")), facts, "transaction_month")
+    tables.write_table(rows.withColumn("month", F.trunc("transaction_date", "MM")), frame, "month")
+    text = plan(tables.read_facts(spark, facts, start=date(2026, 9, 1)))
+    assert "2026-09-30" in text.split("PartitionFilters")[1].split("PushedFilters")[0]
+    context = Context(cards.TODAY, date(2026, 6, 15), date(2026, 10, 3))
+    done = analyze(spark.read.parquet(frame), AnalysisSpec(group_by="category", period="last_month"), context)
+    assert "month" in plan(done.grouped).split("PartitionFilters")[1].split("PushedFilters")[0]
+    done.release()
