@@ -140,8 +140,11 @@ def _examples(rows: DataFrame, chosen: list[int], sample: int) -> list:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(bare, kind), pa.array(swapped, kind)], names=["y", "x", "swapped"])
 
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("y", "text")
-    return picked.mapInArrow(run, "y long, x array<long>, swapped array<long>").collect()
+    # Only ids are ranked; the texts stay spread over the tasks.
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = rows.join(ids, "doc_id", "left_semi").select("y", "text")
+    found = picked.mapInArrow(run, "y long, x array<long>, swapped array<long>").collect()
+    return sorted(found, key=lambda e: (e.y, e.x, e.swapped or []))
 
 
 def fitted(examples: list, chosen: list[int], ridge: float = RIDGE, fairness: float = FAIRNESS, rounds: int = 25) -> Model:
