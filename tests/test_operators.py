@@ -1,14 +1,16 @@
 """Order-dependent helpers, deduplication and number claims against plain loops."""
 
 import random
+import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from outlay.functions import calendar as cal
 from outlay.functions import merchants, money, payloads, pricing, stamps, text
-from outlay.functions.chunks import passage_bounds, passage_rows
+from outlay.functions.chunks import passage_rows, passages
 from outlay.functions.html import history_text, html_text
 from outlay.operators import claims, history, silver
 from outlay.operators.ordered import keep_largest_copies, neighbours, numbered, repeat_rows, running_total
@@ -199,6 +201,51 @@ def test_markup(spark):
     assert problems[:2] == ["size", "history"]
 
 
+class Nodes(HTMLParser):
+    """Events of the library's parser, to compare with: (kind, tag or text)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.events = []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.events.append(("open", tag))
+
+    def handle_endtag(self, tag):
+        self.events.append(("close", tag))
+
+    def handle_data(self, data):
+        self.events.append(("text", data))
+
+
+def parsed_text(page, skip, separator):
+    """Text of a page from the parser's events: hidden depth by running sums of edges that stop at zero."""
+    depth, out = 0, []
+    for kind, what in Nodes(page).events:
+        if kind == "text":
+            out += [] if depth else [what]
+        elif what in skip:
+            depth = max(0, depth + (1 if kind == "open" else -1))
+    if separator is None:
+        return re.sub(r"\n\s*\n+", "\n\n", "".join(out)).strip()
+    return separator.join(t.strip() for t in out if t.strip())
+
+
+def test_markup_like_the_parser(spark):
+    pieces = [
+        "<p>", "</p>", "<br/>", "<b class='a>b' x=\"y\">", "</b>", "<!-- no <p> -->", "<style>p>a{}</style>", "<head>", "</head>", "</head >", "text ", "\n \n",
+        "&amp;", "&eacute;", "&notit;", "&#233;", "&#x1F600;", "&#128;", "&nosuch;", "a < b ", "5 &lt; 6", "<script>if (a<b && c) {}</script>", "<!DOCTYPE html>", "é",
+    ]
+    rng = random.Random(11)
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    for skip, separator in (((), "|"), (("style", "script", "head", "title"), " "), (("style",), None)):
+        got = column(spark, pages, lambda c: html_text(c, skip=skip, separator=separator))
+        wrong = [(p, parsed_text(p, skip, separator), g) for p, g in zip(pages, got) if g != parsed_text(p, skip, separator)]
+        assert not wrong, (len(wrong), min(wrong, key=lambda w: len(w[0])))
+
+
 def test_text(spark):
     assert column(spark, ["  a   b c", "x" * 12], lambda c: text.clip(c, 10)) == ["a b c", "x" * 9 + "…"]
     assert column(spark, ["The Café, a user-id_7 x"], text.search_tokens) == [["café", "id"]]
@@ -211,7 +258,8 @@ def test_json_in_text(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(noisy)], "i int, t string")
     got = sorted(tuple(r) for r in payloads.facts_in_text(df, "t").collect())
     assert got == [(0, "a", "b", 1.0), (1, "k", "t", 3.0)]
-    assert payloads.object_in_text('a {bad} ```json\n{"x": {"y": 1}}``` z') == '{"x": {"y": 1}}'
+    texts = ['a {bad} ```json\n{"x": {"y": 1}}``` z', '{"a": "}{\\" {"} {"b": 2}', "{{}", "{", "", None, '["{"]', "x" * 50 + '{"k": [1, {"z": null}]} }']
+    assert column(spark, texts, payloads.json_object) == ['{"x": {"y": 1}}', '{"a": "}{\\" {"}', "{}", None, None, None, None, '{"k": [1, {"z": null}]}']
 
 
 def chunks_by_loop(words, size, overlap):
@@ -230,9 +278,10 @@ def chunks_by_loop(words, size, overlap):
 
 def test_passages(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        body = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 400))).strip() or "a"
-        assert passage_bounds(body, 50, 10) == chunks_by_loop(body, 50, 10)
+    bodies = [" ".join("".join(rng.choice("aé😀 ") for _ in range(rng.randrange(1, 400))).split()) or "a" for _ in range(200)]
+    for size, overlap in ((50, 10), (7, 3), (1, 0), (10, 9), (900, 120)):
+        got = column(spark, bodies, lambda c: passages(c, size, overlap))
+        assert got == [[b[x:y].strip() for x, y in chunks_by_loop(b, size, overlap)] for b in bodies]
     df = spark.createDataFrame([(1, "word " * 400), (2, "  "), (3, None)], "i int, t string")
     rows = passage_rows(df, "t").collect()
     assert {r.i for r in rows} == {1} and max(len(r.passage) for r in rows) <= 900
