@@ -65,3 +65,40 @@ def match_values(wanted: list[str], options: DataFrame, cutoff: float = CUTOFF)
         .when(F.col("close").isNotNull(), F.lit("close"))
     )
     return joined.select("wanted", F.coalesce("exact", one, "close").alias("resolved"), how.alias("how"))
+
+
+def _common_letters(low, key):
+    """How many letters two texts share, whatever their order: a bound of the length of their matching blocks."""
+    letters = F.array_distinct(F.split(key, ""))
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    return F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(count(low, c), count(key, c)))
+
+
+def look_up(asked: list[tuple[str, str]], options: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """(field, wanted, resolved, containing) of every asked (field, name) that some option (field, value) resembles.
+
+    ``resolved`` is the equal option, else the only one that contains the name, else the closest from ``cutoff`` on, else null.
+    Pairs that share too few letters for the cutoff are not compared further.
+    """
+    names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("wanted"), F.lower(F.trim(F.lit(w))).alias("key")) for f, w in asked])
+    mine = F.explode(F.filter(names, lambda a: a["field"] == F.col("field"))).alias("a")
+    rows = options.select("field", "value", F.lower("value").alias("low"), mine).select("field", "value", "low", "a.wanted", "a.key")
+    equal, inside = F.col("low") == F.col("key"), F.col("low").contains(F.col("key")) & (F.col("key") != "")
+    bound = 2.0 * _common_letters(F.col("low"), F.col("key")) >= cutoff * (F.length("low") + F.length("key"))
+    rows = rows.withColumns({"equal": equal, "inside": inside}).where(F.col("equal") | F.col("inside") | bound)
+    ratio = close_ratio(F.col("low"), F.col("key"))
+    close = F.when(F.col("ratio") >= cutoff, F.struct("ratio", "low", "value"))
+    found = rows.withColumn("ratio", ratio).groupBy("field", "wanted").agg(
+        F.min(F.when(F.col("equal"), F.col("value"))).alias("exact"),
+        F.count_if("inside").alias("containing"),
+        F.min(F.when(F.col("inside"), F.col("value"))).alias("one"),
+        F.max(close).alias("close"),
+    )
+    one = F.when(F.col("containing") == 1, F.col("one"))
+    return found.select("field", "wanted", F.coalesce("exact", one, "close.value").alias("resolved"), "containing")
+
+
+def containing_names(field: str, wanted: str, options: DataFrame, limit: int = 4) -> DataFrame:
+    """The first options of a field, by name, that contain a text."""
+    low = F.lower(F.trim(F.lit(wanted)))
+    return options.where((F.col("field") == field) & F.lower("value").contains(low)).select("value").orderBy("value").limit(limit)

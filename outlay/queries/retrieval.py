@@ -158,15 +158,21 @@ def passages(s):
     return chunks.passage_rows(s.table("documents").select("doc_id", "text"), "text")
 
 
-@query("x11_passage_search")
+@query(
+    "x11_passage_search",
+    _CHUNKS.replace("SELECT doc_id, CAST(no AS BIGINT) AS passage_no", ", p AS (SELECT doc_id, CAST(no AS BIGINT) AS passage_no", 1)
+    + f"""), {_COSINE} SELECT vec_id, doc_id, passage_no, passage, round(s, 9) AS similarity FROM p
+  JOIN cos ON vec_id = (doc_id * 31 + passage_no) % (SELECT count(*) FROM embeddings) ORDER BY s DESC, vec_id, doc_id, passage_no LIMIT 10""",
+)
 def passage_search(s):
-    """Passages take the vectors of the embeddings table in turn; cutting needs Python, so unit tests check it."""
+    """Passages take the vectors of the embeddings table in turn."""
     rows = chunks.passage_rows(s.table("documents").select("doc_id", "text"), "text")
     vectors = s.table("embeddings")
     count = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = rows.withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("passage_no"), count))
     joined = rows.join(vectors.select("vec_id", "embedding"), "vec_id")
-    return search.passage_search(joined, question_vector(s), 10)
+    found = search.passage_search(joined, question_vector(s), 10)
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("f25_html_text")
@@ -211,9 +217,13 @@ def unsafe(s):
     )
 
 
-@query("f31_facts_in_text")
+@query(
+    "f31_facts_in_text",
+    """SELECT o_orderkey, 'order_' || o_orderkey AS fact_key, o_orderpriority AS fact_text,
+  CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2.5 ELSE 1 END AS DOUBLE) AS weight FROM orders""",
+)
 def payload(s):
-    """Facts written as JSON inside prose, one per order; nested braces need a scanner, so unit tests check it."""
+    """Facts written as JSON inside prose, one per order; the check states what was written."""
     orders = s.table("orders")
     body = F.to_json(
         F.array(
@@ -229,6 +239,17 @@ def payload(s):
     return payloads.facts_in_text(orders.select("o_orderkey", noisy.alias("reply")), "reply")
 
 
+@query(
+    "f31_first_object",
+    """SELECT o_orderkey, '{"a":{"b":' || o_custkey || '},"c":"} {' || o_orderstatus || '"}' AS found FROM orders""",
+)
+def first_object(s):
+    """The first JSON object of a reply, after braces that open none; the check states what was written."""
+    inner = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("b")).alias("a"), F.concat(F.lit("} {"), F.col("o_orderstatus")).alias("c")))
+    reply = F.concat(F.lit("As {asked}: {\n```json\n"), inner, F.lit("\n``` and {\"x\": 1}"))
+    return s.table("orders").select("o_orderkey", payloads.json_object(reply).alias("found"))
+
+
 # ----- history -----
 
 

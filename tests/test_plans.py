@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from outlay.operators import periods
 from outlay.operators.resolve import closest, match_values
 from outlay.plans import catalog, change, profile, snapshot
-from outlay.plans.repair import SpecError, repair
+from outlay.plans.repair import SpecError, regrouped, repair
 from outlay.plans.spec import AnalysisSpec
 from tests import cards
 
@@ -173,20 +173,24 @@ def test_repair(spark):
     fixed, notes = repair(spec, frame, cards.TODAY)
     assert fixed.filters.category == ("Groceries",) and fixed.filters.issuer == ("Chase",) and fixed.top_n == 10
     assert (fixed.period, fixed.date_from, fixed.date_to) == ("custom", "2026-06-15", "2026-08-31")
-    assert any("limited to the available data" in n for n in notes)
-    with pytest.raises(SpecError, match="Closest valid category values: "):
+    assert any("cut to the days with data" in n for n in notes)
+    with pytest.raises(SpecError, match="Nearest category values: "):
         repair(AnalysisSpec(filters={"category": "zzzz"}), frame, cards.TODAY)
     with pytest.raises(SpecError, match="outside"):
         repair(AnalysisSpec(date_from="2020-01", date_to="2020-02"), frame, cards.TODAY)
-    many, _ = repair(AnalysisSpec(filters={"merchant": "tar"}), frame, cards.TODAY)  # Starbucks and Target
-    assert many.filters.merchant_contains == "tar" and many.filters.merchant == ()
+    many, notes = repair(AnalysisSpec(filters={"merchant": "tar"}), frame, cards.TODAY)  # Starbucks and Target
+    assert many.filters.merchant_contains == "tar" and many.filters.merchant == () and "Starbucks, Target" in notes[0]
     raw, _ = repair(AnalysisSpec(filters={"merchant": "STARBUCKS STORE 9999"}), frame, cards.TODAY)
     assert raw.filters.merchant == ("Starbucks",)
     dropped, notes = repair(AnalysisSpec(group_by="month", transform="cumulative", compare_to="previous_period"), frame, cards.TODAY)
-    assert dropped.transform == "none" and "cannot be combined" in notes[0]
+    assert dropped.transform == "none" and "comparisons take no transform" in notes[0]
     p = profile.profile(frame, cards.TODAY)
     swapped, notes = repair(AnalysisSpec(group_by="day_of_month"), frame, cards.TODAY, p)
-    assert swapped.group_by == ("weekday",) and "isn't meaningful" in notes[0]
+    assert swapped.group_by == ("weekday",) and "tells little" in notes[0]
+    status = {"merchant": ("unusable", "one each"), "category": ("limited", "few"), "month": ("unusable", "short")}
+    assert regrouped(("merchant", "category"), status, False)[0] == ("parent_group", "category")
+    assert regrouped(("category", "merchant"), status, False)[0] == ("parent_group",)
+    assert regrouped(("merchant", "month"), status, True)[0] == ("merchant", "month")
 
 
 def resolved(spark, ask, today=cards.TODAY, lo=date(2024, 10, 1), hi=date(2026, 10, 3)):
