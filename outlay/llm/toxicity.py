@@ -36,6 +36,8 @@ LEAST = 3
 RIDGE = 1e-4
 FAIRNESS = 1.0
 FOLDS, HELD = 5, 0
+#: The place of a feature among the chosen ones, as the sample carries it.
+PLACE = np.dtype("<u4")
 # Names of groups; a swap stays within a list.
 GROUPS = (
     ("women", "men", "girls", "boys", "gay", "lesbian", "trans", "straight", "queer"),
@@ -125,44 +127,53 @@ def _chosen(rows: DataFrame, count: int, least: int) -> list[int]:
 
 
 def _examples(rows: DataFrame, chosen: list[int], sample: int) -> list:
-    """At most ``sample`` rows (y, features, features after the swap), with chosen features alone."""
-    only = rows.sparkSession.sparkContext.broadcast(frozenset(chosen))
+    """At most ``sample`` rows (y, x, gained, lost): chosen features, and those that the swap adds and takes, as packed places.
+
+    Four bytes a feature: the driver keeps the sample as arrays, never as objects.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(chosen)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordFeatures(only.value)
+        place = shared.value
+        known = WordFeatures(frozenset(place))
+
+        def packed(found: set[int]) -> bytes:
+            return np.array(sorted(place[f] for f in found), PLACE).tobytes()
+
         for labels, texts in text_slices(batches):
-            bare, swapped = [], []
+            columns: tuple[list, list, list] = ([], [], [])
             for t in texts:
                 words = words_of(t)
-                bare.append(sorted(features(words, known)))
                 other = {SWAP.get(w, w) for w in words}
-                swapped.append(sorted(features(other, known)) if other != words else None)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(bare, kind), pa.array(swapped, kind)], names=["y", "x", "swapped"])
+                x = features(words, known)
+                swapped = features(other, known) if other != words else None
+                columns[0].append(packed(x))
+                columns[1].append(None if swapped is None else packed(swapped - x))
+                columns[2].append(None if swapped is None else packed(x - swapped))
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["y", "x", "gained", "lost"])
 
     # Only ids are ranked; the texts stay spread over the tasks.
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = rows.join(ids, "doc_id", "left_semi").select("y", "text")
-    found = picked.mapInArrow(run, "y long, x array<long>, swapped array<long>").collect()
-    return sorted(found, key=lambda e: (e.y, e.x, e.swapped or []))
+    found = picked.mapInArrow(run, "y long, x binary, gained binary, lost binary").toArrow().to_pylist()
+    return sorted(((e["y"], e["x"], e["gained"], e["lost"]) for e in found), key=lambda e: (e[0], e[1], e[2] or b"", e[3] or b""))
 
 
 def fitted(examples: list, chosen: list[int], ridge: float = RIDGE, fairness: float = FAIRNESS, rounds: int = 25) -> Model:
     """Weights that minimise mean log loss + ridge / 2 * |w|^2 + fairness * mean squared score change, by Newton steps."""
-    place = {f: k for k, f in enumerate(chosen)}
     y = np.array([e[0] for e in examples], float)
     if not len(y) or y.min() == y.max():
         return Model(60.0 if len(y) and y[0] == 1 else -60.0)
 
-    def sparse(lists):
-        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return at, np.array([place[f] for x in lists for f in x], np.int64)
+    def sparse(packed):
+        at = np.repeat(np.arange(len(packed)), [len(x) // PLACE.itemsize for x in packed])
+        return at, np.frombuffer(b"".join(packed), PLACE).astype(np.int64)
 
     n, k = len(y), len(chosen)
     row, col = sparse([e[1] for e in examples])
-    pairs = [(set(e[1]), set(e[2])) for e in examples if e[2] is not None]
+    pairs = [e for e in examples if e[2] is not None]
     m = max(1, len(pairs))
-    (prow, pcol), (mrow, mcol) = sparse([sorted(b - a) for a, b in pairs]), sparse([sorted(a - b) for a, b in pairs])
+    (prow, pcol), (mrow, mcol) = sparse([e[2] for e in pairs]), sparse([e[3] for e in pairs])
 
     def times(v):  # the intercept is the last weight
         return np.bincount(row, v[col], minlength=n) + v[k]

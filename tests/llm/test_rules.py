@@ -226,13 +226,15 @@ def test_colliding_surrogates_are_drawn_again(spark):
 def test_naming_a_group_does_not_move_the_score():
     # Toxic sentences name one group more often; without the penalty its name would count.
     rng = random.Random(1)
-    known, examples = toxicity.WordFeatures(), []
+    known, sets = toxicity.WordFeatures(), []
     texts = [("gay people are vile scum" if rng.random() < 0.8 else "you vile scum", 1) for _ in range(60)] + [("a nice day for women", 0) if rng.random() < 0.5 else ("a nice day", 0) for _ in range(90)]
     for t, y in texts:
         words = toxicity.words_of(t)
         other = {toxicity.SWAP.get(w, w) for w in words}
-        examples.append((y, sorted(toxicity.features(words, known)), sorted(toxicity.features(other, known)) if other != words else None))
-    chosen = sorted({f for e in examples for x in e[1:] if x for f in x})
+        sets.append((y, toxicity.features(words, known), toxicity.features(other, known) if other != words else None))
+    chosen = sorted({f for e in sets for x in e[1:] if x for f in x})
+    packed = lambda found: np.array([k for k, f in enumerate(chosen) if f in found], toxicity.PLACE).tobytes()
+    examples = [(y, packed(x), None if z is None else packed(z - x), None if z is None else packed(x - z)) for y, x, z in sets]
     free, fair = toxicity.fitted(examples, chosen, fairness=0.0).scorer(), toxicity.fitted(examples, chosen, fairness=10.0).scorer()
     gap = lambda s: abs(s("gay friends") - s("lesbian friends"))
     assert fair("vile scum") > 0.5 > fair("a nice day") and gap(fair) < gap(free) / 3
