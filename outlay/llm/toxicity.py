@@ -154,7 +154,7 @@ def _examples(rows: DataFrame, chosen: list[int], sample: int) -> list:
 
     # Only ids are ranked; the texts stay spread over the tasks.
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = rows.join(ids, "doc_id", "left_semi").select("y", "text")
+    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("y", "text")  # ``sample`` ids at most
     found = picked.mapInArrow(run, "y long, x binary, gained binary, lost binary").toArrow().to_pylist()
     return sorted(((e["y"], e["x"], e["gained"], e["lost"]) for e in found), key=lambda e: (e[0], e[1], e[2] or b"", e[3] or b""))
 
@@ -224,7 +224,8 @@ def fitted(examples: list, chosen: list[int], ridge: float = RIDGE, fairness: fl
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int | None = HELD, count: int = FEATURES, sample: int = SAMPLE) -> Model:
     """The model of the labelled rows of ``docs``; rows of fold ``held`` are left out (None: none)."""
     marks = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("y"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id")
+    # Stored, so that the planner knows their size: a small table is broadcast, and texts are shuffled only for a large one.
+    rows = docs.select("doc_id", "text").join(stored(marks, "marks"), "doc_id")
     if held is not None:
         rows = rows.where(fold("doc_id") != held)
     rows = stored(rows.select("doc_id", "text", "y"), "labelled")
