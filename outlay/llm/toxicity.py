@@ -1,14 +1,17 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A text is the set of its words and their 4- and 5-character runs, marked at word borders. Document counts of every
-feature in toxic and other labelled texts, over all labelled rows, pick the ``FEATURES`` with the highest chi-squared
-value. A logistic model over them is fitted on at most ``SAMPLE`` labelled rows (the ones with the least hash of their
-id; fewer rows are all used). Each of those texts that names a group is also swapped: the name is replaced by another of
-its list, and the squared change of the score is a penalty beside the usual one, so that naming a group does not move
-the score. The model is a table of at most ``FEATURES`` weights, sent to all tasks; scoring is one pass over the texts.
+A text is the set of its words and their 4- and 5-character runs, marked at word borders. The classifier is learned from
+at most ``SAMPLE`` labelled rows (the ones with the least hash of their id; fewer rows are all used): counts of every
+feature in their toxic and other texts pick the ``FEATURES`` with the highest chi-squared value, and a logistic model
+over them is fitted. Each of those texts that names a group is also swapped: the name is replaced by another of its
+list, and the squared change of the score is a penalty beside the usual one, so that naming a group does not move the
+score. The model is a table of at most ``FEATURES`` weights, sent to all tasks; scoring is one pass over the texts.
+
+Only labels are shuffled; their sample is broadcast, and texts meet it where they are read.
 
 Null and empty texts score the model's intercept. Rows without a label, and labels of rows that do not exist, are not
-learned from; repeated labels count once, by their greatest value; repeated rows score alike. Without labelled rows, or
+learned from (the latter take a place in the sample); repeated labels count once, by their greatest value; rows that
+share an id are learned from once, by their least text, and repeated rows score alike. Without labelled rows, or
 with labels of one kind, every text gets the share of toxic labels (0 without any). Labels, language, source and id are
 never part of a score; other columns may have any name.
 """
@@ -32,6 +35,8 @@ from outlay.llm.common import stored, table, text_slices
 FEATURES = 4096
 SAMPLE = 20_000
 LEAST = 3
+#: Leading bits of a hash whose values are counted to find where the sample ends.
+RANGE_BITS = 14
 #: Weights of the usual and of the counterfactual penalty.
 RIDGE = 1e-4
 FAIRNESS = 1.0
@@ -104,7 +109,7 @@ class Model:
 
 
 def _chosen(rows: DataFrame, count: int, least: int) -> list[int]:
-    """Features of (text, y) rows with the highest chi-squared value; all rows are counted."""
+    """Features of (text, y) rows with the highest chi-squared value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
@@ -126,8 +131,22 @@ def _chosen(rows: DataFrame, count: int, least: int) -> list[int]:
     return [r.f for r in best.collect()]  # ``count`` at most
 
 
-def _examples(rows: DataFrame, chosen: list[int], sample: int) -> list:
-    """At most ``sample`` rows (y, x, gained, lost): chosen features, and those that the swap adds and takes, as packed places.
+def sampled(marks: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows (doc_id, y) with the least hash of their id, all if there are fewer.
+
+    Hash ranges are counted first, so that no more than the sample and one range are sorted in one place.
+    """
+    h = F.xxhash64("doc_id")
+    at = F.shiftright(h, 64 - RANGE_BITS)
+    last, seen = None, 0
+    for place, n in sorted(marks.groupBy(at.alias("at")).count().collect()):  # 2 ** RANGE_BITS rows at most
+        if seen < sample:
+            last, seen = place, seen + n
+    return marks.where(at <= F.lit(last)).orderBy(h, "doc_id").limit(sample)
+
+
+def _examples(rows: DataFrame, chosen: list[int]) -> list:
+    """Rows (y, x, gained, lost): chosen features, and those that the swap adds and takes, as packed places.
 
     Four bytes a feature: the driver keeps the sample as arrays, never as objects.
     """
@@ -152,10 +171,7 @@ def _examples(rows: DataFrame, chosen: list[int], sample: int) -> list:
                 columns[2].append(None if swapped is None else packed(x - swapped))
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["y", "x", "gained", "lost"])
 
-    # Only ids are ranked; the texts stay spread over the tasks.
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("y", "text")  # ``sample`` ids at most
-    found = picked.mapInArrow(run, "y long, x binary, gained binary, lost binary").toArrow().to_pylist()
+    found = rows.select("y", "text").mapInArrow(run, "y long, x binary, gained binary, lost binary").toArrow().to_pylist()
     return sorted(((e["y"], e["x"], e["gained"], e["lost"]) for e in found), key=lambda e: (e[0], e[1], e[2] or b"", e[3] or b""))
 
 
@@ -223,14 +239,15 @@ def fitted(examples: list, chosen: list[int], ridge: float = RIDGE, fairness: fl
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int | None = HELD, count: int = FEATURES, sample: int = SAMPLE) -> Model:
     """The model of the labelled rows of ``docs``; rows of fold ``held`` are left out (None: none)."""
-    marks = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("y"))
-    # Stored, so that the planner knows their size: a small table is broadcast, and texts are shuffled only for a large one.
-    rows = docs.select("doc_id", "text").join(stored(marks, "marks"), "doc_id")
+    marks = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL")
     if held is not None:
-        rows = rows.where(fold("doc_id") != held)
-    rows = stored(rows.select("doc_id", "text", "y"), "labelled")
+        marks = marks.where(fold("doc_id") != held)
+    marks = stored(marks.groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("y")), "marks")
+    # ``sample`` pairs of an id and a label at most.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sampled(marks, sample)), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
     chosen = _chosen(rows, count, LEAST)
-    return fitted(_examples(rows, chosen, sample), chosen)
+    return fitted(_examples(rows, chosen), chosen)
 
 
 def fold(key: str):

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from outlay.llm import (
@@ -240,6 +241,20 @@ def test_naming_a_group_does_not_move_the_score():
     assert fair("vile scum") > 0.5 > fair("a nice day") and gap(fair) < gap(free) / 3
 
 
+@pytest.mark.parametrize("count", [0, 1, 99, 100, 101, 3000])
+def test_the_sample_has_the_least_hashes(spark, count):
+    marks = spark.range(0, count, 1, 3).selectExpr("id AS doc_id", "id % 2 AS y")
+    want = [tuple(r) for r in marks.orderBy(F.xxhash64("doc_id")).limit(100).collect()]
+    assert sorted(map(tuple, toxicity.sampled(marks, 100).collect())) == sorted(want)
+
+
+def test_rows_that_share_an_id_are_learned_from_once(spark):
+    rows = [(k, t) for k in range(40) for t in (f"vile scum {k}" if k % 2 else f"nice day {k}", None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    once, twice = (toxicity.learned(d, labels, held=None) for d in (docs, docs.unionByName(docs)))
+    assert once == twice and once.scorer()("vile scum") > 0.5 > once.scorer()("nice day")
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
