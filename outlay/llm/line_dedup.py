@@ -6,7 +6,8 @@ A line is removed if some earlier line matches it, whether that one is removed o
 
 1. Words are counted over all lines into a table of fixed size by hash; the rarest words of a set come first.
 2. Equal sets become one row, their first line, with the words of its prefix: sets of n words that match share one of
-   their n - ceil(4n/5) + 1 rarest. Sets of fewer than four words match equal sets only and have no prefix.
+   their n - ceil(4n/5) + 1 rarest. Words that occur only once are left out of the prefix, as nothing shares them.
+   Sets of fewer than four words match equal sets only and have no prefix.
 3. Rows that share a prefix word meet. Sizes, positions and a 64-bit parity sketch of the sets rule out nearly all;
    all three are bounds, so no match is lost. A semi join finds the sets with a possible earlier match (it stops at
    the first, so a group of k near-copies costs k rows and not k * k), and a window names for each the first set
@@ -31,8 +32,8 @@ from outlay.llm.common import BLANKS, stored, table
 
 #: Similarity as a ratio of whole numbers: 4/5.
 TOP, BOTTOM = 4, 5
-#: Size of the word-count table, and longs of a bit table.
-BUCKETS = 16_384
+#: Size of the word-count table (a power of two), and longs of a bit table.
+BUCKETS = 1 << 17
 LONGS = 65_536
 #: Words of a set from which the whole sketch is kept.
 LONG = 48
@@ -43,13 +44,25 @@ _LEAST = -(1 << 63)
 # ----- tables of fixed size, read by expressions -----
 
 
-def _word_classes(words: DataFrame) -> Column:
-    """A constant array: for each bucket of word hashes (h) the binary logarithm of how often its words occur."""
-    counts = words.select(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    classes = ["0"] * BUCKETS
-    for row in counts.select("b", F.least(F.lit(62), F.floor(F.log2("n"))).cast("int").alias("c")).collect():  # BUCKETS rows at most
-        classes[row.b] = str(row.c)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
+class WordClasses:
+    """For each bucket of word hashes the binary logarithm of how often its words occur, a byte each.
+
+    A constant of the plan, as lambda functions take no subqueries.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        counts = hashes.select(F.col("h").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+        packed = counts.selectExpr("shiftright(b, 3) AS b", "shiftleft(CAST(least(62, floor(log2(n))) AS BIGINT), 8 * (b & 7)) AS c").groupBy("b").agg(F.bit_or("c").alias("c"))
+        longs = ["0"] * (BUCKETS // 8)
+        for row in packed.collect():  # BUCKETS / 8 rows at most
+            longs[row.b] = str(row.c)
+        self.table = F.split(F.lit(",".join(longs)), ",").cast("array<bigint>")
+
+    def of(self, h: Column) -> Column:
+        """0 only for the one occurrence of a word."""
+        b = h.bitwiseAND(BUCKETS - 1).cast("int")
+        byte = F.call_function("shiftright", F.get(self.table, F.shiftright(b, 3)), b.bitwiseAND(7) * 8)
+        return byte.bitwiseAND(63)
 
 
 def _dense(pairs: DataFrame, size: int, kind: str) -> DataFrame:
@@ -89,41 +102,44 @@ def _words(t: Column) -> Column:
     return F.split(plain, " ")
 
 
-def _keys(t: Column, classes: Column) -> Column:
+def _keys(t: Column, classes: WordClasses) -> Column:
     """Distinct words as longs that sort from rare to frequent: six bits of class, then 57 bits of hash."""
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return F.shiftleft(classes.of(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(t), ""), key)))
 
 
-def keyed_lines(docs: DataFrame, classes: Column, text: str) -> DataFrame:
-    """(doc, line, s1, s2, n, parity, half, prefix) of every line: its place, and its set's 128-bit name, size,
-    sketch and prefix.
+def keyed_lines(docs: DataFrame, classes: WordClasses, text: str) -> DataFrame:
+    """(doc, line, s1, s2, n, parity, half, lone, prefix) of every line: its place, and its set's 128-bit name, size,
+    sketch and prefix. Words that occur once in all lines lead the prefix; they are counted (``lone``) and not kept.
 
     A sketch has 128 bits, each the parity of the words that fall on it: sets that differ in d words differ in d bits at
     most. ``parity`` folds it to 64 bits, enough for sets of fewer than ``LONG`` words; longer ones keep a half too.
     """
     rows = _lines(docs, text).select("doc", "line", _keys(F.col("t"), classes).alias("keys"))
     n = F.size("keys")
-    prefix = F.when(n >= TOP, F.transform(F.slice("keys", 1, n - F.ceil(n * TOP / BOTTOM).cast("int") + 1), lambda k: F.shiftrightunsigned(k, 31).cast("int")))
+    front = F.when(n >= TOP, F.slice("keys", 1, n - F.ceil(n * TOP / BOTTOM).cast("int") + 1))
+    shared = F.filter(front, lambda k: k >= 1 << 57)
+    prefix = F.transform(shared, lambda k: (k.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int"))
     parity = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, CAST(k & 63L AS INT)))")
     half = F.expr("aggregate(filter(keys, k -> k & 64L = 64L), 0L, (a, k) -> a ^ shiftleft(1L, CAST(k & 63L AS INT)))")
     half = F.when(n >= LONG, half).otherwise(F.lit(0).cast("long")).alias("half")
     names = F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")
-    return rows.select("doc", "line", *names, n.alias("n"), parity.alias("parity"), half, prefix.alias("prefix"))
+    return rows.select("doc", "line", *names, n.alias("n"), parity.alias("parity"), half, (F.size(front) - F.size(shared)).alias("lone"), prefix.alias("prefix"))
 
 
 def sets(lines: DataFrame) -> DataFrame:
     """One row for each distinct set, with its first line (doc, line)."""
-    rows = lines.select("s1", "s2", F.struct("doc", "line", *SIZES, "prefix").alias("first"))
+    rows = lines.select("s1", "s2", F.struct("doc", "line", *SIZES, "lone", "prefix").alias("first"))
     return rows.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("s1", "s2", "first.*")
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    rows = found.select("doc", "line", *SIZES, F.posexplode("prefix").alias("pos", "token"))
+    rows = found.select("doc", "line", *SIZES, "lone", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("doc", "line", *SIZES, (F.col("lone") + F.col("pos")).alias("pos"), "token")
     # None is null; saying so spares the planner filters that would tell apart the uses of one exchange.
     return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
 
@@ -206,7 +222,7 @@ def _matched(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, line) of every line to remove; ``doc`` is the id, or the least long for a null id."""
     words = _lines(docs, text).select(F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
-    classes = _word_classes(words.select(F.xxhash64("w").alias("h")))
+    classes = WordClasses(words.select(F.xxhash64("w").alias("h")))
     lines = stored(keyed_lines(docs, classes, text), "lines")
     found = stored(sets(lines), "sets")
     matched = _matched(docs, found, text)
