@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings without a telling name.
 
 Candidates are runs of at least ``LEAST_RUN`` characters of the base64 and URL-safe alphabets that hold a digit and a
-letter and touch no span of a pattern. The encoding is the smallest alphabet that holds the string. Under the hypothesis that
+letter and touch no span of a pattern. An equals sign belongs to a run only as padding at its end, so in NAME=VALUE the value
+is a candidate of its own. The encoding is the smallest alphabet that holds the string. Under the hypothesis that
 the string is uniform over it, three tests give p-values: chi-squared over classes of characters, runs above and below
 the middle of the alphabet, and the correlation of neighbours. Three times the least is the string's p-value.
 
@@ -32,7 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+# '=' only closes a run, as the padding of base64 or base32; inside it parts a name from its value.
+RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
 LEAST_RUN = 20
 LENGTHS = (20, 24, 32, 48, 64)
 RATE = 0.05

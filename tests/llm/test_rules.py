@@ -317,6 +317,23 @@ def test_base_spans_and_random_strings(spark):
     assert got[283] == [("access", 0, 20)] and got[284] == [] and got[285] == [("hex", 2, 34)] and got[286] == []
 
 
+def test_values_of_assignments_are_candidates(spark):
+    rng = random.Random(5)
+    drawn = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(rng.choice(of) for _ in range(n))
+    names = ("AWS_SECRET_ACCESS_KEY=", "sig=", "a=b&code=", "DB_PASS1=", "x2==")
+    ends = ("", "=", "==", "\n", "==&next=1")
+    texts, want = [], []
+    for k in range(60):
+        name, value, end = names[k % 5], drawn(40), ends[k // 5 % 5]
+        texts.append(f"{name}{value}{end}")
+        want.append([("random", len(name), len(name) + 40 + end[:2].count("="))])
+    texts += [f"name_of_the_field_{k}=one_plain_value_of_many_{k}" for k in range(100)]
+    got = {r.doc_id: [(secrets.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in secrets.secrets(frame(spark, texts)).collect()}
+    assert sum(got[k] == want[k] for k in range(60)) >= 54 and all(got[k] in ([], want[k]) for k in range(60))
+    assert not any(got[k] for k in range(60, 160))
+    assert [m[0] for m in secrets.RUN.finditer("a1=b2==c3 d4====== e5=======")] == ["a1", "b2", "c3", "d4======", "e5"]
+
+
 def test_chi_squared_tail():
     assert secrets.chi_tail(3.841, 1) == pytest.approx(0.05, abs=1e-4) and secrets.chi_tail(5.991, 2) == pytest.approx(0.05, abs=1e-4)
     assert secrets.chi_tail(11.070, 5) == pytest.approx(0.05, abs=1e-4) and secrets.chi_tail(9.488, 4) == pytest.approx(0.05, abs=1e-4)
