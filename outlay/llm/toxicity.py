@@ -1,16 +1,17 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A text is the set of its words and their 4- and 5-character runs, marked at word borders. The classifier is learned from
-at most ``SAMPLE`` labelled rows (the ones with the least hash of their id; fewer rows are all used): counts of every
-feature in their toxic and other texts pick the ``FEATURES`` with the highest chi-squared value, and a logistic model
-over them is fitted. Each of those texts that names a group is also swapped: the name is replaced by another of its
-list, and the squared change of the score is a penalty beside the usual one, so that naming a group does not move the
-score. The model is a table of at most ``FEATURES`` weights, sent to all tasks; scoring is one pass over the texts.
+A text is the set of its words and their 4- and 5-character runs, marked at word borders. Counts of every feature in the
+toxic and other texts of all labelled rows pick the ``FEATURES`` with the highest chi-squared value. A logistic model over
+them is fitted on at most ``SAMPLE`` labelled rows (the ones with the least hash of their id; fewer rows are all used).
+Each of those texts that names a group is also swapped: the name is replaced by another of its list, and the squared
+change of the score is a penalty beside the usual one, so that naming a group does not move the score. The model is a
+table of at most ``FEATURES`` weights, sent to all tasks; scoring is one pass over the texts.
 
-Only labels are shuffled; their sample is broadcast, and texts meet it where they are read.
+Ids, labels and counts are shuffled, texts are not: labels are broadcast in blocks of about ``BLOCK`` ids, and texts meet
+them where they are read, in one reading for each block. Only texts of labelled rows that share an id are shuffled.
 
 Null and empty texts score the model's intercept. Rows without a label, and labels of rows that do not exist, are not
-learned from (the latter take a place in the sample); repeated labels count once, by their greatest value; rows that
+learned from; repeated labels count once, by their greatest value; rows that
 share an id are learned from once, by their least text, and repeated rows score alike. Without labelled rows, or
 with labels of one kind, every text gets the share of toxic labels (0 without any). Labels, language, source and id are
 never part of a score; other columns may have any name.
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from outlay.llm.common import stored, table, text_slices
 FEATURES = 4096
 SAMPLE = 20_000
 LEAST = 3
+#: Labels that are broadcast at once.
+BLOCK = 500_000
 #: Leading bits of a hash whose values are counted to find where the sample ends.
 RANGE_BITS = 14
 #: Weights of the usual and of the counterfactual penalty.
@@ -108,8 +112,8 @@ class Model:
 # ----- learning -----
 
 
-def _chosen(rows: DataFrame, count: int, least: int) -> list[int]:
-    """Features of (text, y) rows with the highest chi-squared value."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(f, n0, n1): in how many other and toxic texts of (y, text) rows each feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
@@ -122,9 +126,30 @@ def _chosen(rows: DataFrame, count: int, least: int) -> list[int]:
                 [pa.array(keys, pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], names=["f", "n0", "n1"]
             )
 
-    totals = rows.agg(F.sum(1 - F.col("y")).alias("t0"), F.sum("y").alias("t1")).first()
+    return rows.select("y", "text").mapInArrow(run, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _joined(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the marked rows, the least text of rows that share an id; ``marks`` (doc_id, y) are broadcast."""
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def _chosen(docs: DataFrame, marks: DataFrame, count: int, least: int, block: int) -> list[int]:
+    """Features with the highest chi-squared value over the texts of all ``marks`` (doc_id, y, copies)."""
+    totals = marks.agg(F.count("*").alias("n"), F.sum(1 - F.col("y")).alias("t0"), F.sum("y").alias("t1"), F.max("copies").alias("copies")).first()
     t0, t1 = totals.t0 or 0, totals.t1 or 0
-    counts = rows.select("y", "text").mapInArrow(run, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    blocks = max(1, -(-totals.n // block))
+    parts = []
+    for k in range(blocks):
+        here = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k if blocks > 1 else F.lit(True)
+        some, own = docs.select("doc_id", "text").where(here), marks.where(here)
+        rows = some.join(F.broadcast(own.where("copies = 1").select("doc_id", "y")), "doc_id").select("y", "text")
+        if (totals.copies or 1) > 1:
+            rows = rows.unionByName(_joined(some, own.where("copies > 1").select("doc_id", "y")).select("y", "text"))
+        parts.append(stored(_counts(rows), "counts"))
+    counts = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        counts = counts.groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     chi = (n1 * t0 - n0 * t1) ** 2 / ((n0 + n1) * (t0 + t1 - n0 - n1) + 1)
     best = counts.where(n0 + n1 >= least).orderBy(chi.desc(), "f").limit(count).select("f")
@@ -237,16 +262,16 @@ def fitted(examples: list, chosen: list[int], ridge: float = RIDGE, fairness: fl
     return Model(float(w[k]), {f: float(x) for f, x in zip(chosen, w) if x})
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int | None = HELD, count: int = FEATURES, sample: int = SAMPLE) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int | None = HELD, count: int = FEATURES, sample: int = SAMPLE, block: int = BLOCK) -> Model:
     """The model of the labelled rows of ``docs``; rows of fold ``held`` are left out (None: none)."""
     marks = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL")
     if held is not None:
         marks = marks.where(fold("doc_id") != held)
-    marks = stored(marks.groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("y")), "marks")
+    marks = marks.groupBy("doc_id").agg(F.max(F.col(label).cast("long")).alias("y"))
+    marks = stored(docs.groupBy("doc_id").agg(F.count("*").alias("copies")).join(marks, "doc_id").select("doc_id", "y", "copies"), "marks")
+    chosen = _chosen(docs, marks, count, LEAST, block)
     # ``sample`` pairs of an id and a label at most.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled(marks, sample)), "doc_id")
-    rows = stored(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
-    chosen = _chosen(rows, count, LEAST)
+    rows = stored(_joined(docs, sampled(marks.select("doc_id", "y"), sample)), "labelled")
     return fitted(_examples(rows, chosen), chosen)
 
 

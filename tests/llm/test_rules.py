@@ -255,6 +255,31 @@ def test_rows_that_share_an_id_are_learned_from_once(spark):
     assert once == twice and once.scorer()("vile scum") > 0.5 > once.scorer()("nice day")
 
 
+@pytest.mark.parametrize("block", [10_000, 70])
+def test_features_are_counted_over_all_labelled_rows(spark, block):
+    # "zorblim" is in two texts of the sample and in fifty others; some ids have two texts, some labels no text.
+    marks = [(k, k % 2) for k in range(400)]
+    near = {r.doc_id for r in toxicity.sampled(spark.createDataFrame(marks, "doc_id long, y long"), 60).collect()}
+    toxic = sorted((k for k, y in marks if y), key=lambda k: (k not in near, k))
+    inside = [k for k in toxic if k in near]
+    rare = {*inside[:2], *[k for k in toxic if k not in near][:50]}
+    texts = {k: f"{'vile scum' if y else 'nice day'} {' '.join(prose(k, 5, 40))}{' zorblim' if k in rare else ''}" for k, y in marks}
+    docs = frame(spark, [texts[k] for k in range(400)]).unionByName(spark.createDataFrame([(k, "zzz later text") for k in range(0, 400, 7)], "doc_id long, text string"))
+    labels = spark.createDataFrame(marks + [(k, 1) for k in range(1000, 1100)], "doc_id long, toxic int")
+    known, seen = toxicity.WordFeatures(), ({}, {})
+    for k, y in marks:
+        for f in toxicity.features(toxicity.words_of(texts[k]), known):
+            seen[y][f] = seen[y].get(f, 0) + 1
+    chi = {}
+    for f in seen[0].keys() | seen[1].keys():
+        a, b = seen[0].get(f, 0), seen[1].get(f, 0)
+        if a + b >= toxicity.LEAST:
+            chi[f] = (b * 200.0 - a * 200.0) ** 2 / ((a + b) * (400.0 - a - b) + 1)
+    best = sorted(chi, key=lambda f: (-chi[f], f))[:100]
+    model = toxicity.learned(docs, labels, held=None, count=100, sample=60, block=block)
+    assert set(model.weights) <= set(best) and set(known["zorblim"]) <= set(model.weights)
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
