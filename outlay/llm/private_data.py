@@ -6,7 +6,9 @@ card numbers keep a valid or invalid check digit as it was; names keep the title
 the same gender and script. As the surrogate depends on the entity alone, all mentions of it, in all texts, read alike.
 
 Surrogates are checked: one that another entity has too, or that equals any entity of the data, is drawn again with the next
-round number until none is left (the entity that sorts first keeps its surrogate). So distinct entities stay distinct. Rounds work on
+round number until none is left (the entity that sorts first keeps its surrogate). After a round without progress, and from
+round ``ROUNDS`` on, e-mail addresses, telephone numbers and names get one more place, so short forms with more entities than
+surrogates come to an end too. So distinct entities stay distinct. Rounds work on
 distinct entities, in the shared folder; the number of colliding ones falls with each.
 
 Texts without an entity are not shuffled. Distinct texts with one are named by 128-bit hashes, so a hot text is worked on once; its
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from outlay.llm.common import stored, table
 
 KEY = "outlay"
+#: Rounds of drawing after which surrogates grow by one place a round.
+ROUNDS = 8
 _CAP, _LOW = r"\p{Lu}", r"[\p{Ll}'’-]"
 _NAME = rf"{_CAP}{_LOW}+"
 # Titles by gender.
@@ -31,7 +35,7 @@ _TITLES = "|".join(sorted(MEN + WOMEN, key=lambda t: (-len(t), t)))
 KINDS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+(?=\d(?:[ .-]?\(?\d\)?){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
     ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?"),
 )
@@ -49,7 +53,7 @@ _SCRIPTS = {"cyrillic": (r"\p{IsCyrillic}", "бвгдклмнпрст", "аеи
 
 
 def kind_of(entity: Column) -> Column:
-    return F.coalesce(*[F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS], F.lit("name"))
+    return F.coalesce(*[F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS], F.when(entity.rlike(r"^[+(]?\d"), F.lit("phone")), F.lit("name"))
 
 
 # ----- surrogates -----
@@ -95,26 +99,26 @@ def _ip(seed: Column) -> Column:
     return F.concat_ws(".", *[(_drawn(seed, F.lit(k), 254) + 1).cast("string") for k in range(4)])
 
 
-def _email(text: Column, seed: Column) -> Column:
+def _email(text: Column, seed: Column, longer: int) -> Column:
     """All but the last label drawn anew."""
     at = F.length(text) - F.length(F.substring_index(text, ".", -1))
-    return F.concat(_redrawn(F.substring(text, F.lit(1), at), seed), F.substring_index(text, ".", -1))
+    return F.concat(_redrawn(F.concat(F.lit("a" * longer), F.substring(text, F.lit(1), at)), seed), F.substring_index(text, ".", -1))
 
 
-def _phone(text: Column, seed: Column) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(text, r"^\+\d{1,3}(?=\D|$)", 0)
-    return F.concat(code, _redrawn(F.substring(text, F.length(code) + 1, F.length(text)), seed))
+def _phone(text: Column, seed: Column, longer: int) -> Column:
+    """The country code stays if digits follow it."""
+    code = F.regexp_extract(text, r"^\+\d{1,3}(?=\D.*\d)", 0)
+    return F.concat(code, _redrawn(F.concat(F.substring(text, F.length(code) + 1, F.length(text)), F.lit("0" * longer)), seed))
 
 
-def _name(text: Column, seed: Column) -> Column:
+def _name(text: Column, seed: Column, longer: int) -> Column:
     title = F.regexp_extract(text, r"^[^ ]+", 0)
     rest = F.split(F.substring(text, F.length(title) + 2, F.length(text)), " ")
     woman = F.regexp_replace(title, r"\.$", "").isin(*WOMEN)
     out = None
     for script, (test, hard, soft) in _SCRIPTS.items():
         first = F.when(woman, _of(FIRST[script, "f"], seed)).otherwise(_of(FIRST[script, "m"], seed))
-        last = F.initcap(F.concat(*[_pick(letters, _drawn(seed, F.lit(20 + k), len(letters))) for k, letters in enumerate((hard, soft) * 4)]))
+        last = F.initcap(F.concat(*[_pick(letters, _drawn(seed, F.lit(20 + k), len(letters))) for k, letters in enumerate((hard, soft) * (4 + longer))]))
         made = F.when(F.size(rest) > 1, F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
         out = made if out is None else out
         if script == "cyrillic":
@@ -130,11 +134,11 @@ def _of(names: tuple[str, ...], seed: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (_drawn(seed, F.lit(17), len(names)) + 1).cast("int"))
 
 
-def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
+def surrogate(entity: Column, kind: Column, key: str, attempt: Column, longer: int = 0) -> Column:
     seed = F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"))
     return (
-        F.when(kind == "email", _email(entity, seed)).when(kind == "ip", _ip(seed)).when(kind == "card", _card(entity, seed))
-        .when(kind == "phone", _phone(entity, seed)).otherwise(_name(entity, seed))
+        F.when(kind == "email", _email(entity, seed, longer)).when(kind == "ip", _ip(seed)).when(kind == "card", _card(entity, seed))
+        .when(kind == "phone", _phone(entity, seed, longer)).otherwise(_name(entity, seed, longer))
     )
 
 
@@ -142,9 +146,9 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(entity, kind, surrogate) of distinct ``entities`` (entity): distinct, and none equal to an entity."""
     known = stored(entities.where("entity IS NOT NULL").select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "entities")
     names = known.select(F.col("entity").alias("surrogate"))
-    done, todo, attempt = None, known, 0
+    done, todo, attempt, longer, left = None, known, 0, 0, None
     while True:
-        drawn = stored(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt))), "drawn")
+        drawn = stored(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt), longer)), "drawn")
         owners = drawn.groupBy("surrogate").agg(F.min("entity").alias("owner")).join(names, "surrogate", "left_anti")
         if done is not None:
             owners = owners.join(done.select("surrogate"), "surrogate", "left_anti")
@@ -152,9 +156,11 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         fine = stored(fine, "surrogates")
         done = fine if done is None else done.unionByName(fine)
         todo = stored(drawn.join(fine.select("entity"), "entity", "left_anti").select("entity", "kind"), "again")
-        if todo.isEmpty():
+        before, left = left, todo.count()
+        if not left:
             return done
         attempt += 1
+        longer += attempt >= ROUNDS or left == before
 
 
 def replaced(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

@@ -221,6 +221,16 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert set(got) == set(some) and len(set(got.values())) == len(some) and not set(got.values()) & set(some)
 
 
+def test_short_numbers_come_to_an_end(spark):
+    texts = ["+100 points", "+100%", "+1 2 3 go", "call +290 1234 now", "+1 (2) 3-4-5678"]
+    out = {r.row.doc_id: (r.text, r.entities) for r in private_data.replaced(frame(spark, texts)).collect()}
+    assert [out[k] for k in range(3)] == [(t, []) for t in texts[:3]]
+    assert out[3][1] == ["+290 1234"] and out[3][0].startswith("call +290 ") and out[4][1] == ["+1 (2) 3-4-5678"]
+    some = [f"+1 {k} {j}" for k in range(10) for j in range(10)] + ["+100"]
+    got = {r.entity: r.surrogate for r in private_data.surrogates(spark.createDataFrame([(e,) for e in some], "entity string")).collect()}
+    assert set(got) == set(some) and len(set(got.values())) == len(some) and not set(got.values()) & set(some)
+
+
 # ----- toxicity -----
 
 
