@@ -2,9 +2,14 @@
 
 Found are e-mail addresses, IPv4 addresses, payment-card numbers, telephone numbers and titled names. Every distinct
 entity gets one keyed surrogate of its own type: addresses, numbers and names keep length, case, separators and script;
-card numbers keep a valid or invalid check digit as it was; names keep the title, and the first name is drawn from names of
+card numbers keep a valid or invalid check digit as it was; names keep the title, and first names are drawn from names of
 the same gender and script. As the surrogate depends on the entity alone, all mentions of it, in all texts, read alike.
 
+A titled name is any number of words: initials, inner capitals, hyphens and apostrophes belong to it, small particles ("van")
+stay. Its words are replaced one by one. A last name has one surrogate whatever title or first name comes before it, so all
+mentions of a person share it; a first name has one too, unless two full names would become the same. Then one of them gets
+another first name, in later rounds more of them. Words are compared as written: 'Smith' and 'SMITH' are two names.
+
 Surrogates are checked: one that another entity has too, or that equals any entity of the data, is drawn again with the next
 round number until none is left (the entity that sorts first keeps its surrogate). After a round without progress, and from
 round ``ROUNDS`` on, e-mail addresses, telephone numbers and names get one more place, so short forms with more entities than
@@ -26,8 +31,13 @@ from outlay.llm.common import stored, table
 KEY = "outlay"
 #: Rounds of drawing after which surrogates grow by one place a round.
 ROUNDS = 8
-_CAP, _LOW = r"\p{Lu}", r"[\p{Ll}'’-]"
-_NAME = rf"{_CAP}{_LOW}+"
+# A name word: an initial before another name, or a capital and letters, with parts after hyphens and apostrophes but not 's.
+_PART = r"[\p{L}\p{M}]*+"
+_WORD = rf"\p{{Lu}}{_PART}(?:['’-](?!s(?!\p{{L}}))\p{{L}}{_PART})*+"
+_INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_NAME = rf"(?:{_INITIAL}(?= ?\p{{Lu}})|{_WORD})"
+# Particles of last names.
+_PARTICLE = r"(?: (?:van|von|der|den|de|del|della|di|da|du|dos|la|le|bin|ibn|ter|ten|zu|zur))*+"
 # Titles by gender.
 MEN = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία")
@@ -37,7 +47,7 @@ KINDS = (
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("phone", r"(?<![\w+])\+(?=\d(?:[ .-]?\(?\d\)?){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.?{_PARTICLE} {_NAME}(?:{_PARTICLE} ?{_NAME})*+"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 # First names by script and gender.
@@ -111,51 +121,64 @@ def _phone(text: Column, seed: Column, longer: int) -> Column:
     return F.concat(code, _redrawn(F.concat(F.substring(text, F.length(code) + 1, F.length(text)), F.lit("0" * longer)), seed))
 
 
-def _name(text: Column, seed: Column, longer: int) -> Column:
-    title = F.regexp_extract(text, r"^[^ ]+", 0)
-    rest = F.split(F.substring(text, F.length(title) + 2, F.length(text)), " ")
+def _words(entity: Column) -> Column:
+    """The words of a titled name without the title, initials apart."""
+    title = F.regexp_extract(entity, r"^[^ ]+", 0)
+    return F.split(F.regexp_replace(F.substring(entity, F.length(title) + 2, F.length(entity)), r"\.(?=\p{Lu})", ". "), " ")
+
+
+def _by_script(text: Column, made) -> Column:
+    """``made(script)`` for the script of ``text``."""
+    tests = [(script, test) for script, (test, _, _) in _SCRIPTS.items() if test]
+    return F.coalesce(*[F.when(text.rlike(test), made(script)) for script, test in tests], made("latin"))
+
+
+def _last(word: Column, seed: Column, longer: int) -> Column:
+    letters = lambda script: enumerate(_SCRIPTS[script][1:] * (4 + longer))
+    return _by_script(word, lambda script: F.initcap(F.concat(*[_pick(x, _drawn(seed, F.lit(20 + k), len(x))) for k, x in letters(script)])))
+
+
+def _name(text: Column, last: Column, key: str, attempt: Column, longer: int) -> Column:
+    """Title, a drawn name or initial for each word but the last, more names if ``longer``, and the surrogate of the last word."""
+    title, words = F.regexp_extract(text, r"^[^ ]+", 0), _words(text)
     woman = F.regexp_replace(title, r"\.$", "").isin(*WOMEN)
-    out = None
-    for script, (test, hard, soft) in _SCRIPTS.items():
-        first = F.when(woman, _of(FIRST[script, "f"], seed)).otherwise(_of(FIRST[script, "m"], seed))
-        last = F.initcap(F.concat(*[_pick(letters, _drawn(seed, F.lit(20 + k), len(letters))) for k, letters in enumerate((hard, soft) * (4 + longer))]))
-        made = F.when(F.size(rest) > 1, F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
-        out = made if out is None else out
-        if script == "cyrillic":
-            out = F.when(text.rlike(test), made)
-        elif test:
-            out = out.when(text.rlike(test), made)
-        else:
-            out = out.otherwise(made)
-    return out
+    seed = lambda word, k: F.concat_ws("|", F.lit(key), F.lit("first"), word, attempt.cast("string"), F.lit(str(k)))
+    name = lambda word, k: _by_script(word, lambda script: F.when(woman, _of(FIRST[script, "f"], seed(word, k))).otherwise(_of(FIRST[script, "m"], seed(word, k))))
+    initial = lambda word: F.concat(_by_script(word, lambda x: F.upper(_pick(_SCRIPTS[x][1], _drawn(seed(word, 0), F.lit(3), len(_SCRIPTS[x][1]))))), F.lit("."))
+    one = lambda word: F.when(word.rlike(r"^\p{Ll}"), word).when(word.rlike(r"\.$"), initial(word)).otherwise(name(word, 0))
+    front = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), one)
+    more = [name(F.element_at(words, -1), k + 1) for k in range(longer)]
+    return F.concat_ws(" ", title, F.array_join(front, " ") if not more else F.array_join(F.concat(front, F.array(*more)), " "), last)
 
 
 def _of(names: tuple[str, ...], seed: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (_drawn(seed, F.lit(17), len(names)) + 1).cast("int"))
 
 
-def surrogate(entity: Column, kind: Column, key: str, attempt: Column, longer: int = 0) -> Column:
+def surrogate(entity: Column, kind: Column, last: Column, key: str, attempt: Column, longer: int = 0) -> Column:
+    """``last`` is the surrogate of a name's last word; null for other kinds."""
     seed = F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"))
+    # A name of one word has no words before the last: its two blanks become one.
     return (
         F.when(kind == "email", _email(entity, seed, longer)).when(kind == "ip", _ip(seed)).when(kind == "card", _card(entity, seed))
-        .when(kind == "phone", _phone(entity, seed, longer)).otherwise(_name(entity, seed, longer))
+        .when(kind == "phone", _phone(entity, seed, longer)).when(kind == "last", _last(entity, seed, longer))
+        .otherwise(F.regexp_replace(_name(entity, last, key, attempt, longer), "  ", " "))
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(entity, kind, surrogate) of distinct ``entities`` (entity): distinct, and none equal to an entity."""
-    known = stored(entities.where("entity IS NOT NULL").select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "entities")
+def _settled(known: DataFrame, key: str) -> DataFrame:
+    """(entity, kind, last, surrogate) of stored, distinct (entity, kind, last): distinct, and none equal to an entity."""
     names = known.select(F.col("entity").alias("surrogate"))
     done, todo, attempt, longer, left = None, known, 0, 0, None
     while True:
-        drawn = stored(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt), longer)), "drawn")
+        drawn = stored(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.col("last"), key, F.lit(attempt), longer)), "drawn")
         owners = drawn.groupBy("surrogate").agg(F.min("entity").alias("owner")).join(names, "surrogate", "left_anti")
         if done is not None:
             owners = owners.join(done.select("surrogate"), "surrogate", "left_anti")
         fine = drawn.join(owners, (drawn.surrogate == owners.surrogate) & (drawn.entity == owners.owner), "left_semi")
         fine = stored(fine, "surrogates")
         done = fine if done is None else done.unionByName(fine)
-        todo = stored(drawn.join(fine.select("entity"), "entity", "left_anti").select("entity", "kind"), "again")
+        todo = stored(drawn.join(fine.select("entity"), "entity", "left_anti").select("entity", "kind", "last"), "again")
         before, left = left, todo.count()
         if not left:
             return done
@@ -163,6 +186,16 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         longer += attempt >= ROUNDS or left == before
 
 
+def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(entity, kind, surrogate) of distinct ``entities`` (entity): distinct, and none equal to an entity."""
+    known = stored(entities.where("entity IS NOT NULL").select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "entities")
+    known = known.withColumn("word", F.when(F.col("kind") == "name", F.element_at(_words(F.col("entity")), -1)))
+    words = known.where("word IS NOT NULL").select(F.col("word").alias("entity")).distinct()
+    lasts = _settled(stored(words.select("entity", F.lit("last").alias("kind"), F.lit(None).cast("string").alias("last")), "last"), key)
+    known = known.join(lasts.select(F.col("entity").alias("word"), F.col("surrogate").alias("last")), "word", "left").select("entity", "kind", "last")
+    return _settled(stored(known, "known"), key).select("entity", "kind", "surrogate")
+
+
 def replaced(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """(row, text, entities, surrogates): every row with its text after replacement and what was replaced by what, in order."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))

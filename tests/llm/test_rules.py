@@ -231,6 +231,23 @@ def test_short_numbers_come_to_an_end(spark):
     assert set(got) == set(some) and len(set(got.values())) == len(some) and not set(got.values()) & set(some)
 
 
+def test_titled_names_are_replaced_whole_and_share_last_names(spark):
+    full = ["Mrs Anna Maria Schmidt", "Mr. John Q. Public", "Mr O'Brien", "Mr Jean-Paul Sartre", "Mr McDonald", "Mr J.R.R. Tolkien", "Mr Ludwig van Beethoven"]
+    full += ["Mr John Smith", "Mr Smith", "Mr. Smith", "Mr Paul Smith"] + [f"Mr {chr(65 + k)}{'abcdefghij'[k % 10] * 3} Stone" for k in range(26)]
+    texts = [f"Then {e} left, and {e}'s hat stayed." for e in full]
+    out = {r.row.doc_id: r for r in private_data.replaced(frame(spark, texts)).collect()}
+    assert [out[k].entities for k in range(len(full))] == [[e, e] for e in full]
+    got = {e: out[k].surrogates[0] for k, e in enumerate(full)}
+    assert all(out[k].text == f"Then {got[e]} left, and {got[e]}'s hat stayed." for k, e in enumerate(full))
+    assert len(set(got.values())) == len(full) and not set(got) & set(got.values())
+    last = lambda e: got[e].split(" ")[-1]
+    assert last("Mr John Smith") == last("Mr Smith") == last("Mr. Smith") == last("Mr Paul Smith") != last("Mr O'Brien")
+    assert len({last(e) for e in full if e.endswith(" Stone")}) == 1
+    for e in full:
+        kept = set(re.findall(r"\w+", e)) & set(re.findall(r"\w+", got[e]))
+        assert kept <= {"Mr", "Mrs", "van"} and got[e].split(" ")[0] == e.split(" ")[0]
+
+
 # ----- toxicity -----
 
 
