@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from outlay.llm import (
-    decontaminate, language_model, line_dedup, pieces, private_data, quality_rules, secrets, simhash, toxicity, url_filters,
+    decontaminate, exact_dedup, language_model, line_dedup, periodic_runs, pieces, private_data, quality_rules, secrets, simhash,
+    toxicity, url_filters,
 )
 
 QUERIES = {
@@ -18,6 +19,8 @@ QUERIES = {
     "op8_url_filters": url_filters.op8,
     "op9_secrets": secrets.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_exact_dedup": exact_dedup.op12,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL, "op12_exact_dedup": exact_dedup.OP12_SQL}
