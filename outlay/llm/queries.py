@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from outlay.llm import (
-    decontaminate, exact_dedup, language_model, line_dedup, periodic_runs, pieces, private_data, quality_rules, secrets, simhash,
+    decontaminate, exact_dedup, hard_negatives, language_model, line_dedup, periodic_runs, pieces, private_data, quality_rules, secrets, simhash,
     toxicity, url_filters,
 )
 
@@ -21,6 +21,8 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10,
     "op11_periodic_runs": periodic_runs.op11,
     "op12_exact_dedup": exact_dedup.op12,
+    "op13_hard_negatives": hard_negatives.op13,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL, "op12_exact_dedup": exact_dedup.OP12_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op8_url_filters": url_filters.OP8_SQL, "op12_exact_dedup": exact_dedup.OP12_SQL,
+       "op13_hard_negatives": hard_negatives.OP13_SQL}
