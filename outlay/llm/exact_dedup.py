@@ -47,7 +47,8 @@ def judged(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = stored(rows.withColumn("at", F.monotonically_increasing_id()), "refined")
     own = F.col("row")[key]
     first = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("at").alias("at")))
-    groups = rows.where("full IS NOT NULL").groupBy("full").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written before the join, so that the planner knows its size and can split the rows of a hot group.
+    groups = stored(rows.where("full IS NOT NULL").groupBy("full").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
     # Rows without a hash are alone; they take no part in the join, so no null key gathers them.
     alone = rows.where("full IS NULL").select(*rows.columns, own.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     met = rows.where("full IS NOT NULL").join(groups, "full", "left").select(

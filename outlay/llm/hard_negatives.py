@@ -37,8 +37,8 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 #: Anchors that fit the centroids, and centroids at most.
 SAMPLE, CLUSTERS, PER_CLUSTER = 4_096, 64, 32
-#: Most anchors of a block and, on average, rows of a slab.
-BLOCK, SLAB = 2_048, 16_384
+#: Most anchors of a block and, on average, rows of a slab. Small tables have fewer rows in a slab, so that all cores work.
+BLOCK, SLAB, LEAST_SLAB = 2_048, 16_384, 512
 _FIRST, _LAST = 128, 4_096
 _LONG = 2**63 - 1
 
@@ -265,7 +265,8 @@ def mined(rows: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negat
     """
     spark = rows.sparkSession
     anchors, blocks = clustered(anchors)
-    slabs = max(-(-rows.count() // SLAB), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = rows.count()
+    slabs = max(-(-count // SLAB), min(-(-count // LEAST_SLAB), int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
     if blocks:
         first = best(rows, anchors, blocks, slabs, F.array(F.lit(None).cast("long")), True, positives)
     else:
