@@ -131,30 +131,77 @@ def unchanged_errors(findings: DataFrame) -> DataFrame:
     return sizes.where("same").select(*CYCLE)
 
 
+def _earlier(errors: DataFrame, counted: DataFrame, most: int) -> DataFrame:
+    """(run_id, n, entries): for each counted review the ``most`` keys of earlier reviews seen first last, without its own errors.
+
+    A key is absent from the reviews between two of its occurrences. Such a stretch is cut into dyadic pieces, each piece keeps
+    the ``most`` keys seen first last, and a review looks at the pieces around it, one for each power of two. So
+    no run's findings are gathered, however many it has.
+    """
+    key = ["run_id", "key_category", "key_message"]
+    first = F.struct("cycle", "position")
+    along = Window.partitionBy(*key).orderBy("n")
+    seen = errors.groupBy(*key, "n", "cycle").agg(F.min(first).alias("first"), F.min_by(finding_label("category", "message"), first).alias("label"))
+    begins = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = counted.groupBy("run_id").agg(F.max("n").alias("last"))
+    stretches = seen.select(
+        "run_id", "key_category", "key_message", F.first("first").over(begins).alias("first"), F.first("label").over(begins).alias("label"),
+        F.col("cycle").alias("last_seen"), (F.col("n") + 1).alias("lo"), F.lead("n").over(along).alias("back"),
+    ).join(last, "run_id")
+    stretches = stretches.withColumn("hi", F.coalesce(F.col("back") - 1, F.col("last"))).where("lo <= hi")
+    entry = F.struct("first", "key_category", "key_message", "label", "last_seen", F.coalesce(F.col("back"), F.lit(1 << 62)).alias("back"))
+    levels = lambda top: F.sequence(F.lit(0), F.floor(F.log2(top)).cast("int"))
+    # Piece (k, i) holds the reviews i * 2^k .. (i + 1) * 2^k - 1; a stretch takes those inside it whose parent is not.
+    inside = lambda k, i: (i >= F.ceil(F.col("lo") / k)) & ((i + 1) * k - 1 <= F.col("hi"))
+    size = lambda k: F.pow(F.lit(2.0), k).cast("long")
+    ends = lambda k: F.array_distinct(F.array(F.ceil(F.col("lo") / size(k)), F.floor((F.col("hi") + 1) / size(k)).cast("long") - 1))
+    whole = lambda k, i: inside(size(k), i) & ~inside(size(k + 1), F.floor(i / 2).cast("long"))
+    pieces = F.flatten(F.transform(levels(F.col("hi") - F.col("lo") + 1), lambda k: F.transform(F.filter(ends(k), lambda i: whole(k, i)), lambda i: F.struct(k.alias("k"), i.alias("i")))))
+    held = stretches.select("run_id", entry.alias("entry"), F.inline(pieces))
+    newest = Window.partitionBy("run_id", "k", "i").orderBy(F.desc("entry.first"), F.desc("entry"))
+    held = held.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most).drop("_r")
+    around = counted.join(last, "run_id").select("run_id", "n", F.explode(levels(F.col("last") + 1)).alias("k"))
+    around = around.withColumn("i", F.floor(F.col("n") / size(F.col("k"))).cast("long"))
+    newest = Window.partitionBy("run_id", "n").orderBy(F.desc("entry.first"), F.desc("entry"))
+    near = around.join(held, ["run_id", "k", "i"]).withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most)
+    return near.groupBy("run_id", "n").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+
+
 def resolved_findings(findings: DataFrame, reviews: DataFrame, keep: int = MAX_RESOLVED) -> DataFrame:
-    """Errors of earlier reviews that the latest review no longer has, the most recently resolved ``keep`` per run.
+    """Errors of earlier reviews that later ones no longer have: a list of ``keep`` entries, kept up review by review.
+
+    At each review, entries that came back leave the list; then earlier errors that are neither in the review nor in the
+    list join its end, in the order they were first seen; then the oldest entries beyond ``keep`` are dropped. A dropped error
+    that stays away joins again at the next review, so with more than ``keep`` of them the list turns over. Reviews that
+    failed without an itemized error say nothing about what was fixed and are skipped.
 
-    Reviews that failed without an itemized error say nothing about what was fixed and are skipped.
+    Returns the list after the last review: the label, the review that last had the error, the review at which it
+    joined, and its place from the end of the list. The fold over a run's reviews needs the 2 * ``keep`` earlier
+    errors that were seen first last, as at most ``keep`` of them can be in the list already.
     """
     errors = _errors(findings)
     itemized = errors.select(*CYCLE).distinct().withColumn("itemized", F.lit(True))
-    counted = reviews.join(itemized, CYCLE, "left").where((F.lower("decision") == "pass") | F.col("itemized"))
-    along = Window.partitionBy("run_id").orderBy("cycle")
-    counted = counted.select(*CYCLE, F.lead("cycle").over(along).alias("resolved_in"))
-    key = ["run_id", "key_category", "key_message"]
-    first = F.struct("cycle", "position")
-    seen = errors.groupBy(*key).agg(
-        F.max("cycle").alias("cycle"),
-        F.min(first).alias("first_seen"),
-        F.min_by(finding_label("category", "message"), first).alias("label"),
-    )
-    gone = seen.join(counted, CYCLE).where(F.col("resolved_in").isNotNull())
-    newest = Window.partitionBy("run_id").orderBy(F.desc("resolved_in"), F.desc("first_seen"), "key_category", "key_message")
-    return (
-        gone.withColumn("place", F.row_number().over(newest))
-        .where(F.col("place") <= keep)
-        .select("run_id", "label", F.col("cycle").alias("last_seen"), "resolved_in", "place")
-    )
+    counted = reviews.join(itemized, CYCLE, "left").where((F.lower("decision") == "pass") | F.col("itemized")).select(*CYCLE).distinct()
+    counted = counted.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("cycle")).cast("long"))
+    earlier = _earlier(errors.join(counted, CYCLE), counted, 2 * keep)
+    steps = counted.join(earlier, ["run_id", "n"], "left").groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("n", "cycle", "entries"))).alias("steps"))
+    entry = earlier.schema["entries"].dataType.elementType.simpleString()
+    place = counted.schema["cycle"].dataType.simpleString()
+    named = lambda e: F.struct(e["key_category"], e["key_message"])
+
+    def step(held: Column, now: Column) -> Column:
+        stays = F.filter(held, lambda h: h["e"]["back"] != now["n"])
+        present = F.transform(stays, lambda h: named(h["e"]))
+        joins = F.filter(F.coalesce(now["entries"], F.array().cast(f"array<{entry}>")), lambda e: ~F.array_contains(present, named(e)))
+        both = F.concat(stays, F.transform(joins, lambda e: F.struct(e.alias("e"), now["cycle"].alias("at"))))
+        return F.slice(both, F.greatest(F.size(both) - keep, F.lit(0)) + 1, keep)
+
+    held = F.aggregate("steps", F.array().cast(f"array<struct<e:{entry},at:{place}>>"), step)
+    out = steps.select("run_id", F.posexplode(F.reverse(held)).alias("place", "h"))
+    return out.select(
+        "run_id", F.col("h.e.label").alias("label"), F.col("h.e.last_seen").alias("last_seen"), F.col("h.at").alias("resolved_in"),
+        (F.col("place") + 1).cast("int").alias("place"),
+    )
 
 
 def focused_errors(findings: DataFrame, most: int | None = MAX_FOCUSED) -> DataFrame:
@@ -191,27 +238,25 @@ def mentioned_categories(text: Column, names=CATEGORY_NAMES) -> Column:
     return F.array_compact(F.array(*[F.when(mentions(text, name), F.lit(name)) for name in names]))
 
 
-def authoritative_values(findings: DataFrame, header: DataFrame, categories: DataFrame) -> DataFrame:
+def authoritative_values(findings: DataFrame, lines: DataFrame, names=CATEGORY_NAMES) -> DataFrame:
     """Each finding with the snapshot values it refers to: field names and (category, group, spend, cap) records.
 
-    The snapshot is one header row and a closed list of categories; both are read as scalars, so nothing is paired.
+    ``lines`` are a snapshot's categories with its header beside each. Only categories of the closed list ``names`` can
+    be mentioned, so what is read as one scalar is bounded, the facts are read once, and nothing is paired.
     """
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("message", "evidence", "revision_instruction") if c in findings.columns]
     text = F.concat_ws(" ", *parts)
-    fields = [f for f, _ in FIELD_HINTS if f in header.columns]
-    values = header.select(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("double"))]).alias("v"))
-    records = categories.agg(
-        F.array_sort(
-            F.collect_list(F.struct("category", "parent_group", "current_spend", "previous_spend", "suggested_cap"))
-        ).alias("c")
-    )
-    rows = findings.withColumns({"_f": mentioned_fields(text), "_n": mentioned_categories(text)})
-    rows = rows.withColumns({"_v": values.scalar(), "_c": records.scalar()})
+    fields = [f for f, _ in FIELD_HINTS if f in lines.schema["header"].dataType.names]
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col("h")[f].cast("double"))])
+    record = F.struct("category", "parent_group", "current_spend", "previous_spend", "suggested_cap")
+    known = lines.agg(F.first("header").alias("h"), F.array_sort(F.collect_list(F.when(F.col("category").isin(*names), record))).alias("c"))
+    rows = findings.withColumns({"_f": mentioned_fields(text), "_n": mentioned_categories(text, names)})
+    rows = rows.withColumn("_s", known.select(F.struct(values.alias("v"), "c")).scalar())
     # The matched names drive the look-ups, so the patterns run once per text and not once per snapshot entry.
-    named = F.transform("_n", lambda n: F.filter("_c", lambda c: c["category"] == n))
+    named = F.transform("_n", lambda n: F.filter("_s.c", lambda c: c["category"] == n))
     return rows.withColumns(
         {
-            "fields": F.map_from_entries(F.transform("_f", lambda f: F.struct(f, F.try_element_at("_v", f)))),
+            "fields": F.map_from_entries(F.transform("_f", lambda f: F.struct(f, F.try_element_at("_s.v", f)))),
             "categories": F.flatten(named),
         }
-    ).drop("_f", "_n", "_v", "_c")
+    ).drop("_f", "_n", "_s")

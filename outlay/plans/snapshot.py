@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay.functions import calendar as cal
@@ -26,11 +26,20 @@ TOP_DISCRETIONARY = 3
 SHOWN_CATEGORIES = 12
 
 
+CATEGORY_COLUMNS = (
+    "category", "parent_group", "current_spend", "previous_spend", "goal_amount", "is_discretionary", "mom_change_percent",
+    "goal_percent", "suggested_cap", "cap_source", "cap_basis", "bar_width_percent", "is_refund", "mom_direction",
+)
+
+
 @dataclass
 class Snapshot:
+    """``lines`` are the categories with the header beside each, as a struct ``header``."""
+
     header: DataFrame
     categories: DataFrame
     notable: DataFrame
+    lines: DataFrame
 
 
 def _cents(x: Column) -> Column:
@@ -61,15 +70,19 @@ def monthly_snapshot(
     The latest and the second-latest month present are compared; empty rows give empty tables.
     """
     goals = dict(category_goals or {})
-    latest = rows.agg(F.max("transaction_month").alias("m")).scalar()
-    previous = rows.where(F.col("transaction_month") < latest).agg(F.max("transaction_month").alias("m")).scalar()
     net, month = F.col("net_real_expense"), F.col("transaction_month")
-    pair = rows.where((month == latest) | (month == previous))
-    # One pass: both months side by side, a missing side is 0.
-    base = pair.groupBy("category", "parent_group").agg(
+    # One row for each month, category and group: all that follows works on this small table, in one place.
+    whole = Window.partitionBy()
+    sums = rows.groupBy("transaction_month", "category", "parent_group").agg(F.sum(net).alias("net_real_expense"))
+    sums = sums.withColumn("latest_month", F.max(month).over(whole))
+    sums = sums.withColumn("previous_month", F.max(F.when(month < F.col("latest_month"), month)).over(whole))
+    latest, previous = F.col("latest_month"), F.col("previous_month")
+    # Both months side by side, a missing side is 0.
+    base = sums.where((month == latest) | (month == previous)).groupBy("category", "parent_group").agg(
         _cents(F.sum(F.when(month == latest, net).otherwise(0))).alias("current_spend"),
         _cents(F.sum(F.when(month == previous, net).otherwise(0))).alias("previous_spend"),
-        F.max("transaction_month").alias("_newest"),
+        F.max("latest_month").alias("latest_month"),
+        F.max("previous_month").alias("previous_month"),
     )
     goal = F.lit(None).cast(MONEY)
     if goals:
@@ -77,67 +90,53 @@ def monthly_snapshot(
         goal = F.try_element_at(table, F.col("category"))
     base = base.withColumns({"goal_amount": goal, "is_discretionary": is_discretionary()})
 
-    current, discretionary = F.col("current_spend"), F.col("is_discretionary")
+    current, before, discretionary = F.col("current_spend"), F.col("previous_spend"), F.col("is_discretionary")
     target = F.lit(None if savings_goal is None else str(savings_goal)).cast(MONEY)
-    positive = F.when(discretionary & (current > 0), current)
-    totals = base.agg(
-        _cents(F.sum("current_spend")).alias("latest_total_net_expense"),
-        _cents(F.sum("previous_spend")).alias("_previous_total"),
-        F.coalesce(_cents(F.sum(positive)), F.lit(0).cast(MONEY)).alias("eligible_discretionary_total"),
-        F.coalesce(F.max(F.when(current > 0, current)), F.lit(0).cast(MONEY)).alias("max_positive_spend"),
-        (F.count_if(discretionary) > 0).alias("_any"),
-        (F.count_if(discretionary & F.col("goal_amount").isNull()) == 0).alias("_all_goals"),
-        F.count(F.lit(1)).alias("_n"),
-    ).where("_n > 0")
+    zero = F.lit(0).cast(MONEY)
+    positive = discretionary & (current > 0)
+    largest = whole.orderBy(F.desc_nulls_last(F.when(positive, current)), "category", "parent_group")
+    base = base.withColumn("_place", F.when(positive, F.row_number().over(largest)))
+    top = F.collect_list(F.when(F.col("_place") <= TOP_DISCRETIONARY, F.struct("_place", "category")))
     fixed, income = F.lit(str(fixed_costs)).cast(MONEY), F.lit(str(deposit)).cast(MONEY)
-    header = totals.withColumns(
-        {
-            "latest_month": latest,
-            "previous_month": previous,
-            "monthly_deposit": income,
-            "fixed_costs": fixed,
-            "savings_goal": target,
-            "disposable_cash": (income - (F.col("latest_total_net_expense") + fixed)).cast(MONEY),
-        }
-    )
-    header = header.withColumns(
+    base = base.withColumns(
         {
-            "previous_total_net_expense": F.when(F.col("previous_month").isNotNull(), F.col("_previous_total")),
-            "projected_savings": F.col("disposable_cash"),
-            "savings_shortfall": F.when(
-                target.isNotNull(), F.greatest(F.lit(0).cast(MONEY), (target - F.col("disposable_cash")).cast(MONEY))
-            ),
+            "_total": _cents(F.sum(current).over(whole)),
+            "_before": F.when(previous.isNotNull(), _cents(F.sum(before).over(whole))),
+            "_eligible": F.coalesce(_cents(F.sum(F.when(positive, current)).over(whole)), zero),
+            "_most": F.coalesce(F.max(F.when(current > 0, current)).over(whole), zero),
+            "_any": F.max(discretionary).over(whole),
+            "_open": F.max(discretionary & F.col("goal_amount").isNull()).over(whole),
+            "_top": F.array_sort(top.over(whole)),
         }
     )
-    short, eligible = F.col("savings_shortfall"), F.col("eligible_discretionary_total")
-    method = F.when(F.col("_any") & F.col("_all_goals"), F.lit("configured")).when(
-        target.isNull(), F.lit("no_savings_target")
-    )
-    header = header.withColumns(
-        {
-            "mom_change_percent": percent_change(
-                F.col("latest_total_net_expense"), F.col("previous_total_net_expense")
-            ),
-            "goal_method": method.when(short > 0, F.lit("shortfall_allocation")).otherwise(F.lit("trend_maintenance")),
-            "discretionary_cuts_insufficient": F.coalesce((short > 0) & (short > eligible), F.lit(False)),
-            "remaining_gap_after_cuts": F.greatest(F.lit(0).cast(MONEY), (short - eligible).cast(MONEY)),
-        }
-    ).drop("_previous_total", "_any", "_all_goals", "_n")
+    base = base.withColumn("_cash", (income - (F.col("_total") + fixed)).cast(MONEY))
+    base = base.withColumn("_short", F.when(target.isNotNull(), F.greatest(zero, (target - F.col("_cash")).cast(MONEY))))
+    short, eligible = F.col("_short"), F.col("_eligible")
+    method = F.when(F.col("_any") & ~F.col("_open"), F.lit("configured")).when(target.isNull(), F.lit("no_savings_target"))
+    header = {
+        "latest_total_net_expense": F.col("_total"),
+        "eligible_discretionary_total": eligible,
+        "max_positive_spend": F.col("_most"),
+        "latest_month": latest,
+        "previous_month": previous,
+        "monthly_deposit": income,
+        "fixed_costs": fixed,
+        "savings_goal": target,
+        "disposable_cash": F.col("_cash"),
+        "previous_total_net_expense": F.col("_before"),
+        "projected_savings": F.col("_cash"),
+        "savings_shortfall": short,
+        "mom_change_percent": percent_change(F.col("_total"), F.col("_before")),
+        "goal_method": method.when(short > 0, F.lit("shortfall_allocation")).otherwise(F.lit("trend_maintenance")),
+        "discretionary_cuts_insufficient": F.coalesce((short > 0) & (short > eligible), F.lit(False)),
+        "remaining_gap_after_cuts": F.greatest(zero, (short - eligible).cast(MONEY)),
+        "top_discretionary_categories": F.transform("_top", lambda x: x["category"]),
+    }
+    header = F.struct(*[value.alias(name) for name, value in header.items()])
 
-    facts = header.select(
-        F.struct(
-            "savings_shortfall",
-            "eligible_discretionary_total",
-            "max_positive_spend",
-            F.col("previous_month").isNotNull().alias("has_previous"),
-        ).alias("h")
-    ).scalar()
-    table = base.drop("_newest").withColumn("_h", facts)
-    before, has_previous = F.col("previous_spend"), F.col("_h.has_previous")
-    cap, reason = suggested_cap(
-        current, before, has_previous, target, F.col("_h.savings_shortfall"), F.col("_h.eligible_discretionary_total")
-    )
-    table = table.withColumns({"_cap": cap, "_reason": reason})
+    has_previous = previous.isNotNull()
+    cap, reason = suggested_cap(current, before, has_previous, target, short, eligible)
+    table = base.withColumns({"header": header, "_cap": cap, "_reason": reason})
     configured = F.col("goal_amount").isNotNull()
     table = table.withColumns(
         {
@@ -151,27 +150,15 @@ def monthly_snapshot(
             "cap_basis": F.when(
                 discretionary, F.when(configured, F.lit("Configured category goal.")).otherwise(F.col("_reason"))
             ).otherwise(F.lit("")),
-            "bar_width_percent": F.when(
-                current > 0, percent_rounded(current, F.col("_h.max_positive_spend"), 2)
-            ).otherwise(F.lit(0.0)),
+            "bar_width_percent": F.when(current > 0, percent_rounded(current, F.col("_most"), 2)).otherwise(F.lit(0.0)),
             "is_refund": current < 0,
             "mom_direction": change_direction(current, before, has_previous),
         }
     )
-    table = table.withColumn(
-        "percent_of_cap", F.when(F.col("suggested_cap") > 0, percent_rounded(current, F.col("suggested_cap"), 2))
-    ).drop("_h", "_cap", "_reason")
-
-    top = (
-        table.where(discretionary & (current > 0))
-        .orderBy(F.desc("current_spend"), "category")
-        .limit(TOP_DISCRETIONARY)
-        .agg(F.array_sort(F.collect_list(F.struct((-current).alias("k"), "category"))).alias("t"))
-    )
-    header = header.withColumn("_t", top.scalar()).withColumn(
-        "top_discretionary_categories", F.transform("_t", lambda x: x["category"])
-    ).drop("_t")
-    return Snapshot(header, table, notable_changes(table, notable_percent, notable_usd))
+    share = F.when(F.col("suggested_cap") > 0, percent_rounded(current, F.col("suggested_cap"), 2))
+    lines = table.select(*CATEGORY_COLUMNS, share.alias("percent_of_cap"), "header")
+    first = lines.agg(F.first("header").alias("h")).where("h IS NOT NULL").select("h.*")
+    return Snapshot(first, lines.drop("header"), notable_changes(lines, notable_percent, notable_usd), lines)
 
 
 def notable_changes(
@@ -218,19 +205,14 @@ def month_snapshot(frame: DataFrame, month, deposit: float, fixed_costs: float,
 
 def shown_categories(snapshot: Snapshot, limit: int = SHOWN_CATEGORIES) -> DataFrame:
     """Largest categories first, each with the snapshot's totals beside it."""
-    totals = snapshot.header.select(
-        F.struct("latest_total_net_expense", "previous_total_net_expense", "disposable_cash").alias("h")
-    ).scalar()
     return (
-        snapshot.categories.select(
-            "category", "parent_group", "current_spend", "previous_spend", "mom_change_percent"
+        snapshot.lines.select(
+            "category", "parent_group", "current_spend", "previous_spend", F.col("mom_change_percent"),
+            "header.latest_total_net_expense", "header.previous_total_net_expense", "header.disposable_cash",
         )
         .orderBy(F.desc("current_spend"), "category", "parent_group")
         .limit(limit)
-        .withColumn("_h", totals)
-        .select("*", "_h.*")
-        .drop("_h")
-    )
+    )
 
 
 def category_lines(snapshot: Snapshot) -> DataFrame:

@@ -316,6 +316,39 @@ def first_and_last(s):
     )
 
 
+@query(
+    "s9_s13_event_order",
+    with_("trace")
+    + """SELECT run_id, row_number() OVER w AS seq, event_id, event, lag(event_id) OVER w AS before FROM trace
+  WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)""",
+)
+def event_order(s):
+    """Every run is written to several numbered files and read back in the order of its events."""
+    folder = scratch_dir(s.spark, "ordered")
+    rows = events(s).select("run_id", "ts", "event_id", "event", F.col("event_id").alias("attempt"))
+    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5)
+    read = neighbours(jsonl.sequenced(jsonl.read_trace(s.spark, folder)), ["run_id"], "block", ["line"], ["attempt"])
+    return read.select(F.col("run_id").cast(s.trace.schema["run_id"].dataType).alias("run_id"), "seq", F.col("attempt").alias("event_id"), "event", F.col("prev.attempt").alias("before"))
+
+
+@query(
+    "s9_s13_paired_calls_over_files",
+    with_("trace")
+    + """, c AS (SELECT run_id, role, event, event_id, lag(event) OVER w AS prev, lag(event_id) OVER w AS call FROM trace
+    WHERE event IN ('model_call', 'model_response', 'model_call_failed') WINDOW w AS (PARTITION BY run_id, role ORDER BY ts, event_id))
+  SELECT run_id, role, event_id, CASE WHEN prev = 'model_call' THEN call END AS call FROM c WHERE event <> 'model_call'""",
+)
+def paired_over_files(s):
+    """Answers with the call just before them, where a run's events lie in several files."""
+    folder = scratch_dir(s.spark, "ordered")
+    rows = events(s).select("run_id", "ts", "event_id", "event", "role", F.col("event_id").alias("attempt"))
+    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5)
+    read = jsonl.read_trace(s.spark, folder).where(F.col("event").isin("model_call", "model_response", "model_call_failed"))
+    near = neighbours(read, ["run_id", "role"], "block", ["line"], ["event", "attempt"]).where("event <> 'model_call'")
+    call = F.when(F.col("prev.event") == "model_call", F.col("prev.attempt"))
+    return near.select(F.col("run_id").cast(s.trace.schema["run_id"].dataType).alias("run_id"), "role", F.col("attempt").alias("event_id"), call.alias("call"))
+
+
 @query(
     "s11_s13_run_documents",
     with_("runs") + "SELECT 'group-' || CAST(tool_calls AS VARCHAR) AS run_id, count(*) AS n, min(status) AS status, "
@@ -426,14 +459,24 @@ def unchanged(s):
 
 @query(
     "w15_resolved_findings",
-    _ERRORS
-    + """, seen AS (SELECT run_id, kc, km, max(cycle) AS last_seen, min((cycle, position)) AS first_seen,
-      first(named || ': ' || trim(regexp_replace(message, '\\s+', ' ', 'g')) ORDER BY cycle, position) AS label FROM err GROUP BY ALL),
-  good AS (SELECT r.run_id, r.cycle, lead(r.cycle) OVER (PARTITION BY r.run_id ORDER BY r.cycle) AS next FROM reviews r
+    _ERRORS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, named AS (SELECT run_id, cycle, position, kc || chr(31) || km AS k, named || ': ' || trim(regexp_replace(message, '\\s+', ' ', 'g')) AS label FROM err),
+  seen AS (SELECT run_id, k, max(cycle) AS last_seen, first(label ORDER BY cycle, position) AS label FROM named GROUP BY ALL),
+  good AS (SELECT run_id, cycle, row_number() OVER (PARTITION BY run_id ORDER BY cycle) AS n FROM reviews r
     WHERE decision = 'pass' OR EXISTS (SELECT 1 FROM err WHERE err.run_id = r.run_id AND err.cycle = r.cycle)),
-  gone AS (SELECT seen.*, good.next FROM seen JOIN good ON good.run_id = seen.run_id AND good.cycle = seen.last_seen WHERE next IS NOT NULL)
-  SELECT run_id, label, last_seen, next AS resolved_in, row_number() OVER (PARTITION BY run_id ORDER BY next DESC, first_seen DESC, kc, km) AS place
-  FROM gone QUALIFY place <= 10""",
+  now AS (SELECT run_id, cycle, n, COALESCE(list(k ORDER BY p) FILTER (k IS NOT NULL), []) AS ks
+    FROM good LEFT JOIN (SELECT run_id, cycle, k, min(position) AS p FROM named GROUP BY ALL) USING (run_id, cycle) GROUP BY ALL),
+  fold AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, []::STRUCT(k VARCHAR, since BIGINT)[] AS held, []::VARCHAR[] AS earlier FROM good
+    UNION ALL
+    SELECT run_id, n, held[greatest(len(held) - 9, 1):], earlier FROM (
+      SELECT run_id, n, earlier || list_filter(ks, lambda x: NOT list_contains(earlier, x)) AS earlier,
+        stays || list_transform(list_filter(earlier, lambda x: NOT list_contains(ks, x) AND NOT list_contains(list_transform(stays, lambda h: h.k), x)),
+          lambda x: {'k': x, 'since': cycle}) AS held FROM (
+        SELECT now.run_id, now.n, now.cycle, now.ks, fold.earlier, list_filter(fold.held, lambda h: NOT list_contains(now.ks, h.k)) AS stays
+        FROM fold JOIN now ON now.run_id = fold.run_id AND now.n = fold.n + 1))),
+  ends AS (SELECT run_id, list_reverse(held) AS held FROM fold QUALIFY n = max(n) OVER (PARTITION BY run_id)),
+  out AS (SELECT run_id, unnest(held) AS h, CAST(unnest(range(1, len(held) + 1)) AS INTEGER) AS place FROM ends)
+  SELECT out.run_id, seen.label, seen.last_seen, h.since AS resolved_in, place FROM out JOIN seen ON seen.run_id = out.run_id AND seen.k = h.k""",
 )
 def resolved(s):
     return progress.resolved_findings(s.findings, reviews_of(s))
@@ -482,7 +525,7 @@ def values(s):
     from outlay.queries.base import MONTH
 
     snap = snapshot.month_snapshot(s.frame, MONTH, 10.0e9, 0.0, savings_goal=1.0)
-    rows = progress.authoritative_values(s.findings, snap.header, snap.categories)
+    rows = progress.authoritative_values(s.findings, snap.lines)
     spend = F.aggregate("categories", F.lit(0).cast("decimal(34,2)"), lambda acc, c: (acc + c["current_spend"]).cast("decimal(34,2)"))
     return rows.select("run_id", "cycle", "position", spend.alias("current_spend"), F.col("fields")["savings_shortfall"].alias("savings_shortfall"))
 

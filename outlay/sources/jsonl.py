@@ -1,4 +1,8 @@
-"""JSON-lines scans. Files are split as usual; a line's place is its split's offset and its number in that split."""
+"""JSON-lines scans and sinks that keep the order of a run's lines, also over several files.
+
+The sink sorts a run's lines into numbered files. A line's place is the file's number, its split's offset in the file, and its
+line number in that split: the first two form ``block``, so (block, line) orders a run however its splits were scheduled.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outlay.operators.ordered import numbered
+
 LEDGER_FIELDS = {
     "timestamp": "string", "date": "string", "run_id": "string", "role": "string", "model": "string",
     "outcome": "string", "usage": "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,"
@@ -27,20 +33,25 @@ TRACE_FIELDS = {
 NON_RUN_FOLDERS = ("comparisons", "replays")
 
 
+#: A numbered file lies in a folder of its own: ``<run>/file=0000000012/part-...json``.
+_FILE_FOLDER = r"/file=(\d+)/[^/]+$"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, line, value, file_size): non-blank lines with their order inside the file.
+    """(path, block, line, value, file_size): non-blank lines with their order inside a run.
 
-    The number is increasing inside one split, and splits of a file are told apart by their offset, so (block, line)
-    orders a file's lines however the splits were scheduled.
+    ``block`` is (file, start): the number that the sink gave the file, 0 for others, and the offset of the split. Files of
+    one folder without numbers follow each other by name. ``line`` is increasing inside one split.
     """
     raw = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-        F.col("_metadata.file_size").alias("file_size"),
+    file = F.col("_metadata.file_path")
+    number = F.regexp_extract(file, _FILE_FOLDER, 1)
+    block = F.struct(
+        F.when(number == "", 0).otherwise(number.cast("long")).alias("file"),
+        F.element_at(F.split(file, "/"), -1).alias("name"),
+        F.col("_metadata.file_block_start").alias("start"),
     )
+    return raw.select(file.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("line"), "value", F.col("_metadata.file_size").alias("file_size"))
 
 
 def _object(value: Column) -> Column:
@@ -54,8 +65,8 @@ def _fields(parsed: str, fields: dict[str, str]) -> list[Column]:
 
 
 def run_folder(path: Column) -> Column:
-    """The folder a file lies in, which names its run."""
-    return F.url_decode(F.element_at(F.split(path, "/"), -2))
+    """The folder that names the run a file lies in: its own, or the one around the folder of a numbered file."""
+    return F.regexp_replace(F.url_decode(F.element_at(F.split(F.regexp_replace(path, _FILE_FOLDER, "/file"), "/"), -2)), "^run_id=", "")
 
 
 def read_trace(spark: SparkSession, path: str, fields: dict[str, str] = TRACE_FIELDS) -> DataFrame:
@@ -124,9 +135,24 @@ def list_documents(
     return out.limit(limit) if limit is not None else out
 
 
-def write_runs(df: DataFrame, path: str) -> None:
-    """One folder per run, JSON lines inside. Rows are spread by run, and a large run over several files."""
-    df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").json(path)
+def write_runs(df: DataFrame, path: str, order: list[str] | None = None, parts: int | None = None) -> None:
+    """One folder per run, JSON lines inside; a large run takes several files.
+
+    With ``order``, rows are sorted by run and those columns over all tasks, and every task numbers its file, so
+    the files of a run follow each other in order. With ``parts``, rows are cut into so many parts by the columns alone,
+    as a log is cut by time, and a run has a file in each part it takes part in.
+    """
+    if order is None:
+        df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").json(path)
+        return
+    rows = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange("run_id", *order)
+    rows = rows.sortWithinPartitions("run_id", *order)
+    rows.withColumn("file", F.lpad(F.spark_partition_id().cast("string"), 10, "0")).write.partitionBy("run_id", "file").json(path)
+
+
+def sequenced(rows: DataFrame, out: str = "seq") -> DataFrame:
+    """Add ``out``: the place of a line in its run, from 1. Lines are counted inside blocks, and sizes of blocks are added up."""
+    return numbered(rows, ["run_id"], F.col("block"), ["line"], out)
 
 
 def empty_like(spark: SparkSession, fields: dict[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.operators import gold, history
 from outlay.operators.ordered import keep_largest_copies, neighbours
-from outlay.plans import search
+from outlay.plans import search, snapshot
 from outlay.plans.analyze import Context, analyze
 from outlay.plans.spec import AnalysisSpec
 from outlay.sources import tables
@@ -62,6 +62,14 @@ def test_no_products(spark):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+def test_snapshot_reads_the_facts_once(spark, stored):
+    done = snapshot.month_snapshot(spark.read.parquet(stored), "2026-09-01", 3000, 1500, savings_goal=500, category_goals={"Travel": 10})
+    for df in (done.header, done.categories, done.notable, snapshot.shown_categories(done), snapshot.category_lines(done)):
+        text = plan(df)
+        assert text.count("FileScan") == 1 and text.count("Exchange") <= 3 and "Subquery" not in text
+    assert plan(snapshot.group_lines(done)).count("FileScan") == 1
+
+
 def test_texts_are_tokenized_once_per_pass(spark, tmp_path):
     spark.createDataFrame([(1, "k", "t", 1.0, "1")], "id long, fact_key string, fact_text string, weight double, updated_at string").write.parquet(str(tmp_path / "f"))
     text = plan(search.bm25(spark.read.parquet(str(tmp_path / "f")), "some words"))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -172,6 +173,57 @@ def test_review_progress(spark):
     assert same == {2}
 
 
+def resolved_by_loop(reviews, keep):
+    """The list kept up review by review, for one run: reviews are (passed, [(key, label), ...]) in order."""
+    held, earlier = {}, {}
+    for cycle, (passed, errors) in enumerate(reviews, 1):
+        if not passed and not errors:
+            continue
+        now = {k for k, _ in errors}
+        held = {k: v for k, v in held.items() if k not in now}
+        held |= {k: cycle for k in earlier if k not in now and k not in held}
+        held = dict(list(held.items())[-keep:])
+        for k, label in errors:
+            earlier.setdefault(k, label)
+    return [(earlier[k], v) for k, v in reversed(held.items())]
+
+
+@pytest.mark.parametrize("keep", [2, 10])
+def test_resolved_findings_turn_over(spark, keep):
+    rng, findings, reviews, want = random.Random(keep), [], [], {}
+    for run in range(12):
+        steps = []
+        for cycle in range(1, rng.choice([1, 4, 9, 20])):
+            passed = rng.random() < 0.2
+            names = rng.sample(range(30), 0 if passed else rng.choice([0, 1, 5, 18]))
+            steps.append((passed, [(n, f"html: m{n}") for n in names]))
+            reviews.append((run, cycle, "pass" if passed else "fail"))
+            findings += [(run, cycle, p, "error", "html", f"m{n}") for p, n in enumerate(names)]
+        want[run] = resolved_by_loop(steps, keep)
+    kind = "run_id int, cycle int, position int, severity string, category string, message string"
+    rows = progress.resolved_findings(spark.createDataFrame(findings, kind), spark.createDataFrame(reviews, "run_id int, cycle int, decision string"), keep)
+    got = {run: [] for run in want}
+    for r in rows.orderBy("run_id", "place").collect():
+        got[r.run_id].append((r.label, r.resolved_in))
+        assert r.place == len(got[r.run_id]) and r.last_seen < r.resolved_in
+    assert got == want and max(len(w) for w in want.values()) == keep
+
+
+def test_a_run_in_several_files_keeps_its_order(spark, tmp_path):
+    rows = [(f"r{i % 3}", i, "agent_round", float(i)) for i in range(300)]
+    random.Random(1).shuffle(rows)
+    events = spark.createDataFrame(rows, "run_id string, attempt long, event string, timestamp double").repartition(7)
+    for parts in (None, 4):
+        folder = str(tmp_path / f"runs{parts}")
+        jsonl.write_runs(events, folder, ["attempt"], parts)
+        read = jsonl.sequenced(jsonl.read_trace(spark, folder)).orderBy("run_id", "seq").collect()
+        assert [(r.run_id, r.attempt) for r in read] == [(f"r{k}", i) for k in range(3) for i in range(k, 300, 3)]
+        assert [r.seq for r in read] == [*range(1, 101)] * 3
+        assert not parts or all(len({r.block.file for r in read if r.run_id == k}) == parts for k in ("r0", "r1", "r2"))
+    first = {r.run_id: (r.first_time, r.last_time) for r in runs.first_and_last_times(jsonl.read_trace(spark, folder)).collect()}
+    assert first["r1"] == (1.0, 298.0)
+
+
 def bm25_by_loop(facts, query, k1=1.5, b=0.75):
     def tokens(t):
         return [x for x in re.findall(r"[^\W_]+", t.lower()) if len(x) > 1 and x not in STOP_WORDS]
