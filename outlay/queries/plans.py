@@ -10,6 +10,7 @@ from outlay.plans import catalog, change, profile, snapshot
 from outlay.plans.repair import repair
 from outlay.plans.spec import AnalysisSpec
 from outlay.queries.base import MONTH, TODAY, average, cents, half_away, percent, query, with_
+from outlay.session import scratch_dir
 
 # ----- snapshot: September 2001 against August -----
 
@@ -402,15 +403,48 @@ def exact(s):
     return resolve.exact_or_containing(WANTED, s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")))
 
 
-@query("j9_f30_match_values")
+# The block ratio of every request and merchant: equal cells, stretches along diagonals, and parts around the longest stretch.
+_RATIOS = (
+    with_("spend").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", m AS (SELECT DISTINCT merchant AS value, lower(merchant) AS low FROM spend),
+  w AS (SELECT wanted, lower(wanted) AS key FROM (SELECT unnest({WANTED}) AS wanted)),
+  p AS (SELECT wanted, key, value, low, length(low) AS la, length(key) AS lb FROM w, m),
+  equal AS (SELECT wanted, low, i, j FROM p, unnest(range(la)) AS a(i), unnest(range(lb)) AS b(j) WHERE substr(low, i + 1, 1) = substr(key, j + 1, 1)),
+  islands AS (SELECT *, i - row_number() OVER (PARTITION BY wanted, low, j - i ORDER BY i) AS island FROM equal),
+  cells AS (SELECT wanted, low, i, j, row_number() OVER (PARTITION BY wanted, low, j - i, island ORDER BY i DESC) AS k FROM islands),
+  parts AS (SELECT wanted, low, CAST(0 AS BIGINT) AS i0, CAST(la AS BIGINT) AS i1, CAST(0 AS BIGINT) AS j0, CAST(lb AS BIGINT) AS j1, CAST(0 AS BIGINT) AS matched FROM p
+    UNION ALL
+    SELECT wanted, low, CASE side WHEN 0 THEN i0 ELSE i + n END, CASE side WHEN 0 THEN i ELSE i1 END,
+      CASE side WHEN 0 THEN j0 ELSE j + n END, CASE side WHEN 0 THEN j ELSE j1 END, CASE side WHEN 0 THEN n ELSE 0 END
+    FROM (SELECT s.*, c.i, c.j, least(c.k, s.i1 - c.i, s.j1 - c.j) AS n FROM parts s JOIN cells c ON c.wanted = s.wanted AND c.low = s.low
+      AND c.i >= s.i0 AND c.i < s.i1 AND c.j >= s.j0 AND c.j < s.j1
+      QUALIFY row_number() OVER (PARTITION BY s.wanted, s.low, s.i0, s.j0, s.i1, s.j1 ORDER BY least(c.k, s.i1 - c.i, s.j1 - c.j) DESC, c.i, c.j) = 1), (VALUES (0), (1)) AS t(side)),
+  ratios AS (SELECT p.wanted, p.value, p.low, p.key, CAST(2 * sum(matched) AS DOUBLE) / (la + lb) AS ratio FROM p JOIN parts USING (wanted, low) GROUP BY p.wanted, p.value, p.low, p.key, la, lb)"""
+)
+
+
+@query(
+    "j9_f30_match_values",
+    _RATIOS
+    + """, r AS (SELECT wanted, min(value) FILTER (low = key) AS exact, count(*) FILTER (contains(low, key)) AS containing,
+    min(value) FILTER (contains(low, key)) AS one, arg_max(value, (ratio, low)) FILTER (ratio >= 0.6) AS close FROM ratios GROUP BY 1)
+  SELECT wanted, COALESCE(exact, CASE WHEN containing = 1 THEN one END, close) AS resolved,
+  CASE WHEN exact IS NOT NULL THEN 'exact' WHEN containing = 1 THEN 'contains' WHEN close IS NOT NULL THEN 'close' END AS how FROM r""",
+)
 def matched(s):
-    """The last tier is a longest-matching-block ratio, which SQL lacks; unit tests compare it with difflib."""
     return resolve.match_values(WANTED, s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")))
 
 
-@query("j10_f30_closest")
+@query(
+    "j10_f30_closest",
+    _RATIOS
+    + " SELECT wanted, value, ratio, CAST(row_number() OVER (PARTITION BY wanted ORDER BY ratio DESC, low DESC) AS INTEGER) AS place FROM ratios QUALIFY place <= 5",
+)
 def closest(s):
-    return resolve.closest(WANTED, s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")))
+    """The letters of the names are indexed in a table of their own first, as a service would keep them."""
+    names, folder = s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")), scratch_dir(s.spark, "names")
+    resolve.name_index(names).write.partitionBy("kind").parquet(folder)
+    return resolve.closest(WANTED, names, index=s.spark.read.parquet(folder))
 
 
 @query(

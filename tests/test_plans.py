@@ -1,3 +1,4 @@
+import random
 from datetime import date
 from difflib import SequenceMatcher, get_close_matches
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay.operators import periods
-from outlay.operators.resolve import closest, match_values
+from outlay.operators.resolve import closest, match_values, name_index
 from outlay.plans import catalog, change, profile, snapshot
 from outlay.plans.repair import SpecError, regrouped, repair
 from outlay.plans.spec import AnalysisSpec
@@ -160,11 +161,34 @@ def test_matching_agrees_with_difflib(spark):
     assert got["Grocerys"] == ("Groceries", "close") and got["autmotive"] == ("Automotive", "close")
     assert got["zzzz"] == (None, None)
     low = {o.lower(): o for o in OPTIONS}
+    rows = closest(wanted, options).collect()
     for w in wanted:
         want = [low[x] for x in get_close_matches(w.lower(), list(low), n=5, cutoff=0.0)]
-        rows = closest([w], options).orderBy("place").collect()
-        assert [r.value for r in rows] == want
-        assert all(r.ratio == SequenceMatcher(None, r.value.lower(), w.lower()).ratio() for r in rows)
+        mine = sorted((r for r in rows if r.wanted == w), key=lambda r: r.place)
+        assert [r.value for r in mine] == want
+        assert all(r.ratio == SequenceMatcher(None, r.value.lower(), w.lower()).ratio() for r in mine)
+
+
+def test_closest_equals_difflib_over_many_names(spark):
+    rng = random.Random(4)
+    parts = ["blue", "red", "anvil", "gizmo", "ring", "shop", "cafe", "é", "store", "x"]
+    options = {" ".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400)} | {"", "Zz"}
+    options |= {"".join(rng.choice("abcdr ") for _ in range(rng.randint(1, 9))).strip() for _ in range(200)}
+    low = {o.lower(): o for o in sorted(options, reverse=True)}
+    table = spark.createDataFrame([(o,) for o in [*options, None]], "value string")
+    wanted = ["blu anvl", "shop shop", "caf", "qqqq", "", "rng redd", "é é x", "abcabc", "gizmo"]
+    plan = closest(wanted, table)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    index = name_index(table).cache()
+    for limit, cutoff, given in ((5, 0.0, None), (2, 0.5, index)):
+        got = {w: [] for w in wanted}
+        for r in closest(wanted, table, limit, cutoff, given).collect():
+            got[r.wanted].append((r.place, r.value, r.ratio))
+        for w in wanted:
+            want = [low[x] for x in get_close_matches(w, list(low), n=limit, cutoff=cutoff)]
+            assert [v for _, v, _ in sorted(got[w])] == want, (w, limit, cutoff)
+            assert all(r == SequenceMatcher(None, v.lower(), w).ratio() for _, v, r in got[w])
+    index.unpersist()
 
 
 def test_repair(spark):
