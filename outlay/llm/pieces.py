@@ -31,7 +31,7 @@ from outlay.llm.common import table, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words remembered by a task, besides those of the batch at hand.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE, _FREE = -1, -2
 _BITS, _SLOTS = 20, 21
@@ -187,13 +187,13 @@ class Encoder:
 
     def __init__(self, path: str = MODEL):
         self.path = path
-        self._forget()
+        self.forget()
 
     @cached_property
     def pieces(self) -> Pieces:
         return Pieces(self.path)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.chars = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
@@ -233,7 +233,7 @@ class Encoder:
         distinct = set(words)
         fresh = [w for w in distinct if w not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED or self.chars > REMEMBERED * 40:
-            self._forget()
+            self.forget()
             fresh = list(distinct)
         if fresh:
             self._learn(fresh)
@@ -270,6 +270,9 @@ def encode(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str =
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(same)], names=["doc_id", "ids", "round_trip"])
+        # A worker outlives its task and may serve other stages: it keeps the model's tables, not the words, nor freed buffers.
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
