@@ -136,11 +136,18 @@ def battery(text: str) -> tuple[str, float]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, cell) of runs that touch no span in ``taken``; the cell is 100 * -log10 p, at most 400."""
-    out = []
+    """(start, end, length class, cell) of runs that touch no span in ``taken``; the cell is 100 * -log10 p, at most 400.
+
+    Spans are sorted by start and runs come in order, so both lists are walked once: ``reach`` is the furthest end of the
+    spans that start before the end of the run.
+    """
+    out, at, reach = [], 0, -1
     for m in RUN.finditer(text):
         a, b = m.span()
-        if b - a < LEAST_RUN or any(s < b and a < e for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if b - a < LEAST_RUN or a < reach:
             continue
         run = m[0]
         if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
