@@ -18,7 +18,8 @@ distinct entities, in the shared folder; the number of colliding ones falls with
 
 Texts without an entity are not shuffled. Distinct texts with one are named by 128-bit hashes, so a hot text is worked on once; its
 copies meet their surrogates in a join that the adaptive planner splits. Null and empty texts stay as they are; rows with a null
-id, repeated rows and empty tables need nothing special; other columns are passed on untouched, whatever their names.
+id, repeated rows and empty tables need nothing special; other columns are passed on untouched, whatever their names. All texts
+are searched once, in time that grows with their length, also where one word or one address is very long.
 """
 
 from __future__ import annotations
@@ -42,8 +43,12 @@ _PARTICLE = r"(?: (?:van|von|der|den|de|del|della|di|da|du|dos|la|le|bin|ibn|ter
 MEN = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία")
 _TITLES = "|".join(sorted(MEN + WOMEN, key=lambda t: (-len(t), t)))
+# An address starts at a border of its characters, so that a long word is walked once: marks before it are left out, unless there
+# are more than 64. Domains have at most 127 labels of 63 characters, as in DNS; the count keeps the matcher's recursion short.
+_LOCAL = "A-Za-z0-9._%+-"
+_START = rf"(?:(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?<=(?<![{_LOCAL}])[._%+-]{{0,64}})|(?<![{_LOCAL}])[._%+-]{{65,}}+)"
 KINDS = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", rf"{_START}[A-Za-z0-9][{_LOCAL}]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]{{1,63}}){{0,126}}\.[A-Za-z]{{2,}}"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("phone", r"(?<![\w+])\+(?=\d(?:[ .-]?\(?\d\)?){6})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
@@ -198,19 +203,20 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replaced(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """(row, text, entities, surrogates): every row with its text after replacement and what was replaced by what, in order."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
-    some = F.coalesce(F.col("t").rlike(ANY), F.lit(False))
-    hit = rows.where(some).withColumns({"k1": F.xxhash64("t"), "k2": F.xxhash64(F.lit(1), "t")})
-    ents = F.regexp_extract_all("t", F.lit(ANY), F.lit(0))
-    found = stored(hit.select("k1", "k2", ents.alias("e")).groupBy("k1", "k2").agg(F.min("e").alias("e")), "found")
+    # The patterns run over all texts once, and what they find is stored beside the rows.
+    entities = F.coalesce(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), entities.alias("e")), "scanned")
+    rows = rows.withColumn("t", F.col("row")[text])
+    hit = rows.where(F.size("e") > 0).select("row", "t", "e", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"))
+    found = stored(hit.groupBy("k1", "k2").agg(F.min("e").alias("e")), "found")
     table_ = surrogates(found.select(F.explode(F.array_distinct("e")).alias("entity")), key).select("entity", "surrogate")
     each = found.select("k1", "k2", F.posexplode("e").alias("i", "entity")).join(table_, "entity")
     lists = each.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("i", "entity", "surrogate"))).alias("e"))
     pieces = F.split("t", ANY)
     new = F.array_join(F.zip_with(pieces, "e.surrogate", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hit.join(lists, ["k1", "k2"]).select("row", new.alias("text"), F.col("e.entity").alias("entities"), F.col("e.surrogate").alias("surrogates"))
+    changed = hit.drop("e").join(lists, ["k1", "k2"]).select("row", new.alias("text"), F.col("e.entity").alias("entities"), F.col("e.surrogate").alias("surrogates"))
     none = F.array().cast("array<string>")
-    return changed.unionByName(rows.where(~some).select("row", F.col("t").alias("text"), none.alias("entities"), none.alias("surrogates")))
+    return changed.unionByName(rows.where(F.size("e") == 0).select("row", F.col("t").alias("text"), none.alias("entities"), none.alias("surrogates")))
 
 
 def without_private_data(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
