@@ -2,13 +2,13 @@
 
 A list is a log of dated entries: a key is added to a list or taken off. Entries become validity intervals, from an
 addition to the next entry of the same list and key. A capture has a URL and a fetch time; its candidate keys are its host,
-each parent domain, and the host with each leading part of the path. An equal-key join with the interval condition
-gives the entries active when the capture was fetched: the as-of join of captures and entries.
+each parent domain, and the host with each leading part of the path, as deep as the deepest key of the entries. A key with a
+path belongs to its very host, not to hosts below it. An equal-key join with the interval condition gives the entries active when the capture was fetched: the as-of join of captures and entries.
 
 Intervals hold their start and not their end. Of entries of one list and key at the same time, removals come last; repeated
 entries count once; a removal of what is not listed does nothing. Entries with a null key, list, action or date, and
-captures with a null URL or fetch time, match nothing; such captures stay with no list. Hosts are lower-cased; user
-names, ports, queries and fragments are no part of a key. Captures are numbered by their content, so repeated rows are
+captures with a null URL or fetch time, match nothing; such captures stay with no list. Hosts are lower-cased on both sides,
+and empty path parts and closing slashes dropped; user names, ports, queries and fragments are no part of a key. Captures are numbered by their content, so repeated rows are
 evaluated alike; other columns are kept in ``row`` under any name. Empty lists leave all captures with no list.
 
 A hot host is a hot join key: captures of it meet the few intervals of that key, and the adaptive join splits it. Only
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from outlay.llm.common import table
 
 ADD, REMOVE = "add", "remove"
-#: Path parts of a key at most; URLs may be longer, list keys are not.
-DEPTH = 3
 
 
 def host_of(url: Column) -> Column:
@@ -36,12 +34,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?i:[a-z][a-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)", 1)
 
 
-def candidate_keys(url: Column, depth: int = DEPTH) -> Column:
+def _parts(path: Column) -> Column:
+    return F.array_remove(F.split(path, "/"), "")
+
+
+def entry_key(key: Column) -> Column:
+    """The key of an entry as captures have it: the host lower-cased, the parts of the path joined by single slashes."""
+    host, path = F.lower(F.regexp_extract(key, "^[^/]*", 0)), _parts(F.regexp_extract(key, "/.*$", 0))
+    return F.concat_ws("/", host, F.when(F.size(path) > 0, F.array_join(path, "/")))
+
+
+def candidate_keys(url: Column, depth: Column) -> Column:
     """Host, parent domains of two labels or more, and host with the first 1 .. depth parts of the path."""
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.array_remove(F.split(path_of(url), "/"), "")
-    count = F.least(F.size(parts), F.lit(depth))
+    parts = _parts(path_of(url))
+    count = F.least(F.size(parts), F.coalesce(depth, F.lit(0)))
     paths = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, F.coalesce(paths, F.array().cast("array<string>")))))
 
@@ -49,7 +57,7 @@ def candidate_keys(url: Column, depth: int = DEPTH) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, from, until) of entries (list, key, action, at); until is null while the key stays listed."""
     good = entries.where("list IS NOT NULL AND key IS NOT NULL AND at IS NOT NULL").where(F.col("action").isin(ADD, REMOVE))
-    good = good.select("list", "key", "action", "at").distinct()
+    good = good.select("list", entry_key(F.col("key")).alias("key"), "action", "at").distinct()
     w = Window.partitionBy("list", "key").orderBy("at", "action")
     spans = good.withColumn("until", F.lead("at").over(w)).where(F.col("action") == ADD)
     return spans.where("until IS NULL OR until > at").select("list", "key", F.col("at").alias("from"), "until")
@@ -62,7 +70,9 @@ def evaluated(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     """
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").alias("t"))
     spans = intervals(entries)
-    keyed = rows.select("url", "t").where("url IS NOT NULL AND t IS NOT NULL").distinct().select("url", "t", F.explode(candidate_keys(F.col("url"))).alias("key"))
+    depth = spans.agg(F.max(F.length("key") - F.length(F.replace(F.col("key"), F.lit("/"), F.lit("")))).alias("d")).scalar()
+    keyed = rows.select("url", "t").where("url IS NOT NULL AND t IS NOT NULL").distinct().select("url", "t", depth.alias("depth"))
+    keyed = keyed.select("url", "t", F.explode(candidate_keys(F.col("url"), F.col("depth"))).alias("key"))
     hits = keyed.join(spans, "key").where((F.col("from") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
     found = hits.groupBy("url", "t").agg(F.sort_array(F.collect_set("list")).alias("lists"), F.count("*").alias("n_entries"))
     none = F.array().cast("array<string>")
@@ -126,6 +136,6 @@ e AS (SELECT list, key, DATE '2020-01-01' + CAST({_hex("key", 9)} % 600 AS INTEG
 i AS (SELECT list, key, a AS f, a + s AS u FROM e UNION ALL SELECT list, key, a + 2 * s, NULL FROM e),
 c AS (SELECT DISTINCT page_id, unnest(list_concat(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
     lambda n: array_to_string(string_split(host, '.')[n:], '.')),
-  list_transform(range(1, least(len(parts), {DEPTH}) + 1), lambda n: host || '/' || array_to_string(parts[1:n], '/')))) AS key, t FROM p WHERE host <> ''),
+  list_transform(range(1, len(parts) + 1), lambda n: host || '/' || array_to_string(parts[1:n], '/')))) AS key, t FROM p WHERE host <> ''),
 h AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n FROM c JOIN i USING (key) WHERE f <= t AND (u IS NULL OR t < u) GROUP BY 1)
 SELECT page_id, host, t AS fetched_at, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists, coalesce(n, 0) AS n_entries FROM p LEFT JOIN h USING (page_id)"""
