@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 
@@ -74,6 +76,18 @@ def test_private_data(docs, none):
     assert private_data.replaced(none).count() == 0
 
 
+def test_private_data_takes_linear_time(spark):
+    """One long word, an address of very many labels, and one behind very many marks."""
+    word, labels, marks = "Ab1" * 350_000, "a@" + "b." * 10_000 + "1", "-" * 50_000 + "jo@ex.org"
+    dots = "a." * 200_000
+    begin = time.monotonic()
+    got = {r.row.doc_id: r for r in private_data.replaced(rows(spark, list(enumerate([word, labels, marks, dots, f"{word} x@y.zz {labels}", "_jo@ex.org ...jo@ex.org (jo@ex.org)"])))).collect()}
+    assert time.monotonic() - begin < 90
+    assert [got[i].entities for i in (0, 1, 3, 4)] == [[], [], [], ["x@y.zz"]]
+    assert len(got[2].entities) == 1 and "jo@ex.org" not in got[2].text
+    assert got[5].entities == ["jo@ex.org"] * 3 and len(set(got[5].surrogates)) == 1 and got[5].text.startswith("_")
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.without_repeats(docs)
     got = sorted(((r.doc_id or 0), r.text or "") for r in out.collect())
@@ -117,6 +131,28 @@ def test_urls(spark):
     assert url_filters.keep_allowed(captures, entries).columns == captures.columns
 
 
+def test_urls_of_any_depth(spark):
+    day = dt.date(2020, 1, 5)
+    urls = ["http://a.com/x/y/z/w/v", "http://a.com/x/y/z", "https://Example.COM/Q", "http://www.a.com/x/y/z/w", "http://a.com//x/y//z/w/"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "id long, url string, fetched_at date")
+    entries = spark.createDataFrame([("deep", "a.com/x/y/z/w", "add", day), ("caps", "Example.com", "add", day), ("slash", "A.com/x//y/", "add", day)], "list string, key string, action string, at date")
+    got = {r.row.id: r.lists for r in url_filters.evaluated(captures, entries).collect()}
+    assert got == {0: ["deep", "slash"], 1: ["slash"], 2: ["caps"], 3: [], 4: ["deep", "slash"]}
+
+
+def test_secrets_take_linear_time():
+    rng = random.Random(1)
+    text = "\n".join(f"{rng.getrandbits(128):032x}  file{i}.tar" for i in range(60_000))
+    begin = time.monotonic()
+    base = secrets.base_spans(text)
+    assert len(base) == 60_000 and secrets.candidates(text, base) == []
+    assert time.monotonic() - begin < 20
+    spans = sorted((a, 0, a + rng.randint(1, 400)) for a in (rng.randrange(2_000) for _ in range(20)))
+    short = " ".join(f"{rng.getrandbits(100):x}Z9" for _ in range(80))
+    want = [c for c in secrets.candidates(short, []) if not any(s < c[1] and c[0] < e for s, _, e in spans)]
+    assert secrets.candidates(short, spans) == want
+
+
 def test_secrets(docs, none):
     got = secrets.secrets(docs).collect()
     assert len(got) == len(TEXTS) and all(not r.spans for r in got)
