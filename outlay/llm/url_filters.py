@@ -44,12 +44,12 @@ def entry_key(key: Column) -> Column:
     return F.concat_ws("/", host, F.when(F.size(path) > 0, F.array_join(path, "/")))
 
 
-def candidate_keys(url: Column, depth: Column) -> Column:
-    """Host, parent domains of two labels or more, and host with the first 1 .. depth parts of the path."""
+def candidate_keys(url: Column, depth: Column | None = None) -> Column:
+    """Host, parent domains of two labels or more, and host with the first 1 .. depth parts of the path, or with all."""
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = _parts(path_of(url))
-    count = F.least(F.size(parts), F.coalesce(depth, F.lit(0)))
+    count = F.size(parts) if depth is None else F.least(F.size(parts), F.coalesce(depth, F.lit(0)))
     paths = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, F.coalesce(paths, F.array().cast("array<string>")))))
 

@@ -340,8 +340,10 @@ def test_whole_table_round_trips(spark):
 
 def test_keys_of_a_url(spark):
     url = "https://user:pw@M.Sub.Example.org.:8080/a/b//c/d/e.html?x=/y#z"
-    got = spark.range(1).select(url_filters.candidate_keys(url_filters.F.lit(url))).first()[0]
-    assert got == ["m.sub.example.org", "sub.example.org", "example.org", "m.sub.example.org/a", "m.sub.example.org/a/b", "m.sub.example.org/a/b/c"]
+    keys = lambda *depth: spark.range(1).select(url_filters.candidate_keys(F.lit(url), *depth)).first()[0]
+    want = ["m.sub.example.org", "sub.example.org", "example.org", "m.sub.example.org/a", "m.sub.example.org/a/b", "m.sub.example.org/a/b/c"]
+    assert keys(F.lit(3)) == want
+    assert keys() == [*want, "m.sub.example.org/a/b/c/d", "m.sub.example.org/a/b/c/d/e.html"] and keys(F.lit(None).cast("int")) == want[:3]
 
 
 def test_entries_hold_from_addition_to_removal(spark):
