@@ -1,4 +1,7 @@
-"""Fact retrieval: keyword (BM25), vector (cosine), both fused by rank, and passages of a document."""
+"""Fact retrieval: keyword (BM25), vector (cosine), both fused by rank, and passages of a document.
+
+Keyword search reads a stored index (``search_index``) where it is given one, and the texts themselves otherwise.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,10 @@ from pyspark.sql import functions as F
 from outlay.functions.chunks import passage_rows
 from outlay.functions.html import html_text
 from outlay.functions.similarity import all_finite, norm
-from outlay.functions.text import STOP_WORDS, search_tokens
+from outlay.functions.text import STOP_WORDS
+from outlay.plans import search_index
+from outlay.plans.search_index import fact_tokens
+from outlay.session import scratch_dir
 
 FACT_COLUMNS = ("id", "fact_key", "fact_text", "weight", "updated_at")
 K1, B = 1.5, 0.75
@@ -27,8 +33,7 @@ def query_terms(text: str) -> list[str]:
 
 def _tokenized(facts: DataFrame, terms: list[str]) -> DataFrame:
     """Facts with their length in tokens and the tokens that are query terms (with repeats)."""
-    text = F.concat_ws(" ", F.coalesce("fact_key", F.lit("")), F.coalesce("fact_text", F.lit("")))
-    tokens = facts.withColumn("_tokens", search_tokens(text))
+    tokens = facts.withColumn("_tokens", fact_tokens(facts))
     return tokens.select(
         *facts.columns,
         F.size("_tokens").alias("_length"),
@@ -56,16 +61,14 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def bm25(facts: DataFrame, query: str, limit: int = 20, k1: float = K1, b: float = B) -> DataFrame:
-    """Best facts by BM25 over key and text, ties by weight, then recency."""
-    if k1 < 0 or not 0 <= b <= 1:
-        raise ValueError("k1 must not be negative and b must be between 0 and 1")
-    terms = query_terms(query)
-    docs = _tokenized(facts, terms or [""])
-    if not terms or limit <= 0:
-        docs = docs.where("false")
+def _scanned(facts: DataFrame, terms: list[str], k1: float, b: float) -> DataFrame:
+    """(id, bm25_score, matched_terms) from the texts. One pass writes what the question needs of each fact, without its text."""
+    spark, path = facts.sparkSession, scratch_dir(facts.sparkSession, "question")
+    narrow = _tokenized(facts, terms).select("id", "_length", "_hits")
+    narrow.write.parquet(path)
+    docs = spark.read.schema(narrow.schema).parquet(path)
     corpus = corpus_statistics(docs)
-    found = docs.withColumn("_c", corpus.select(F.struct("*").alias("c")).scalar())
+    found = docs.where(F.size("_hits") > 0).withColumn("_c", corpus.select(F.struct("*").alias("c")).scalar())
     found = found.withColumns(
         {
             "_n": F.col("_c.documents"),
@@ -82,14 +85,26 @@ def bm25(facts: DataFrame, query: str, limit: int = 20, k1: float = K1, b: float
         return idf * (tf * (k1 + 1) / (tf + F.col("_norm")))
 
     score = F.aggregate(F.transform("matched_terms", part), F.lit(0.0), lambda acc, x: acc + x)
-    # Facts without a hit sort last and go after the limit: a filter before it would be pushed below the tokenizing
-    # projection and tokenize every text twice.
+    return found.select("id", score.alias("bm25_score"), "matched_terms")
+
+
+def bm25(facts: DataFrame, query: str, limit: int = 20, k1: float = K1, b: float = B, index: str | None = None) -> DataFrame:
+    """Best facts by BM25 over key and text, ties by weight, then recency. ``index`` is the folder of a stored index of the facts."""
+    if k1 < 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must not be negative and b must be between 0 and 1")
+    terms = query_terms(query)
+    columns = [c for c in FACT_COLUMNS if c in facts.columns]
+    if not terms or limit <= 0:
+        return facts.select(*columns, F.lit(None).cast("double").alias("bm25_score"), F.array().cast("array<string>").alias("matched_terms")).where("false")
+    found = search_index.scores(facts.sparkSession, index, terms, k1, b) if index else _scanned(facts, terms, k1, b)
+    # The scores at the limit and their ties come first, then the facts of these rows alone.
+    best = Window.orderBy(F.desc("bm25_score"))
+    top = found.withColumn("_r", F.rank().over(best)).where(F.col("_r") <= limit).drop("_r")
     return (
-        found.withColumn("bm25_score", F.when(F.size("matched_terms") > 0, score))
-        .select(*[c for c in FACT_COLUMNS if c in facts.columns], "bm25_score", "matched_terms")
-        .orderBy(F.desc_nulls_last("bm25_score"), F.desc("weight"), F.desc("updated_at"), "id")
-        .limit(max(0, limit))
-        .where(F.col("bm25_score").isNotNull())
+        facts.select(*columns)
+        .join(top, "id")
+        .orderBy(F.desc("bm25_score"), F.desc("weight"), F.desc("updated_at"), "id")
+        .limit(limit)
     )
 
 
@@ -164,13 +179,13 @@ def _tail(df: DataFrame, prefix: str) -> list[Column]:
     return [F.col(c).alias(prefix + c) for c in FACT_COLUMNS if c != "id"]
 
 
-def hybrid_search(facts: DataFrame, query: str, vector, model: str, limit: int = 5) -> DataFrame:
-    """Keyword and vector candidates fused. Without a vector the keyword list alone is ranked."""
+def hybrid_search(facts: DataFrame, query: str, vector, model: str, limit: int = 5, index: str | None = None) -> DataFrame:
+    """Keyword and vector candidates fused. Without a vector the keyword list alone is ranked; ``index`` as in ``bm25``."""
     if not query or len(query) > MAX_QUERY_CHARS:
         raise ValueError("a query must have between 1 and 2000 characters")
     limit = min(10, max(1, limit))
     candidates = min(50, max(20, 4 * limit))
-    words = bm25(facts, query, candidates)
+    words = bm25(facts, query, candidates, index=index)
     if vector is None:
         none = words.select(*FACT_COLUMNS, F.lit(None).cast("double").alias("similarity")).where("false")
         return fuse(none, words, limit)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from outlay.functions import chunks, html, payloads, similarity, text
 from outlay.operators import claims, history
-from outlay.plans import search
+from outlay.plans import search, search_index
 from outlay.queries.base import query, with_
+from outlay.session import scratch_dir
 
 # ----- bindings -----
 
@@ -86,6 +87,28 @@ def bm25(s):
     )
 
 
+def stored_index(s) -> str:
+    """The facts in a stored index, in three batches: half of them with another text first, the rest, then the first half as it is."""
+    folder, rows = scratch_dir(s.spark, "index"), facts(s).select("id", "fact_key", "fact_text")
+    search_index.create(s.spark, folder)
+    search_index.append(rows.where("id % 2 = 0").withColumn("fact_text", F.reverse("fact_text")), folder)
+    search_index.append(rows.where("id % 2 = 1"), folder)
+    search_index.append(rows.where("id % 2 = 0"), folder)
+    return folder
+
+
+@query(
+    "a27_x8_bm25_stored_index",
+    f"""WITH {_BM25} SELECT doc_id AS id, round(score, 6) AS bm25_score, terms AS matched_terms FROM scored
+  ORDER BY score DESC, doc_id DESC LIMIT 20""",
+)
+def bm25_indexed(s):
+    found = search.bm25(facts(s), question(s), 20, index=stored_index(s))
+    return found.select(
+        "id", F.round("bm25_score", 6).alias("bm25_score"), F.array_join("matched_terms", " ").alias("matched_terms")
+    )
+
+
 _COSINE = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   q0 AS (SELECT e FROM v WHERE vec_id = 0),
   cos AS (SELECT v.vec_id, v.label, list_dot_product(v.e, q0.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q0.e, q0.e))) AS s
@@ -129,6 +152,16 @@ def hybrid(s):
     )
 
 
+@query(
+    "x10_stored_index",
+    f"""WITH {_BM25} SELECT doc_id AS id, round(1 / (60 + row_number() OVER (ORDER BY score DESC, doc_id DESC)), 9) AS retrieval_score
+  FROM scored ORDER BY score DESC, doc_id DESC LIMIT 10""",
+)
+def hybrid_indexed(s):
+    found = search.hybrid_search(facts(s), question(s), None, MODEL, 10, index=stored_index(s))
+    return found.select("id", F.round("retrieval_score", 9).alias("retrieval_score"))
+
+
 @query(
     "x10_keyword_fallback",
     f"""WITH {_BM25} SELECT doc_id AS id, round(1 / (60 + row_number() OVER (ORDER BY score DESC, doc_id DESC)), 9) AS retrieval_score

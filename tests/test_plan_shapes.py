@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.operators import gold, history
 from outlay.operators.ordered import keep_largest_copies, neighbours
-from outlay.plans import search, snapshot
+from outlay.plans import search, search_index, snapshot
 from outlay.plans.analyze import Context, analyze
 from outlay.plans.spec import AnalysisSpec
 from outlay.sources import tables
@@ -70,10 +70,28 @@ def test_snapshot_reads_the_facts_once(spark, stored):
     assert plan(snapshot.group_lines(done)).count("FileScan") == 1
 
 
-def test_texts_are_tokenized_once_per_pass(spark, tmp_path):
-    spark.createDataFrame([(1, "k", "t", 1.0, "1")], "id long, fact_key string, fact_text string, weight double, updated_at string").write.parquet(str(tmp_path / "f"))
-    text = plan(search.bm25(spark.read.parquet(str(tmp_path / "f")), "some words"))
-    assert text.count("regexp_extract_all") == 2  # one pass for the statistics, one for the scores
+FACT = "id long, fact_key string, fact_text string, weight double, updated_at string"
+
+
+def test_a_question_tokenizes_each_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "k", "some text", 1.0, "1")], FACT).write.parquet(str(tmp_path / "f"))
+    found = search.bm25(spark.read.parquet(str(tmp_path / "f")), "some words")
+    # The one pass is over when the plan is made: it wrote lengths and hits, which the plan reads instead of texts.
+    assert "regexp_extract_all" not in plan(found) and found.count() == 1
+
+
+def test_a_question_opens_the_buckets_of_its_terms(spark, tmp_path):
+    rows = [(i, f"k{i}", " ".join(f"word{(i * j) % 97}" for j in range(1, 9)), 1.0, str(i)) for i in range(200)]
+    facts, index = spark.createDataFrame(rows, FACT), str(tmp_path / "index")
+    search_index.create(spark, index)
+    search_index.append(facts, index)
+    found = search_index.postings(spark, index, ["word5", "absent"])
+    text = plan(found)
+    assert "bucket" in text.split("PartitionFilters")[1].split("PushedFilters")[0] and "In(term" in text
+    scan = spark.read.parquet(index + "/postings")
+    opened = {r.bucket for r in scan.where(scan.term == "word5").select("bucket").distinct().collect()}
+    assert len(opened) == 1 and scan.select("bucket").distinct().count() > 50
+    assert {r.id for r in found.collect()} == {i for i, _, t, _, _ in rows if "word5" in t.split()}
 
 
 def test_months_outside_the_dates_are_not_opened(spark, stored, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from outlay.functions.text import STOP_WORDS
 from outlay.operators import history
-from outlay.plans import budget, progress, runs, search
+from outlay.plans import budget, progress, runs, search, search_index
 from outlay.sources import cards, jsonl
 from outlay.streaming.landing import land_new_exports
 from outlay.streaming.live import EVENT_SCHEMA, current_state, follow_runs, run_state
@@ -249,6 +249,32 @@ FACTS = [
 ]
 
 
+def test_stored_index_grows_by_batches(spark, tmp_path):
+    """Versions are replaced, a batch without a commit is not seen, and scores equal those of the texts at every step."""
+    kind, path = "id long, fact_key string, fact_text string, weight double, updated_at string", str(tmp_path / "index")
+    search_index.create(spark, path)
+    now = {}
+    batches = [FACTS[:3], [(2, "rent", "Japan"), *FACTS[3:]], [(3, "trip", ""), (9, "japan", "japan japan")], []]
+    for k, batch in enumerate(batches):
+        search_index.append(spark.createDataFrame([(i, a, b, 1.0, f"{i:03d}") for i, a, b in batch], kind), path)
+        now |= {i: (i, a, b) for i, a, b in batch}
+        facts = spark.createDataFrame([(i, a, b, 1.0, f"{i:03d}") for i, a, b in now.values()], kind)
+        want = bm25_by_loop(list(now.values()), "the trip to Japan, rent")
+        got = search.bm25(facts, "the trip to Japan, rent", index=path).collect()
+        assert {r.id: round(r.bm25_score, 9) for r in got} == {i: round(s, 9) for i, s in want.items()}
+        assert [r.id for r in got] == sorted(want, key=lambda i: (-want[i], -i))
+        top = search.bm25(facts, "the trip to Japan, rent", 2, index=path).collect()
+        assert [r.id for r in top] == [r.id for r in got][:2]
+        assert [r.id for r in search.hybrid_search(facts, "japan", None, "m", 3, path).collect()] == [r.id for r in search.hybrid_search(facts, "japan", None, "m", 3).collect()]
+        if k == 1:
+            # Tables of a batch that broke off before its commit.
+            broken = [("japan", 7, 5, 5, "broken", 0)]
+            for bucket in {r.bucket for r in spark.read.parquet(path + "/postings").select("bucket").distinct().collect()}:
+                spark.createDataFrame([(*r[:5], bucket) for r in broken], "term string, id long, tf long, length long, batch string, bucket int").write.mode("append").partitionBy("bucket").parquet(path + "/postings")
+            spark.createDataFrame([(1, "none", "broken")], "id long, batch string, by string").write.mode("append").parquet(path + "/replaced")
+    assert search.bm25(facts, "absent words", index=path).count() == 0
+
+
 def test_search(spark):
     vectors = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.6, 0.8], 4: None, 5: [1.0, 0.0, 0.0]}
     rows = [(i, k, t, 1.0, f"2026-01-0{i}", vectors[i], "m" if i != 2 else "old") for i, k, t in FACTS]
@@ -264,6 +290,7 @@ def test_search(spark):
     mixed = search.hybrid_search(facts, "Japan trip", [1.0, 0.0], "m").collect()
     assert {r.id for r in mixed} == {1, 3} and mixed[0].retrieval_sources == ["vector", "bm25"]
     assert [r.id for r in search.hybrid_search(facts, "coffee", None, "m").collect()] == [4]
+    assert search.bm25(facts.where("false"), "trip").count() == 0
     for bad in ([], [0.0, 0.0], [float("nan")]):
         with pytest.raises(ValueError):
             search.vector_search(facts, bad, "m")
