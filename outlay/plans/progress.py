@@ -78,32 +78,37 @@ def cycle_progress(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     ``repeated_error_count`` counts findings whose key was there before; a review stalls when both reviews have the
     same non-empty set of keys.
     """
-    errors = _errors(findings)
-    totals = category_errors(findings, reviews).groupBy(*CYCLE).agg(F.sum("errors").alias("error_count"))
-    warnings = findings.where(F.lower("severity") == "warning").groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("warning_count"))
+    level = F.lower("severity")
     key = ["key_category", "key_message"]
-    keys = errors.groupBy(*CYCLE, *key).agg(F.count(F.lit(1)).alias("n"))
-    before = keys.select("run_id", (F.col("cycle") + 1).alias("cycle"), *key, F.lit(1).alias("hit"))
-    compared = keys.join(before, [*CYCLE, *key], "left").groupBy(*CYCLE).agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.count("hit").alias("shared"),
-        F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("n"))), F.lit(0)).alias("repeated"),
-    )
-    base = (
-        reviews.select(*CYCLE, "decision")
-        .join(totals, CYCLE, "left")
-        .join(warnings, CYCLE, "left")
-        .join(compared, CYCLE, "left")
-        .na.fill(0, ["error_count", "warning_count", "keys", "shared", "repeated"])
-    )
-    prior = base.select(
-        "run_id",
-        (F.col("cycle") + 1).alias("cycle"),
-        F.col("error_count").alias("prior_error_count"),
-        F.col("keys").alias("prior_keys"),
+    named = findings.where(level.isin("error", "warning")).select(
+        *CYCLE, (level == "error").alias("error"), F.when(level == "error", F.lower(F.coalesce("category", F.lit("")))).alias("key_category"),
+        F.when(level == "error", finding_key("message")).alias("key_message"),
+    )
+    counts = named.groupBy(*CYCLE, "error", *key).agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("run_id", "error", *key).orderBy("cycle")
+    counts = counts.withColumn("hit", F.coalesce(F.col("error") & (F.lag("cycle").over(along) == F.col("cycle") - 1), F.lit(False)))
+    # Reviews and findings meet in one grouping; a review without findings brings its own row.
+    both = counts.unionByName(reviews.select(*CYCLE, "decision", F.lit(True).alias("reviewed")), allowMissingColumns=True)
+    error, n = F.coalesce("error", F.lit(False)), F.coalesce("n", F.lit(0))
+    base = both.groupBy(*CYCLE).agg(
+        F.max("decision").alias("decision"),
+        F.max("reviewed").alias("reviewed"),
+        F.sum(F.when(error, n).otherwise(0)).alias("itemized"),
+        F.sum(F.when(~error, n).otherwise(0)).alias("warning_count"),
+        F.count_if(error).alias("keys"),
+        F.count_if(F.col("hit")).alias("shared"),
+        F.sum(F.when(F.col("hit"), n).otherwise(0)).alias("repeated"),
+    ).where("reviewed")
+    unclassified = (F.col("itemized") == 0) & (F.lower("decision") != "pass")
+    base = base.withColumn("error_count", F.when(unclassified, F.lit(1).cast("long")).otherwise(F.col("itemized")))
+    steps = Window.partitionBy("run_id").orderBy("cycle")
+    has_prior = F.coalesce(F.lag("cycle").over(steps) == F.col("cycle") - 1, F.lit(False))
+    joined = base.withColumns(
+        {
+            "prior_error_count": F.when(has_prior, F.lag("error_count").over(steps)),
+            "prior_keys": F.when(has_prior, F.lag("keys").over(steps)),
+        }
     )
-    joined = base.join(prior, CYCLE, "left")
-    has_prior = F.col("prior_error_count").isNotNull()
     same = (F.col("keys") > 0) & (F.col("keys") == F.col("prior_keys")) & (F.col("keys") == F.col("shared"))
     return joined.select(
         *CYCLE,
@@ -112,7 +117,7 @@ def cycle_progress(findings: DataFrame, reviews: DataFrame) -> DataFrame:
         "warning_count",
         "prior_error_count",
         (F.col("prior_error_count") - F.col("error_count")).alias("error_count_delta"),
-        F.when(has_prior, F.col("repeated")).alias("repeated_error_count"),
+        F.when(F.col("prior_error_count").isNotNull(), F.col("repeated")).alias("repeated_error_count"),
         F.coalesce(same, F.lit(False)).alias("stalled"),
     )
 

@@ -1,11 +1,16 @@
 """Run reports from trace events and run documents.
 
+What a report says of a run is gathered in one grouping: counts and sums, and first and last values as least and greatest
+(place, value) structs, which merge map-side whatever the order of the rows.
+
 Events carry ``run_id`` and ``order``, a list of columns that orders a run; ``bucket`` is a column that never falls
 along that order (a file offset, an hour), used to cut very long runs into pieces.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +91,16 @@ def paired_calls(events: DataFrame, order: list[str] = ORDER, bucket: str = "blo
     """Model calls with their answers.
 
     An answer belongs to the latest call of its role that is still open, so exactly when the event just before it in
-    (run, role) is a call; a second call replaces the first. A call with nothing after it got no response.
+    (run, role) is a call; a second call replaces the first. A call with nothing after it got no response. Where the events
+    carry them, answers also tell their size, a parse status other than ok, and tokens read from the cache.
     """
+    response = _is("model_response")
+    more = {
+        "response_chars": F.col("response_chars") if "response_chars" in events.columns else None,
+        "parse_status": F.when(response & (F.col("parse_status") != "ok"), F.col("parse_status")) if "parse_status" in events.columns else None,
+        "cache_read_tokens": F.nullif(F.col("usage.cache_read_input_tokens"), F.lit(0)) if "usage" in events.columns else None,
+    }
+    more = {name: value for name, value in more.items() if value is not None}
     kept = [c for c in ("prompt_chars", "validation_cycle") if c in events.columns]
     rows = events.where(F.col("event").isin("model_call", *COST_EVENTS))
     rows = rows.withColumn("role", F.coalesce("role", F.lit("")))
@@ -103,6 +116,7 @@ def paired_calls(events: DataFrame, order: list[str] = ORDER, bucket: str = "blo
         F.col("eval_count").alias("out_tokens"),
         F.when(_is("model_response"), F.col("done_reason")).otherwise(F.lit("failed")).alias("done_reason"),
         F.coalesce(called, F.lit(False)).alias("paired"),
+        *[value.alias(name) for name, value in more.items()],
     )
     open_calls = near.where(_is("model_call") & F.col("next").isNull()).select(
         "run_id",
@@ -115,7 +129,20 @@ def paired_calls(events: DataFrame, order: list[str] = ORDER, bucket: str = "blo
         F.lit("no_response").alias("done_reason"),
         F.lit(False).alias("paired"),
     )
-    return answered.unionByName(open_calls)
+    return answered.unionByName(open_calls, allowMissingColumns=True)
+
+
+def review_details(events: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """Every review cycle's result: decision, stage, counts, summary, and its errors (category, message, evidence) in order.
+
+    A finding without a severity counts as an error.
+    """
+    fields = ("cycle", "decision", "stage", "error_count", "warning_count", "repeated_error_count", "resolved_finding_count", "summary")
+    errors = F.transform(
+        F.filter(F.coalesce("findings", F.array().cast(events.schema["findings"].dataType)), lambda f: F.coalesce(f["severity"], F.lit("error")) == "error"),
+        lambda f: F.struct(f["category"].alias("category"), f["message"].alias("message"), f["evidence"].alias("evidence")),
+    )
+    return events.where(_is("validation_cycle_result")).select("run_id", *order, *[f for f in fields if f in events.columns], errors.alias("errors"))
 
 
 def call_totals(calls: DataFrame) -> DataFrame:
@@ -162,57 +189,96 @@ def selected_review(reviews: DataFrame, cycle: int | None = None, order: list[st
     return reviews.groupBy("run_id").agg(F.max_by(F.struct(*others), F.struct(*order)).alias("c")).select("run_id", "c.*")
 
 
-def run_summary(events: DataFrame, order: list[str] = ORDER, bucket: str = "block") -> DataFrame:
-    """One row per run: counters, error trend, cost, times, and per-role call totals as a map.
+#: What a role's calls add up to, in the order of ``call_totals``.
+CALL_FIELDS = ("calls", "seconds", "max_seconds", "in_tokens", "out_tokens", "max_out_tokens", "length_stops", "failed")
+
+
+def run_summary(events: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """One row per run: counters, error trend, cost, times, per-role call totals and tool uses as maps.
 
-    Every part is a per-run aggregate, so the joins only ever see one row per run.
+    One scan: events are reduced by (run, role of a call, tool), then by run. Totals of calls need no pairing: every
+    answer counts, and a role's last call is open exactly when nothing of that role follows it.
     """
-    calls = call_totals(paired_calls(events, order, bucket))
-    roles = calls.groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("role", F.struct(*[c for c in calls.columns if c not in ("run_id", "role")])))).alias("calls")
+    event, place = F.col("event"), F.struct(*order)
+    answer, call, progress = event.isin(*COST_EVENTS), _is("model_call"), _is("validation_progress")
+    role = F.when(answer | call, F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown")))
+    tool = F.when(_is("tool_call"), F.coalesce("name", F.lit("None")))
+    out = F.when(answer, F.coalesce("eval_count", F.lit(0)))
+    done = F.when(_is("model_call_failed"), F.lit("failed")).otherwise(F.col("done_reason"))
+    seconds = F.when(answer, F.coalesce(F.col("elapsed_seconds").cast("double").cast("decimal(20,6)"), F.lit(0)))
+    at = lambda value: F.struct(place.alias("at"), value.alias("v"))
+    counters = {
+        "agent_rounds": _is("agent_round"), "tool_calls": _is("tool_call"), "validation_cycles": _is("validation_cycle_result"),
+        "validator_calls": call & (F.col("role") == "validator"), "author_format_retries": _is("author_format_retry"),
+        "validator_format_retries": _is("validator_format_retry"), "notable_events": event.isin(*NOTABLE_EVENTS),
+        "_reviews": progress, "validation_cycles_improved": progress & (F.col("error_count_delta") > 0),
+        "validation_cycles_regressed": progress & (F.col("error_count_delta") < 0),
+        "calls": answer, "length_stops": answer & (done == "length"), "failed": answer & done.isin("failed", "no_response"),
+    }
+    sums = {"cost_usd": F.when(answer, F.col("cost_usd").cast("decimal(20,6)")), "seconds": seconds, "in_tokens": F.when(answer, F.coalesce("prompt_eval_count", F.lit(0))), "out_tokens": out}
+    tops = {"max_seconds": seconds, "max_out_tokens": out, "_last": at(F.col("timestamp")), "_last_call": F.when(answer | call, at(call)), "_last_review": F.when(progress, at(F.col("error_count")))}
+    lows = {"_first": at(F.col("timestamp")), "_first_review": F.when(progress, at(F.col("error_count")))}
+    if "resolved_findings" in events.columns:
+        tops["_resolved"] = F.when(progress & F.col("resolved_findings").isNotNull(), at(F.size("resolved_findings")))
+    parts = events.groupBy("run_id", role.alias("_role"), tool.alias("_tool")).agg(
+        *[F.count_if(test).alias(name) for name, test in counters.items()],
+        *[F.sum(value).alias(name) for name, value in sums.items()],
+        *[F.max(value).alias(name) for name, value in tops.items()],
+        *[F.min(value).alias(name) for name, value in lows.items()],
     )
-    tools = tool_counts(events).groupBy("run_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("name", F.lit("None")), "uses")))).alias("tools")
+    # At most one row for each role and tool of a run reaches the second step.
+    pending = F.when(F.col("_last_call.v"), 1).otherwise(0)
+    count = lambda x: F.coalesce(F.col(x), F.lit(0))
+    total = F.struct(
+        (F.col("calls") + pending).alias("calls"), F.round(count("seconds"), 1).alias("seconds"), F.round(count("max_seconds"), 1).alias("max_seconds"),
+        count("in_tokens").alias("in_tokens"), count("out_tokens").alias("out_tokens"), count("max_out_tokens").alias("max_out_tokens"),
+        "length_stops", (F.col("failed") + pending).alias("failed"),
+    )
+    mine = [c for c in counters if c not in CALL_FIELDS]
+    listed = lambda key, value: F.array_sort(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), value.alias("v")))))
+    runs = parts.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in mine],
+        F.sum("cost_usd").alias("cost_usd"),
+        *[F.max(c).alias(c) for c in tops if c.startswith("_") and c != "_last_call"],
+        *[F.min(c).alias(c) for c in lows],
+        listed("_role", total).alias("_calls"),
+        listed("_tool", F.col("tool_calls")).alias("_tools"),
     )
-    listed = events.groupBy("run_id").agg(F.count_if(F.col("event").isin(*NOTABLE_EVENTS)).alias("notable_events"))
-    out = run_counters(events)
-    for part in (error_trend(events, order), cost_from_events(events), first_and_last_times(events, order), roles, tools, listed):
-        out = out.join(part, "run_id", "left")
-    return out
+    reviewed = F.col("_reviews") > 0
+    entries = lambda c: F.when(F.size(c) > 0, F.map_from_entries(c))
+    more = [F.coalesce("_resolved.v", F.lit(0)).alias("resolved_findings_at_end")] if "_resolved" in runs.columns else []
+    first, last = F.col("_first_review.v"), F.col("_last_review.v")
+    return runs.select(
+        "run_id", *[c for c in mine if not c.startswith(("_", "validation_cycles_", "notable"))],
+        first.alias("initial_validation_errors"), last.alias("final_validation_errors"),
+        *[F.when(reviewed, F.col(c)).alias(c) for c in ("validation_cycles_improved", "validation_cycles_regressed")],
+        (first - last).alias("validation_error_reduction"), "cost_usd", F.col("_first.v").alias("first_time"), F.col("_last.v").alias("last_time"),
+        entries("_calls").alias("calls"), entries("_tools").alias("tools"), "notable_events", *more,
+    )
 
 
 # ----- index -----
 
 
-def run_times(progress: DataFrame, metrics: DataFrame, trace_times: DataFrame) -> DataFrame:
-    """(run_id, start, end, running, duration_seconds) of every run with metrics or progress.
+#: The sources of a run's entry: metrics, progress, run manifest, start event, times of the trace, cost in the ledger.
+SOURCES = ("m", "p", "r", "s", "t", "l")
 
-    Progress names the start, and the end once it is final. Without it the first and last trace events do.
-    """
-    p = progress.select("run_id", "status", "started_at", "updated_at", F.lit(True).alias("has_progress"))
-    m = metrics.select("run_id", F.lit(True).alias("has_metrics"))
-    rows = p.join(m, "run_id", "full_outer").join(trace_times, "run_id", "left")
-    running = F.coalesce((F.col("status") == "running") & F.col("has_metrics").isNull(), F.lit(False))
-    final = F.when(F.coalesce(F.col("status") != "running", F.lit(True)), from_iso("updated_at"))
-    start = F.coalesce(from_iso("started_at"), from_epoch("first_time"))
-    end = F.when(~running, F.coalesce(final, from_epoch("last_time")))
-    return rows.select("run_id", start.alias("start"), end.alias("end"), running.alias("running")).withColumn(
-        "duration_seconds", seconds_between(F.col("start"), F.col("end"))
+
+def ledger_entries(spend: DataFrame) -> DataFrame:
+    """(run_id, own, alias): spend under a run's name, and under its name without the failed suffix, from one scan."""
+    cost, none = F.col("cost_usd"), F.lit(None).cast(spend.schema["cost_usd"].dataType)
+    names = F.array(
+        F.struct(F.col("run_id").alias("run_id"), cost.alias("own"), none.alias("alias")),
+        F.struct(F.concat("run_id", F.lit(FAILED_SUFFIX)).alias("run_id"), none.alias("own"), cost.alias("alias")),
     )
+    return spend.select(F.inline(names)).groupBy("run_id").agg(F.max("own").alias("own"), F.max("alias").alias("alias"))
 
 
-def ledger_cost(runs: DataFrame, spend: DataFrame) -> DataFrame:
-    """Add ``ledger_cost``: spend recorded under the run's name, else under its name without the failed suffix."""
-    base = F.regexp_replace("run_id", f"{FAILED_SUFFIX}$", "")
-    own = spend.select(F.col("run_id").alias("_own"), F.col("cost_usd").alias("_own_cost"))
-    alias = spend.select(F.col("run_id").alias("_alias"), F.col("cost_usd").alias("_alias_cost"))
-    joined = runs.withColumn("_base", F.when(F.col("run_id").endswith(FAILED_SUFFIX), base))
-    joined = joined.join(own, joined["run_id"] == own["_own"], "left").join(
-        alias, joined["_base"] == alias["_alias"], "left"
-    )
-    return joined.withColumn("ledger_cost", F.coalesce("_own_cost", "_alias_cost")).drop(
-        "_own", "_own_cost", "_alias", "_alias_cost", "_base"
-    )
+def merged(**sources: DataFrame) -> DataFrame:
+    """(run_id, one struct column for each source): tables with one row per run met in a single grouping, each read once."""
+    parts = [df.select("run_id", F.struct(*[c for c in df.columns if c != "run_id"]).alias(name)) for name, df in sources.items()]
+    tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return tall.groupBy("run_id").agg(*[F.any_value(name, True).alias(name) for name in sources])
 
 
 METRIC_FIELDS = {
@@ -248,46 +314,53 @@ def run_index(
     ``started`` holds the provider and model fields of each run's start event; ``spend`` the ledger cost per run.
     """
 
-    def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("run_id", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "run_id"])
-
-    times = run_times(progress, metrics, trace_times)
-    rows = times
-    for df, prefix in ((metrics, "m"), (progress, "p"), (manifest, "r"), (started, "s")):
-        rows = rows.join(prefixed(df, prefix), "run_id", "left")
-    rows = ledger_cost(rows, spend)
-    finished = F.col("run_id").isNotNull() & F.col("_has_metrics")
-    rows = rows.join(metrics.select("run_id", F.lit(True).alias("_has_metrics")), "run_id", "left")
-    cost = F.coalesce("m_anthropic_cost_usd", "p_anthropic_cost_usd", F.col("ledger_cost").cast("double"))
+    every = {"m": metrics, "p": progress, "r": manifest, "s": started, "t": trace_times, "l": ledger_entries(spend)}
+    return indexed(merged(**every))
+
+
+def indexed(state: DataFrame) -> DataFrame:
+    """The index from one row per run with a struct column for each of ``SOURCES``, null where a run has none.
+
+    Progress names the start, and the end once it is final; without it the first and last trace events do. A run is running
+    while its progress says so and it has no metrics. Its cost is the recorded one, else the ledger's.
+    """
+    m, p, t = F.col("m"), F.col("p"), F.col("t")
+    has_metrics = m.isNotNull()
+    running = F.coalesce((p["status"] == "running") & ~has_metrics, F.lit(False))
+    final = F.when(F.coalesce(p["status"] != "running", F.lit(True)), from_iso(p["updated_at"]))
+    start = F.coalesce(from_iso(p["started_at"]), from_epoch(t["first_time"]))
+    end = F.when(~running, F.coalesce(final, from_epoch(t["last_time"])))
+    rows = state.where(has_metrics | p.isNotNull()).withColumns({"_start": start, "_end": end})
+    cost = F.coalesce(m["anthropic_cost_usd"], p["anthropic_cost_usd"], F.coalesce(F.col("l.own"), F.col("l.alias")).cast("double"))
     labels = {}
     for role, flat in (("author", "model"), ("validator", "validator_model")):
         provider, model = role_model(
-            (F.col(f"r_{role}_role.provider"), F.col(f"r_{role}_role.model")),
-            (F.col(f"p_{role}_role.provider"), F.col(f"p_{role}_role.model")),
-            (F.col(f"m_{role}_provider"), F.col(f"m_{flat}")),
-            (F.col(f"p_{role}_provider"), F.col(f"p_{flat}")),
-            (F.col(f"s_{role}_provider"), F.col(f"s_{role}_model")),
+            (F.col(f"r.{role}_role.provider"), F.col(f"r.{role}_role.model")),
+            (F.col(f"p.{role}_role.provider"), F.col(f"p.{role}_role.model")),
+            (m[f"{role}_provider"], m[flat]),
+            (p[f"{role}_provider"], p[flat]),
+            (F.col(f"s.{role}_provider"), F.col(f"s.{role}_model")),
         )
         labels[f"{role}_model"] = model_label(provider, model)
 
-    def either(name: str, running: Column) -> Column:
-        return F.when(finished, F.col(f"m_{name}")).otherwise(running).alias(name)
+    def either(name: str, otherwise: Column) -> Column:
+        return F.when(has_metrics, m[name]).otherwise(otherwise).alias(name)
 
     own = [c for c in METRIC_FIELDS if c not in ("status", "runtime_seconds", "tool_calls", "mode", "anthropic_cost_usd", "guidance", "model", "validator_model", "author_provider", "validator_provider")]
     return rows.select(
         "run_id",
-        instant_text(F.col("start")).alias("start"),
-        F.when(F.col("running"), F.lit("running")).otherwise(instant_text(F.col("end"))).alias("end"),
-        "duration_seconds",
+        instant_text(F.col("_start")).alias("start"),
+        F.when(running, F.lit("running")).otherwise(instant_text(F.col("_end"))).alias("end"),
+        seconds_between(F.col("_start"), F.col("_end")).alias("duration_seconds"),
         *[c.alias(n) for n, c in labels.items()],
-        F.coalesce("r_guidance", "p_guidance", "m_guidance", F.lit("")).alias("guidance"),
+        F.coalesce(F.col("r.guidance"), p["guidance"], m["guidance"], F.lit("")).alias("guidance"),
         either("mode", F.lit("agent")),
-        either("status", F.col("p_status")),
-        either("runtime_seconds", F.col("p_elapsed_seconds")),
-        either("tool_calls", F.col("p_tool_calls")),
-        F.concat(F.lit("$"), F.format_string("%.4f", cost)).alias("cost"),
-        *[F.col(f"m_{c}").alias(c) for c in own],
-    ).withColumn("cost", F.when(F.col("cost") != "$null", F.col("cost"))).orderBy(F.desc("run_id"))
+        either("status", p["status"]),
+        either("runtime_seconds", p["elapsed_seconds"]),
+        either("tool_calls", p["tool_calls"]),
+        F.when(cost.isNotNull(), F.concat(F.lit("$"), F.format_string("%.4f", cost))).alias("cost"),
+        *[m[c].alias(c) for c in own],
+    ).orderBy(F.desc("run_id"))
 
 
 def compare_runs(index: DataFrame, run_ids: list[str]) -> DataFrame:

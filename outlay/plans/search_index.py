@@ -1,8 +1,8 @@
 """A stored inverted index of facts, added to in batches and read by query term.
 
-A folder holds four tables. ``postings`` has one row for each fact and distinct term, in buckets by a hash of the term, sorted
+A folder holds five small or bucketed tables. ``postings`` has one row for each fact and distinct term, in buckets by a hash of the term, sorted
 by term: a question opens the buckets of its terms only, and inside them the row groups that can hold them. ``documents`` has the
-length of every fact's version, ``replaced`` the versions that a later batch took the place of, and ``commits`` one row a
+length of every fact's version, ``settings`` the number of buckets, ``replaced`` the versions that a later batch took the place of, and ``commits`` one row a
 batch with the change in the number of facts and in their total length. A commit is written last: a batch that did not
 finish leaves files that no reader takes into account, and can be written again.
 """
@@ -18,6 +18,7 @@ from outlay.functions.text import search_tokens
 
 BUCKETS = 256
 _SCHEMAS = {
+    "settings": "buckets int",
     "documents": "id long, length long, batch string",
     "replaced": "id long, batch string, by string",
     "commits": "batch string, documents long, total_length long",
@@ -29,18 +30,22 @@ def fact_tokens(facts: DataFrame) -> Column:
     return search_tokens(F.concat_ws(" ", F.coalesce("fact_key", F.lit("")), F.coalesce("fact_text", F.lit(""))))
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
-def create(spark: SparkSession, path: str) -> None:
-    """An empty index in a new folder."""
+def create(spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+    """An empty index in a new folder. A bucket should grow to some 100 MB: thousands of them for billions of facts."""
     for name, schema in _SCHEMAS.items():
-        spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")
+        spark.createDataFrame([(buckets,)] if name == "settings" else [], schema).coalesce(1).write.parquet(f"{path}/{name}")
+
+
+def _buckets(spark: SparkSession, path: str) -> int:
+    return _read(spark, path, "settings").first().buckets
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +67,11 @@ def _live(rows: DataFrame, path: str) -> DataFrame:
 def append(facts: DataFrame, path: str) -> str:
     """Add facts (id, fact_key, fact_text), ids unique among them, and take the place of those that have their ids. Returns the batch's name."""
     spark, batch = facts.sparkSession, uuid.uuid4().hex
-    named = F.lit(batch).alias("batch")
+    named, buckets = F.lit(batch).alias("batch"), _buckets(spark, path)
     tokens = facts.select("id", fact_tokens(facts).alias("t"))
     # Terms of a fact meet in its own task, so the shuffle carries each of them once.
     terms = tokens.select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    rows = terms.select("term", "id", "tf", "length", named, bucket_of(F.col("term")).alias("bucket"))
+    rows = terms.select("term", "id", "tf", "length", named, bucket_of(F.col("term"), buckets).alias("bucket"))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     own = f"{path}/documents"
     tokens.select("id", F.size("t").cast("long").alias("length"), named).write.mode("append").parquet(own)
@@ -81,7 +86,8 @@ def append(facts: DataFrame, path: str) -> str:
 
 def postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """(term, id, tf, length) of the facts that hold any of the terms; only the buckets of these terms are opened."""
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
+    of_terms = F.explode(F.array(*[bucket_of(F.lit(t), _buckets(spark, path)) for t in terms]))
+    buckets = [r.b for r in spark.range(1).select(of_terms.alias("b")).distinct().collect()]
     schema = "term string, id long, tf long, length long, batch string, bucket int"
     rows = spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
     return _live(rows, path).select("term", "id", "tf", "length")

@@ -90,7 +90,7 @@ def bm25(s):
 def stored_index(s) -> str:
     """The facts in a stored index, in three batches: half of them with another text first, the rest, then the first half as it is."""
     folder, rows = scratch_dir(s.spark, "index"), facts(s).select("id", "fact_key", "fact_text")
-    search_index.create(s.spark, folder)
+    search_index.create(s.spark, folder, 16)
     search_index.append(rows.where("id % 2 = 0").withColumn("fact_text", F.reverse("fact_text")), folder)
     search_index.append(rows.where("id % 2 = 1"), folder)
     search_index.append(rows.where("id % 2 = 0"), folder)

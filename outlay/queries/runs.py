@@ -82,6 +82,58 @@ def totals(s):
     return runs.call_totals(runs.paired_calls(events(s), ORDER, BUCKET))
 
 
+@query(
+    "j7_call_details",
+    _CALLS
+    + """ SELECT run_id, role, event_id, done_reason, CASE WHEN done_reason NOT IN ('failed', 'no_response') THEN event_id % 5000 END AS response_chars,
+  CASE WHEN done_reason NOT IN ('failed', 'no_response') AND event_id % 7 = 0 THEN 'repaired' END AS parse_status,
+  CASE WHEN done_reason NOT IN ('failed', 'no_response') AND event_id % 3 > 0 THEN event_id % 3 END AS cache_read_tokens FROM calls""",
+)
+def call_details(s):
+    """Answers with their size, a parse status that is not ok, and tokens read from the cache."""
+    e = F.when(F.col("event") == "model_response", F.col("event_id"))
+    zero = F.lit(0).cast("long")
+    usage = F.struct(zero.alias("input_tokens"), zero.alias("output_tokens"), (e % 3).alias("cache_read_input_tokens"), zero.alias("cache_creation_input_tokens"))
+    rows = events(s).withColumns({
+        "response_chars": e % 5000, "parse_status": F.when(e % 7 == 0, F.lit("repaired")).when(e.isNotNull(), F.lit("ok")), "usage": F.when(e.isNotNull(), usage),
+    })
+    return runs.paired_calls(rows, ORDER, BUCKET).select("run_id", "role", "event_id", "done_reason", "response_chars", "parse_status", "cache_read_tokens")
+
+
+@query(
+    "x13_review_details",
+    with_("trace")
+    + """SELECT run_id, event_id, error_count, event_id % 9 AS cycle, CASE WHEN event_id % 4 = 1 THEN 'fail' ELSE 'pass' END AS decision,
+  CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'html:e' || event_id ELSE 'html:e' || event_id || ',none:f' || event_id END AS errors
+  FROM trace WHERE event = 'validation_cycle_result'""",
+)
+def review_details(s):
+    """Reviews with no finding, an error and a warning, or two errors, one of them without severity and category."""
+    e, blank = F.col("event_id"), F.lit(None).cast("string")
+    finding = lambda severity, category, message: F.struct(
+        severity.alias("severity"), category.alias("category"), F.concat(message, e.cast("string")).alias("message"), blank.alias("evidence")
+    )
+    first = finding(F.lit("error"), F.lit("html"), F.lit("e"))
+    found = F.when(e % 3 == 1, F.array(first, finding(F.lit("warning"), F.lit("html"), F.lit("w")))).when(e % 3 == 2, F.array(first, finding(blank, blank, F.lit("f"))))
+    rows = events(s).withColumns({"cycle": e % 9, "decision": F.when(e % 4 == 1, F.lit("fail")).otherwise(F.lit("pass")), "findings": found})
+    out = runs.review_details(rows, ORDER)
+    errors = F.array_join(F.transform("errors", lambda f: F.concat_ws(":", F.coalesce(f["category"], F.lit("none")), f["message"])), ",")
+    return out.select("run_id", "event_id", "error_count", "cycle", "decision", errors.alias("errors"))
+
+
+@query(
+    "x13_call_totals_by_role",
+    _CALLS
+    + """ SELECT run_id, role, count(*) AS calls, CAST(round(sum(COALESCE(CAST(seconds AS DECIMAL(12,2)), 0)), 1) AS DOUBLE) AS seconds,
+  CAST(sum(COALESCE(in_tokens, 0)) AS BIGINT) AS in_tokens, max(COALESCE(out_tokens, 0)) AS max_out_tokens,
+  count(*) FILTER (done_reason = 'length') AS length_stops, count(*) FILTER (done_reason IN ('failed', 'no_response')) AS failed FROM calls GROUP BY ALL""",
+)
+def summary_calls(s):
+    """The totals inside the one-scan summary equal those of the paired calls."""
+    rows = runs.run_summary(events(s), ORDER).select("run_id", F.explode("calls").alias("role", "c"))
+    return rows.select("run_id", "role", *[f"c.{c}" for c in ("calls", "seconds", "in_tokens", "max_out_tokens", "length_stops", "failed")])
+
+
 @query(
     "j7_neighbours",
     with_("trace")
@@ -161,7 +213,7 @@ def notable(s):
   FROM trace GROUP BY 1""",
 )
 def summary(s):
-    return runs.run_summary(events(s), ORDER, BUCKET).select(
+    return runs.run_summary(events(s), ORDER).select(
         "run_id", "tool_calls", "cost_usd", "notable_events",
         F.col("calls")["author"]["calls"].alias("author_calls"),
         F.col("calls")["validator"]["out_tokens"].alias("validator_out_tokens"),
@@ -173,45 +225,42 @@ def summary(s):
 # ----- run documents -----
 
 
-def documents(s):
-    """(metrics, progress, manifest, started, trace times, ledger spend) derived from the runs binding."""
-    r = s.runs
+def parts(s):
+    """Which runs have each document, and its columns, from the runs binding."""
+    blank, amount, none = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("struct<provider:string,model:string>")
     stamp = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss")
     after = F.timestamp_micros(F.unix_micros(F.col("started_at").cast("timestamp")) + (F.col("elapsed_seconds") * 1e6).cast("long"))
-    metrics = r.where("has_metrics").select(
-        "run_id", "model", F.lit("checker").alias("validator_model"), F.col("provider").alias("author_provider"),
-        F.lit("gamma").alias("validator_provider"), F.lit("agent").alias("mode"), F.lit(None).cast("string").alias("guidance"),
-        "status", F.lit("pass").alias("validation"), F.col("elapsed_seconds").cast("double").alias("runtime_seconds"),
-        *[F.lit(None).cast("long").alias(c) for c in ("agent_rounds",)], F.col("tool_calls").cast("long").alias("tool_calls"),
-        *[F.lit(1).cast("long").alias(c) for c in (
-            "validation_cycles", "validator_calls", "author_format_retries", "validator_format_retries",
-            "initial_validation_errors", "final_validation_errors", "validation_error_reduction",
-            "validation_cycles_improved", "validation_cycles_regressed", "report_bytes")],
-        F.col("cost_usd").cast("double").alias("anthropic_cost_usd"),
-    )
     role = F.struct(F.col("progress_provider").alias("provider"), F.col("progress_model").alias("model"))
-    none = F.lit(None).cast("struct<provider:string,model:string>")
-    progress_docs = r.where("has_progress").select(
-        "run_id", "status", stamp.alias("started_at"), F.date_format(after, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated_at"),
-        F.col("elapsed_seconds").cast("double").alias("elapsed_seconds"), F.col("tool_calls").cast("long").alias("tool_calls"),
-        F.lit(None).cast("double").alias("anthropic_cost_usd"), F.col("progress_model").alias("model"),
-        F.lit(None).cast("string").alias("validator_model"), F.col("progress_provider").alias("author_provider"),
-        F.lit(None).cast("string").alias("validator_provider"), "guidance", none.alias("author_role"), none.alias("validator_role"),
-    )
-    manifest = r.where("tool_calls = 3").select(
-        "run_id", role.alias("author_role"), none.alias("validator_role"), F.lit(None).cast("string").alias("guidance")
-    )
-    blank = F.lit(None).cast("string")
-    started = r.where("tool_calls = 5").select(
-        "run_id", blank.alias("author_provider"), blank.alias("author_model"),
-        F.lit("late").alias("validator_provider"), F.lit("late-checker").alias("validator_model"),
-    )
     epoch = F.unix_micros(F.col("started_at").cast("timestamp")) / 1e6
-    spans = r.where("tool_calls <> 7").select("run_id", (epoch + 60).alias("first_time"), (epoch + 600).alias("last_time"))
-    spend = s.table("orders").where("o_orderkey % 6 = 0").select(
+    one = [F.lit(1).cast("long").alias(c) for c in (
+        "validation_cycles", "validator_calls", "author_format_retries", "validator_format_retries",
+        "initial_validation_errors", "final_validation_errors", "validation_error_reduction",
+        "validation_cycles_improved", "validation_cycles_regressed", "report_bytes")]
+    return {
+        "m": ("has_metrics", [
+            "model", F.lit("checker").alias("validator_model"), F.col("provider").alias("author_provider"),
+            F.lit("gamma").alias("validator_provider"), F.lit("agent").alias("mode"), blank.alias("guidance"),
+            "status", F.lit("pass").alias("validation"), F.col("elapsed_seconds").cast("double").alias("runtime_seconds"),
+            F.lit(None).cast("long").alias("agent_rounds"), F.col("tool_calls").cast("long").alias("tool_calls"), *one,
+            F.col("cost_usd").cast("double").alias("anthropic_cost_usd")]),
+        "p": ("has_progress", [
+            "status", stamp.alias("started_at"), F.date_format(after, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("updated_at"),
+            F.col("elapsed_seconds").cast("double").alias("elapsed_seconds"), F.col("tool_calls").cast("long").alias("tool_calls"),
+            amount.alias("anthropic_cost_usd"), F.col("progress_model").alias("model"), blank.alias("validator_model"),
+            F.col("progress_provider").alias("author_provider"), blank.alias("validator_provider"), "guidance",
+            none.alias("author_role"), none.alias("validator_role")]),
+        "r": ("tool_calls = 3", [role.alias("author_role"), none.alias("validator_role"), blank.alias("guidance")]),
+        "s": ("tool_calls = 5", [
+            blank.alias("author_provider"), blank.alias("author_model"), F.lit("late").alias("validator_provider"),
+            F.lit("late-checker").alias("validator_model")]),
+        "t": ("tool_calls <> 7", [(epoch + 60).alias("first_time"), (epoch + 600).alias("last_time")]),
+    }
+
+
+def spend(s):
+    return s.table("orders").where("o_orderkey % 6 = 0").select(
         F.concat(F.lit("run-"), F.col("o_orderkey")).alias("run_id"), F.lit("0.5").cast("decimal(20,6)").alias("cost_usd")
     )
-    return metrics, progress_docs, manifest, started, spans, spend
 
 
 _INDEX = (
@@ -237,12 +286,22 @@ _INDEX = (
 )
 
 
+_INDEXED = ("run_id", "start", "end", "duration_seconds", "author_model", "validator_model", "guidance", "status", "tool_calls", "mode", "cost")
+
+
 @query("x12_j6_f33_run_index", _INDEX)
 def index(s):
-    return runs.run_index(*documents(s)).select(
-        "run_id", "start", "end", "duration_seconds", "author_model", "validator_model", "guidance", "status",
-        "tool_calls", "mode", "cost",
-    )
+    """The documents of a run side by side in one row: one scan of runs and one of the ledger."""
+    state = s.runs.select("run_id", *[F.when(F.expr(test), F.struct(*columns)).alias(name) for name, (test, columns) in parts(s).items()])
+    cost = runs.ledger_entries(spend(s)).select("run_id", F.struct("own", "alias").alias("l"))
+    return runs.indexed(state.join(cost, "run_id", "left")).select(*_INDEXED)
+
+
+@query("x12_separate_documents", _INDEX)
+def index_of_documents(s):
+    """The same from five tables of documents, some of which a run lacks, met in one grouping."""
+    tables = [s.runs.where(test).select("run_id", *columns) for test, columns in parts(s).values()]
+    return runs.run_index(*tables, spend(s)).select(*_INDEXED)
 
 
 @query(

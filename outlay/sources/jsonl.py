@@ -26,7 +26,10 @@ TRACE_FIELDS = {
     "phase": "string", "error_type": "string", "exception_type": "string", "error": "string", "reason": "string",
     "repeated_error_count": "bigint", "rebuttal_count": "bigint", "limit_seconds": "double", "category": "string",
     "author_provider": "string", "author_model": "string", "validator_provider": "string",
-    "validator_model": "string", "guidance": "string", "provider": "string",
+    "validator_model": "string", "guidance": "string", "provider": "string", "summary": "string",
+    "resolved_finding_count": "bigint", "resolved_findings": "array<string>", "responding_to_cycle": "bigint",
+    "max_agent_rounds": "bigint", "usage": "struct<input_tokens:bigint,output_tokens:bigint,"
+    "cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>",
     "findings": "array<struct<severity:string,category:string,message:string,evidence:string>>",
 }
 # Folders beside the runs that hold tool output.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.operators import gold, history
 from outlay.operators.ordered import keep_largest_copies, neighbours
-from outlay.plans import search, search_index, snapshot
+from outlay.plans import progress, runs, search, search_index, snapshot
 from outlay.plans.analyze import Context, analyze
 from outlay.plans.spec import AnalysisSpec
 from outlay.sources import tables
@@ -70,6 +70,19 @@ def test_snapshot_reads_the_facts_once(spark, stored):
     assert plan(snapshot.group_lines(done)).count("FileScan") == 1
 
 
+def test_run_reports_read_events_and_findings_once(spark, tmp_path):
+    kind = ("run_id string, block long, line long, event string, timestamp double, role string, name string, elapsed_seconds double, prompt_eval_count long, "
+            "eval_count long, done_reason string, cost_usd double, error_count long, error_count_delta long")
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "events"))
+    assert plan(runs.run_summary(spark.read.parquet(str(tmp_path / "events")))).count("FileScan") == 1
+    spark.createDataFrame([], "run_id int, cycle int, position int, severity string, category string, message string").write.parquet(str(tmp_path / "findings"))
+    spark.createDataFrame([], "run_id int, cycle int, decision string").write.parquet(str(tmp_path / "reviews"))
+    text = plan(progress.cycle_progress(spark.read.parquet(str(tmp_path / "findings")), spark.read.parquet(str(tmp_path / "reviews"))))
+    assert text.count("FileScan") == 2 and "Join" not in text
+    spark.createDataFrame([], "run_id string, cost_usd double").write.parquet(str(tmp_path / "spend"))
+    assert plan(runs.ledger_entries(spark.read.parquet(str(tmp_path / "spend")))).count("FileScan") == 1
+
+
 FACT = "id long, fact_key string, fact_text string, weight double, updated_at string"
 
 

@@ -87,6 +87,29 @@ def test_run_summary(spark, runs_folder):
     assert row.tools == {"list": 1}
 
 
+def test_call_and_review_details(spark, tmp_path):
+    events = [
+        {"event": "model_call", "timestamp": 1.0, "role": "author", "prompt_chars": 50},
+        {"event": "model_response", "timestamp": 2.0, "role": "author", "parse_status": "ok", "response_chars": 900, "done_reason": "stop", "usage": {"cache_read_input_tokens": 0}},
+        {"event": "model_response", "timestamp": 3.0, "role": "validator", "parse_status": "repaired", "response_chars": 30, "done_reason": "stop", "usage": {"cache_read_input_tokens": 64}},
+        {"event": "model_call_failed", "timestamp": 4.0, "role": "author", "parse_status": "bad"},
+        {"event": "validation_cycle_result", "timestamp": 5.0, "cycle": 1, "decision": "fail", "stage": "validator", "summary": "Fails", "error_count": 1, "warning_count": 1,
+         "findings": [{"severity": "error", "category": "html", "message": "m", "evidence": "e"}, {"severity": "warning", "message": "w"}, {"message": "no severity"}]},
+        {"event": "validation_progress", "timestamp": 6.0, "error_count": 2, "resolved_findings": ["a", "b"]},
+        {"event": "validation_progress", "timestamp": 7.0, "error_count": 1, "resolved_findings": ["a"]},
+        {"event": "validation_cycle_result", "timestamp": 8.0, "cycle": 2, "decision": "pass"},
+    ]
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "trace.jsonl").write_text("".join(json.dumps(e) + "\n" for e in events))
+    rows = trace(spark, tmp_path)
+    calls = {(r.role, r.done_reason): (r.response_chars, r.parse_status, r.cache_read_tokens) for r in runs.paired_calls(rows).collect()}
+    assert calls == {("author", "stop"): (900, None, None), ("validator", "stop"): (30, "repaired", 64), ("author", "failed"): (None, None, None)}
+    one, two = runs.review_details(rows).orderBy("cycle").collect()
+    assert (one.decision, one.stage, one.summary, one.warning_count) == ("fail", "validator", "Fails", 1) and two.errors == []
+    assert [tuple(e) for e in one.errors] == [("html", "m", "e"), (None, "no severity", None)]
+    assert runs.run_summary(rows).first().resolved_findings_at_end == 1
+
+
 def test_index_and_documents(spark, runs_folder):
     events, root = trace(spark, runs_folder), str(runs_folder)
     metrics = jsonl.read_documents(spark, root, "metrics.json", runs.METRIC_FIELDS)
@@ -252,7 +275,7 @@ FACTS = [
 def test_stored_index_grows_by_batches(spark, tmp_path):
     """Versions are replaced, a batch without a commit is not seen, and scores equal those of the texts at every step."""
     kind, path = "id long, fact_key string, fact_text string, weight double, updated_at string", str(tmp_path / "index")
-    search_index.create(spark, path)
+    search_index.create(spark, path, 8)
     now = {}
     batches = [FACTS[:3], [(2, "rent", "Japan"), *FACTS[3:]], [(3, "trip", ""), (9, "japan", "japan japan")], []]
     for k, batch in enumerate(batches):
