@@ -18,9 +18,9 @@ A line is removed if some earlier line matches it, whether that one is removed o
 Words are verified by 64-bit hashes; set names have 128 bits. Bit tables of fixed size (512 KB) keep rows that cannot matter out of
 shuffles; when they fill up they let more rows through, never fewer.
 
-Null texts stay null, blank lines stay, texts that lose all lines become empty and stay as rows. Rows with a null id
-count as one least id; rows that share an id are taken as one document, so repeated rows lose the same lines. Empty
-tables give empty results; other columns are passed on untouched, whatever their names.
+Null texts stay null, blank lines stay, texts that lose all lines become empty and stay as rows. A null id is
+the least. Where ids are missing or shared, a row is named by its id and a 128-bit hash of its text, so lines go from the very
+text that holds them; rows equal in both lose the same lines. Empty tables give empty results; other columns are passed on untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,9 +90,21 @@ class Sieve:
 # ----- lines and sets -----
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
+def with_names(docs: DataFrame, text: str) -> DataFrame:
+    """(row, doc, t): every row with its name, which orders rows by id, and its text.
+
+    The name is the id itself where no two rows share one and none is null, which one grouping of the ids tells.
+    """
+    own = F.col("doc_id").cast("long")
+    shared = docs.groupBy(own.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count()
+    t = F.col(f"`{text}`")
+    name = F.struct(F.coalesce(own, F.lit(_LEAST)).alias("i"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2")) if shared else own
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("doc"), t.alias("t"))
+
+
+def _lines(named: DataFrame) -> DataFrame:
     """(doc, line, t) of every line with a word, lower-cased."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "t"))
+    rows = named.select("doc", F.posexplode(F.split("t", "\n")).alias("line", "t"))
     return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).withColumn("t", F.lower("t"))
 
 
@@ -112,14 +124,14 @@ def _keys(t: Column, classes: WordClasses) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(t), ""), key)))
 
 
-def keyed_lines(docs: DataFrame, classes: WordClasses, text: str) -> DataFrame:
+def keyed_lines(named: DataFrame, classes: WordClasses) -> DataFrame:
     """(doc, line, s1, s2, n, parity, half, lone, prefix) of every line: its place, and its set's 128-bit name, size,
     sketch and prefix. Words that occur once in all lines lead the prefix; they are counted (``lone``) and not kept.
 
     A sketch has 128 bits, each the parity of the words that fall on it: sets that differ in d words differ in d bits at
     most. ``parity`` folds it to 64 bits, enough for sets of fewer than ``LONG`` words; longer ones keep a half too.
     """
-    rows = _lines(docs, text).select("doc", "line", _keys(F.col("t"), classes).alias("keys"))
+    rows = _lines(named).select("doc", "line", _keys(F.col("t"), classes).alias("keys"))
     n = F.size("keys")
     front = F.when(n >= TOP, F.slice("keys", 1, n - F.ceil(n * TOP / BOTTOM).cast("int") + 1))
     shared = F.filter(front, lambda k: k >= 1 << 57)
@@ -141,7 +153,8 @@ def _postings(found: DataFrame) -> DataFrame:
     rows = found.select("doc", "line", *SIZES, "lone", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("doc", "line", *SIZES, (F.col("lone") + F.col("pos")).alias("pos"), "token")
     # None is null; saying so spares the planner filters that would tell apart the uses of one exchange.
-    return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
+    whole = [f.name for f in rows.schema if f.dataType.typeName() != "struct"]
+    return rows.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in whole else F.col(c) for c in rows.columns])
 
 
 def _possible(x: str, y: str) -> Column:
@@ -186,12 +199,12 @@ def _partners(found: DataFrame, suspects: DataFrame) -> DataFrame:
 # ----- verification -----
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+def _verified(named: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the pairs (doc, line, ydoc, yline) whose lines match word by word."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))
     sieve = Sieve(ends, "doc", "line")
-    words = _lines(docs, text).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
-    # Rows that share an id give a place twice: one of them speaks for it.
+    words = _lines(named).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
+    # Rows that are equal in id and text give a place twice.
     words = words.groupBy("doc", "line").agg(F.min("h").alias("h"))
     y = words.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("h").alias("hy"))
     both = pairs.join(y, ["ydoc", "yline"]).select("doc", "line", "hy").join(words, ["doc", "line"])
@@ -199,11 +212,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     return both.where(common * (TOP + BOTTOM) >= (F.size("h") + F.size("hy")) * TOP).select("doc", "line").distinct()
 
 
-def _matched(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+def _matched(named: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, line) of the first lines of sets that match an earlier set."""
     suspects = stored(_suspects(found), "suspects")
     partners = stored(_partners(found, suspects), "partners")
-    done = stored(_verified(docs, partners, text), "matched")
+    done = stored(_verified(named, partners), "matched")
     left = stored(suspects.join(done, ["doc", "line"], "left_anti"), "left")
     if left.isEmpty():
         return done
@@ -213,19 +226,19 @@ def _matched(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     others = _postings(found).where(sieve.may_hold(F.col("token")))
     pairs = mine.alias("x").join(others.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y"))
     pairs = pairs.select("x.doc", "x.line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct()
-    return done.unionByName(_verified(docs, stored(pairs, "pairs"), text))
+    return done.unionByName(_verified(named, stored(pairs, "pairs")))
 
 
 # ----- removal -----
 
 
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, line) of every line to remove; ``doc`` is the id, or the least long for a null id."""
-    words = _lines(docs, text).select(F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+def removals(named: DataFrame) -> DataFrame:
+    """(doc, line) of every line to remove from rows ``with_names``."""
+    words = _lines(named).select(F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
     classes = WordClasses(words.select(F.xxhash64("w").alias("h")))
-    lines = stored(keyed_lines(docs, classes, text), "lines")
+    lines = stored(keyed_lines(named, classes), "lines")
     found = stored(sets(lines), "sets")
-    matched = _matched(docs, found, text)
+    matched = _matched(named, found)
     gone = found.select("doc", "line", "s1", "s2").join(matched.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
     gone = gone.select("s1", "s2", F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines.select("doc", "line", "s1", "s2").join(gone, ["s1", "s2"]).where("gone OR doc <> fdoc OR line <> fline").select("doc", "line").distinct()
@@ -233,11 +246,10 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its own columns, the text without removed lines."""
-    names = docs.columns
-    lost = stored(removals(docs, text).groupBy("doc").agg(F.collect_set("line").alias("lost")), "lost")
+    named = with_names(docs, text)
+    lost = stored(removals(named).groupBy("doc").agg(F.collect_set("line").alias("lost")), "lost")
     sieve = Sieve(lost, "doc")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), own.alias("doc"))
+    rows = named.select("row", "doc")
     touched = sieve.may_hold(F.col("doc"))
     kept = rows.where(touched).join(lost, "doc", "left")
     cut = F.array_join(F.filter(F.split(F.col(f"row.`{text}`"), "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")

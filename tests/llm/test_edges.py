@@ -99,6 +99,21 @@ def test_line_dedup(docs, none):
     assert line_dedup.without_repeats(none).count() == 0
 
 
+def test_line_dedup_with_null_and_shared_ids(spark):
+    """Lines go from the text that holds them: other texts without an id, or with the same id, keep theirs."""
+    texts = [
+        (None, "first line of one\nthe same words again"), (None, "first line of two\nsecond line here x"), (None, "other start here\nqq pp oo nn"),
+        (1, "the same words again\nkept for good here"), (2, "alpha beta gamma delta\nthe same words again"), (2, "unlike words in here\nzz yy xx ww"),
+        (2, "unlike words in here\nzz yy xx ww"), (3, "alpha beta gamma delta\nvv uu tt ss"), (3, None),
+    ]
+    got = sorted((r.doc_id or 0, r.text or "") for r in line_dedup.without_repeats(rows(spark, texts)).collect())
+    assert got == sorted([
+        (0, "first line of one\nthe same words again"), (0, "first line of two\nsecond line here x"), (0, "other start here\nqq pp oo nn"),
+        (1, "kept for good here"), (2, "alpha beta gamma delta"), (2, "unlike words in here\nzz yy xx ww"), (2, "unlike words in here\nzz yy xx ww"),
+        (3, "vv uu tt ss"), (3, ""),
+    ])
+
+
 def test_toxicity(spark, docs, none, labels):
     model = toxicity.learned(docs, labels, held=None)
     out = toxicity.scored(docs, model)
