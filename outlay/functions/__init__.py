@@ -14,3 +14,8 @@ def col(value: Column | str) -> Column:
 def lit_or_col(value) -> Column:
     """A Column from a Column or any literal (dates and strings included)."""
     return value if isinstance(value, Column) else F.lit(value)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)

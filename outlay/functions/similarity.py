@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from outlay.functions import col
+from outlay.functions import bound, col
 
 
 def _doubles(vector: Column) -> Column:
@@ -38,11 +38,6 @@ def cosine(left: Column | str, right: Column | str) -> Column:
 # ----- short texts -----
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def letters(text: Column) -> Column:
     """The characters of a text, in order."""
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -51,13 +46,13 @@ def letters(text: Column) -> Column:
 def marks(text: Column) -> Column:
     """Each character of a text with the number of its occurrence: two texts share as many marks as letters."""
     count = lambda chars, c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")
-    return _bound(letters(text), lambda chars: F.transform(chars, lambda c, i: F.concat(c, count(chars, c, i))))
+    return bound(letters(text), lambda chars: F.transform(chars, lambda c, i: F.concat(c, count(chars, c, i))))
 
 
 def letter_pairs(text: Column) -> Column:
     """The distinct pairs of neighbouring characters of a text."""
     pairs = lambda chars: F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1)))
-    return F.array_distinct(F.filter(_bound(letters(text), pairs), lambda p: p.isNotNull()))
+    return F.array_distinct(F.filter(bound(letters(text), pairs), lambda p: p.isNotNull()))
 
 
 def common_letters(left: Column, right: Column) -> Column:
@@ -74,7 +69,7 @@ def _blocks(left: Column, right: Column) -> Column:
     stretch of every open part, cut to it, and opens the parts around it; it ends when no part has a stretch left.
     """
     texts = F.struct(letters(left).alias("a"), letters(right).alias("b"))
-    return _bound(texts, lambda t: _matched(t["a"], t["b"]))
+    return bound(texts, lambda t: _matched(t["a"], t["b"]))
 
 
 def _matched(a: Column, b: Column) -> Column:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outlay.session import scratch_dir
+
 COPY_BLOCK = 100_000
 
 
@@ -101,25 +103,27 @@ def keep_largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFram
     Number the repeats of a key inside each file; for every (key, repeat number) keep the row of the last file by
     name. So a key survives as often as it occurs in the file that has it most often.
 
-    Only counts travel first. A file's rows of a key are all kept unless a later file has the key too, so the rows
-    themselves meet a table that holds just the overlapping keys: small overlaps are broadcast by the adaptive
-    planner after it has measured them, large ones become a sort-merge join whose hot keys it splits. Row numbers
-    are needed only where a file keeps some of its copies, and there identical rows are counted, not listed.
+    The files are read once: identical rows of a file become one row with a count, map-side before the first shuffle,
+    and that table is written to the shared folder. All that follows reads it. A file's rows of a key are all kept
+    unless a later file has the key too, so rows meet a table that holds just the overlapping keys: small overlaps
+    are broadcast by the adaptive planner after it has measured them, large ones become a sort-merge join whose hot
+    keys it splits. Only rows of which a file keeps some copies are numbered, and only rows with copies are expanded.
     """
-    counts = rows.groupBy(file, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    spark, path, columns = rows.sparkSession, scratch_dir(rows.sparkSession, "copies"), rows.columns
+    collapsed = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    collapsed.write.parquet(path)
+    collapsed = spark.read.schema(collapsed.schema).parquet(path)
+    counts = collapsed.groupBy(file, *keys).agg(F.sum("_times").alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.desc(file)).rowsBetween(Window.unboundedPreceding, -1)
     covered = counts.withColumn("_covered", F.max("_n").over(later)).where("_covered > 0")
     names = [file, *keys]
     covered = covered.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], "_n", "_covered")
-    joined = rows.join(covered, null_safe(rows, covered, [(c, f"_c{i}") for i, c in enumerate(names)]), "left")
-    untouched = joined.where(F.col("_covered").isNull()).select(*rows.columns)
-
-    some = joined.where(F.col("_covered") < F.col("_n"))
-    others = [c for c in rows.columns if c not in names]
-    distinct = some.groupBy(*names, *others, "_covered").agg(F.count(F.lit(1)).alias("_times"))
-    numbered = running_total(distinct, names, others, F.col("_times"), "_before") if others else distinct.withColumn(
-        "_before", F.lit(0)
-    )
-    kept = numbered.withColumn("_times", F.least(F.col("_times"), F.col("_before") + F.col("_times") - F.col("_covered")))
-    partial = repeat_rows(kept.select(*rows.columns, "_times"), "_times")
-    return untouched.unionByName(partial)
+    joined = collapsed.join(covered, null_safe(collapsed, covered, [(c, f"_c{i}") for i, c in enumerate(names)]), "left")
+    untouched = joined.where(F.col("_covered").isNull())
+
+    some = joined.where(F.col("_covered") < F.col("_n")).select(*columns, "_covered", "_times")
+    others = [c for c in columns if c not in names]
+    placed = running_total(some, names, others, F.col("_times"), "_before") if others else some.withColumn("_before", F.lit(0))
+    kept = placed.withColumn("_times", F.least(F.col("_times"), F.col("_before") + F.col("_times") - F.col("_covered"))).where("_times > 0")
+    left = untouched.select(*columns, "_times").unionByName(kept.select(*columns, "_times"))
+    return left.where("_times = 1").drop("_times").unionByName(repeat_rows(left.where("_times > 1"), "_times"))

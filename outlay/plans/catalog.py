@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions.categories import is_analyzed
-from outlay.functions.merchants import clean_label_text
+from outlay.functions.merchants import clean_label
 from outlay.plans.spec import CATEGORICAL
 
 TOP_MERCHANTS = 30
@@ -70,9 +70,8 @@ def list_values(frame: DataFrame, field: str, search: str | None = None, limit:
     if field not in CATEGORICAL:
         raise ValueError(f"unknown field {field!r}; valid: {', '.join(CATEGORICAL)}")
     rows = frame.where(is_analyzed()).groupBy(F.col(field).alias("value")).agg(F.sum(-F.col("amount")).alias("spend"))
-    text = clean_label_text(search or "")
-    if text:
-        rows = rows.where(F.lower("value").contains(text.lower()))
+    if search:
+        rows = rows.where(F.lower("value").contains(F.lower(clean_label(F.lit(search)))))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     order = [F.desc("spend"), F.col("value")] if field == "merchant" else [F.col("value")]
     return rows.orderBy(*order).limit(limit).select("value", total.alias("total_matches"))

@@ -194,16 +194,15 @@ def points(s):
 @query(
     "w18_month_ranges",
     with_("fact")
-    + """, m AS (SELECT DISTINCT CAST(date_trunc('month', transaction_date) AS DATE) AS month FROM fact
-    WHERE month(transaction_date) NOT IN (4, 9)),
-  g AS (SELECT month, year(month) * 12 + month(month) - row_number() OVER (ORDER BY month) AS island FROM m)
+    + """, m AS (SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS month, sum(amount) AS total FROM fact GROUP BY 1),
+  k AS (SELECT month FROM m WHERE total > 0),
+  g AS (SELECT month, year(month) * 12 + month(month) - row_number() OVER (ORDER BY month) AS island FROM k)
   SELECT min(month) AS start, max(month) AS "end", count(*) AS months FROM g GROUP BY island""",
 )
 def month_ranges(s):
-    months = s.facts.where(~F.month("transaction_date").isin(4, 9)).select(
-        F.trunc("transaction_date", "month").alias("month")
-    )
-    return periods.month_ranges(months)
+    """Ranges of months in which more came back than was spent, over all facts: other months are the gaps."""
+    months = s.facts.groupBy(F.trunc("transaction_date", "month").alias("month")).agg(F.sum("amount").alias("total"))
+    return periods.month_ranges(months.where("total > 0").select("month"))
 
 
 # ----- tables -----
@@ -258,18 +257,26 @@ def month_by_category(s):
     + f""", days AS (SELECT unnest(['Mon','Tue','Wed','Thu','Fri','Sat','Sun']) AS weekday, unnest(range(1, 8)) AS d),
   q AS (SELECT unnest(['2001-Q2', '2001-Q3', '2001-Q4']) AS quarter),
   t AS (SELECT isodow(transaction_date) AS d, year(transaction_date) || '-Q' || quarter(transaction_date) AS quarter,
-    count(*) AS n FROM spend WHERE {_HALF} AND category = 'Travel' AND issuer = 'Amex' AND spend > 60000 GROUP BY ALL)
+    count(*) AS n FROM spend WHERE {_HALF} GROUP BY ALL)
   SELECT weekday, q.quarter, CAST(COALESCE(n, 0) AS BIGINT) AS transaction_count FROM days CROSS JOIN q
   LEFT JOIN t ON t.d = days.d AND t.quarter = q.quarter""",
 )
 def weekday_grid(s):
-    spec = {"category": ["Travel"], "issuer": ["Amex"], "min_amount": 60000.01}
-    rows = s.frame.where("spend > 0")
-    return analyze(
-        rows,
-        AnalysisSpec(metric="transaction_count", group_by=("weekday", "quarter"), period="last_6_months", filters=spec),
-        CTX,
-    ).table
+    return _run(s, metric="transaction_count", group_by=("weekday", "quarter"), period="last_6_months").table
+
+
+@query(
+    "j4_c6_weekday_by_group_grid",
+    with_("spend")
+    + f""", days AS (SELECT unnest(['Mon','Tue','Wed','Thu','Fri','Sat','Sun']) AS weekday, unnest(range(1, 8)) AS d),
+  f AS (SELECT * FROM spend WHERE {_HALF} AND spend > 90000), c AS (SELECT DISTINCT parent_group FROM f),
+  t AS (SELECT isodow(transaction_date) AS d, parent_group, count(*) AS n FROM f GROUP BY ALL)
+  SELECT weekday, c.parent_group, CAST(COALESCE(n, 0) AS BIGINT) AS transaction_count FROM days CROSS JOIN c
+  LEFT JOIN t ON t.d = days.d AND t.parent_group = c.parent_group""",
+)
+def weekday_group_grid(s):
+    """Large amounts alone, so that the grid has cells without a transaction."""
+    return _run(s, metric="transaction_count", group_by=("weekday", "parent_group"), period="last_6_months", filters={"min_amount": 90000.01}).table
 
 
 @query(

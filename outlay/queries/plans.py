@@ -276,7 +276,7 @@ _COUNTS = ", v AS (" + " UNION ALL ".join(
 
 @query("a15_value_counts", with_("spend") + _COUNTS + " SELECT dimension, value, n, CAST(gross AS DOUBLE) AS gross FROM v")
 def value_counts(s):
-    return profile.value_counts(s.frame)
+    return profile.value_counts(s.named_frame)
 
 
 _STATS = """, s AS (SELECT dimension, count(*) AS "distinct", median(n) AS median_per_value, min(n) AS min_per_value,
@@ -294,7 +294,7 @@ _STATS = """, s AS (SELECT dimension, count(*) AS "distinct", median(n) AS media
   CAST(top_gross AS DOUBLE) / CAST(all_gross AS DOUBLE) AS top10_spend_share FROM s JOIN a USING (dimension) JOIN g USING (dimension)""",
 )
 def statistics(s):
-    return profile.profile(s.frame, TODAY).drop("status", "reason", "top_values")
+    return profile.profile(s.named_frame, TODAY).drop("status", "reason", "top_values")
 
 
 @query(
@@ -313,7 +313,7 @@ def statistics(s):
     ELSE 'usable' END AS status FROM j""",
 )
 def status(s):
-    return profile.profile(s.frame, TODAY).select("dimension", "status")
+    return profile.profile(s.named_frame, TODAY).select("dimension", "status")
 
 
 @query(

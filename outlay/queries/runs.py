@@ -429,14 +429,38 @@ def run_documents(s):
     "SELECT o_orderpriority || '.json' AS file, CAST(max(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 3",
 )
 def newest_documents(s):
-    folder = scratch_dir(s.spark, "replays")
+    """The newest of five documents, one a priority, by a field of theirs."""
+    folder = scratch_dir(s.spark, "side")
     best = s.table("orders").groupBy("o_orderpriority").agg(F.max("o_totalprice").alias("value"))
-    doc = F.to_json(F.struct("o_orderpriority", "value"))
-    best.select("o_orderpriority", doc.alias("text")).repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(folder)
-    rows = jsonl.read_lines(s.spark, folder)
-    file = F.concat(F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1)), F.lit(".json"))
-    fields = F.from_json("value", "o_orderpriority string, value double")
-    return rows.select(file.alias("file"), fields["value"].alias("value")).orderBy(F.desc("file")).limit(3)
+    best.repartition("o_orderpriority").write.option("maxRecordsPerFile", 1).json(folder)
+    rows = jsonl.list_documents(s.spark, folder, {"o_orderpriority": "string", "value": "double"}, "o_orderpriority", 3)
+    return rows.select(F.concat("o_orderpriority", F.lit(".json")).alias("file"), "value")
+
+
+def _side_documents(s) -> str:
+    """One document for each of 120 parts of the orders, their files named in the order of the parts."""
+    folder = scratch_dir(s.spark, "side")
+    part = F.col("o_orderkey") % 120
+    docs = s.table("orders").groupBy(part.alias("part")).agg(F.count("*").alias("orders"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("created_at"))
+    # One sorted task writes a file for each row; the files' numbers are part of their names.
+    docs.coalesce(1).sortWithinPartitions("part").write.option("maxRecordsPerFile", 1).json(folder)
+    return folder
+
+
+_SIDE = "WITH d AS (SELECT o_orderkey % 120 AS part, count(*) AS orders, strftime(max(o_orderdate), '%Y-%m-%d') AS created_at FROM orders GROUP BY 1)"
+_SIDE_FIELDS = {"part": "bigint", "orders": "bigint", "created_at": "string"}
+
+
+@query("s12_replays_by_name", _SIDE + " SELECT part, orders, created_at FROM d ORDER BY part DESC LIMIT 50")
+def replays(s):
+    """The fifty newest by file name; the others are not opened."""
+    return jsonl.list_documents(s.spark, _side_documents(s), _SIDE_FIELDS, limit=50).select(*_SIDE_FIELDS)
+
+
+@query("s12_comparisons_by_time", _SIDE + " SELECT part, orders, created_at FROM d ORDER BY created_at DESC, part DESC LIMIT 30")
+def comparisons(s):
+    """The newest by a field of theirs, then by file name."""
+    return jsonl.list_documents(s.spark, _side_documents(s), _SIDE_FIELDS, "created_at", 30).select(*_SIDE_FIELDS)
 
 
 # ----- review progress -----

@@ -119,15 +119,18 @@ def list_documents(
     """Side documents of one folder, newest first.
 
     With ``newest_by`` the order is that field, the file name where it is missing. Without, it is the file name, and
-    ``limit`` counts files before unreadable ones are left out.
+    ``limit`` counts files before unreadable ones are left out: names are listed first, without reading a file, and
+    only the chosen files are opened. The limit bounds what is listed to the driver.
     """
-    raw = (
-        spark.read.option("pathGlobFilter", "*.json")
-        .text(folder, wholetext=True)
-        .select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
-    )
     if newest_by is None and limit is not None:
-        raw = raw.orderBy(F.desc("file")).limit(limit)
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
+        chosen = [r.path for r in names.orderBy(F.desc(F.element_at(F.split("path", "/"), -1))).limit(limit).collect()]
+        if not chosen:
+            return spark.createDataFrame([], ", ".join(["file string", *[f"`{name}` {kind}" for name, kind in fields.items()]]))
+        raw = spark.read.text(chosen, wholetext=True)
+    else:
+        raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    raw = raw.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
     rows = raw.withColumn("_v", _object(F.col("value"))).where(F.col("_v").isNotNull())
     rows = rows.select("file", *_fields("_v", fields))
     if newest_by is None:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.operators.gold import fact_transactions
-from outlay.sources.tables import analysis_frame
+from outlay.session import scratch_dir
+from outlay.sources.tables import analysis_frame, extend_merchants, read_merchants
 
 RAW_CATEGORIES = (
     "Groceries", "Restaurant-Restaurants", "Transportation-Airlines", "Travel", "Bills & Utilities", "Personal",
@@ -184,6 +185,13 @@ class Sample:
     def frame(self) -> DataFrame:
         return analysis_frame(self.facts)
 
+    @cached_property
+    def named_frame(self) -> DataFrame:
+        """The frame with merchant names from a dictionary table, which is brought up to date first."""
+        path = scratch_dir(self.spark, "merchants")
+        extend_merchants(self.facts, path)
+        return analysis_frame(self.facts, merchants=read_merchants(self.spark, path))
+
     @cached_property
     def raw_lines(self) -> DataFrame:
         return self.bind(RAW_LINES)

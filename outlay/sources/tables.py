@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,35 @@ def read_facts(spark: SparkSession, path: str, start=None, today: date | None =
     return facts.where(F.col("transaction_date") >= cal.day(start)).select(*ANALYSIS_COLUMNS)
 
 
-def analysis_frame(facts: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Facts ready for analysis: no null text, default category and group, bad amounts 0, derived columns."""
+_MERCHANTS = "description string, merchant string"
+
+
+def read_merchants(spark: SparkSession, path: str) -> DataFrame:
+    """(description, merchant) of a dictionary that ``extend_merchants`` keeps; empty if there is none yet."""
+    try:
+        return spark.read.schema(_MERCHANTS).parquet(path).dropDuplicates(["description"])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MERCHANTS)
+
+
+def extend_merchants(facts: DataFrame, path: str, aliases: Mapping[str, str] | None = None) -> None:
+    """Add the descriptions that the dictionary lacks, each with its merchant name.
+
+    The dozen patterns behind a name run once for each new description, not for each row; a dictionary belongs to one
+    set of aliases. Descriptions added twice by concurrent writers have the same name and count once.
+    """
+    texts = facts.select(F.coalesce(F.col("description").cast("string"), F.lit("")).alias("description")).distinct()
+    fresh = texts.join(read_merchants(facts.sparkSession, path), "description", "left_anti")
+    fresh.select("description", merchant_name("description", aliases).alias("merchant")).write.mode("append").parquet(path)
+
+
+def analysis_frame(facts: DataFrame, aliases: Mapping[str, str] | None = None, merchants: DataFrame | None = None) -> DataFrame:
+    """Facts ready for analysis: no null text, default category and group, bad amounts 0, derived columns.
+
+    ``merchants`` is a dictionary (description, merchant); descriptions that it lacks are named on the spot.
+    """
 
     def text(name: str):
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -61,10 +89,14 @@ def analysis_frame(facts: DataFrame, aliases: Mapping[str, str] | None = None) -
         F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(CATEGORY_DEFAULT)).alias("category"),
         F.coalesce(F.nullif(F.col("parent_group"), F.lit("")), F.lit(GROUP_DEFAULT)).alias("parent_group"),
     )
-    d = F.col("transaction_date")
+    d, name = F.col("transaction_date"), merchant_name("description", aliases)
+    columns = base.columns
+    if merchants is not None:
+        base = base.join(merchants.select("description", F.col("merchant").alias("_known")), "description", "left")
+        name = F.coalesce("_known", name)
     return base.select(
-        "*",
-        merchant_name("description", aliases).alias("merchant"),
+        *columns,
+        name.alias("merchant"),
         cal.month_start(d).alias("month"),
         F.weekday(d).alias("weekday"),
         (-F.col("amount")).alias("spend"),

@@ -1,5 +1,7 @@
 """Order-dependent helpers, deduplication and number claims against plain loops."""
 
+import json
+import time
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,6 +16,7 @@ from outlay.functions.chunks import passage_rows, passages
 from outlay.functions.html import history_text, html_text
 from outlay.operators import claims, history, silver
 from outlay.operators.ordered import keep_largest_copies, neighbours, numbered, repeat_rows, running_total
+from outlay.plans.spec import request_text
 
 
 def test_running_total_in_a_hot_group(spark):
@@ -156,7 +159,8 @@ def test_merchants(spark):
     raw = ["WHOLEFDS MKT #10234", "TRADER JOE S #552   800-555-0199   CA", "EVIL CORP", "SAFEWAY #12"]
     assert column(spark, raw, lambda c: merchants.merchant_name(c, aliases)) == ["Whole Foods", "Trader Joe's", "b Evil /b", "Safeway"]
     assert column(spark, ["Groceries <img src=x>", "x" * 500], merchants.clean_label) == ["Groceries img src=x", "x" * 60]
-    assert merchants.clean_label_text("Groceries <img src=x>") == "Groceries img src=x"
+    given = ["Groceries <img src=x>", "a  b", "see(http://x.y/z) now", "WWW.x.org", "end www.", " \t", "y" * 99, None]
+    assert [request_text(x) for x in given] == column(spark, given, merchants.clean_label)
 
 
 def test_money_and_prices(spark):
@@ -262,6 +266,34 @@ def test_json_in_text(spark):
     assert column(spark, texts, payloads.json_object) == ['{"x": {"y": 1}}', '{"a": "}{\\" {"}', "{}", None, None, None, None, '{"k": [1, {"z": null}]}']
 
 
+def object_by_decoder(text):
+    """The first part of a text that the library's decoder reads as an object."""
+    cleaned = re.sub(r"```(?:json)?", "", text, flags=re.I)
+    for m in re.finditer(r"\{", cleaned):
+        try:
+            return cleaned[m.start() : json.JSONDecoder().raw_decode(cleaned, m.start())[1]]
+        except json.JSONDecodeError:
+            continue
+    return None
+
+
+def test_first_object_equals_the_decoder(spark):
+    rng = random.Random(2)
+    parts = ["{", "}", '"', "\\", "a", ":", ",", "[", "]", "1", " ", '{"a":1}', '"b"', '{"a":', '\\"', "'", "```json\n", "\n", "{}", '{"a":1,"a":2}', "null"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3_000)]
+    assert column(spark, texts, payloads.json_object) == [object_by_decoder(t) for t in texts]
+    begin = time.monotonic()
+    deep = ["{" * 100_000, "{" * 50_000 + "}" * 50_000, '{"' * 50_000, "x" * 100_000 + "{" * 100_000 + '{"a":1,"a":2}']
+    assert column(spark, deep, payloads.json_object) == [None, "{}", None, '{"a":1,"a":2}']
+    assert time.monotonic() - begin < 20
+
+
+def test_repeated_names_keep_the_last_value(spark):
+    texts = ['so: [{"fact_key": "a", "fact_text": "b", "fact_text": "c"}, {"key": "k", "text": "t", "weight": 2}]', '{"key": "no", "text": "list", "text": "x"}', "['a']"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert sorted(tuple(r) for r in payloads.facts_in_text(df, "t").collect()) == [(0, "a", "c", 1.0), (0, "k", "t", 2.0)]
+
+
 def chunks_by_loop(words, size, overlap):
     out, start = [], 0
     while start < len(words):
