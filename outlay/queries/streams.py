@@ -9,7 +9,7 @@ from outlay.queries.base import query, with_
 from outlay.session import scratch_dir
 from outlay.sources import cards
 from outlay.streaming.landing import land_new_exports
-from outlay.streaming.live import current_state, follow_runs, run_state
+from outlay.streaming.live import compact, current_state, follow_runs, run_state
 
 
 def _state_events(s):
@@ -43,6 +43,18 @@ def stream(s):
     return current_state(s.spark, target).select(*_SHOWN)
 
 
+@query("t2_compacted_state", _STATE)
+def compacted(s):
+    """Half of the events, a compacted version, then the rest: the state is read from the version and the batches after it."""
+    source, target, checkpoint = (scratch_dir(s.spark, n) for n in ("events", "state", "checkpoint"))
+    for half in (0, 1):
+        _state_events(s).where(F.col("seq") % 2 == half).repartition(2, "seq").write.mode("append").json(source)
+        follow_runs(s.spark, source, target, checkpoint, files_per_batch=1).awaitTermination()
+        if half == 0:
+            compact(s.spark, target)
+    return current_state(s.spark, target).select(*_SHOWN)
+
+
 @query("t3_run_state_batch", _STATE)
 def batch(s):
     return run_state(_state_events(s)).select(*_SHOWN)

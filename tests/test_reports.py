@@ -14,7 +14,7 @@ from outlay.operators import history
 from outlay.plans import budget, progress, runs, search, search_index
 from outlay.sources import cards, jsonl
 from outlay.streaming.landing import land_new_exports
-from outlay.streaming.live import EVENT_SCHEMA, current_state, follow_runs, run_state
+from outlay.streaming.live import EVENT_SCHEMA, compact, current_state, follow_runs, run_state
 
 EVENTS = [
     {"event": "run_started", "timestamp": 100.0, "author_provider": "alpha", "author_model": "m", "validator_provider": "beta", "validator_model": "v"},
@@ -347,6 +347,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(current_state(spark, target).collect()) == sorted(run_state(events).collect())
 
 
+def test_live_state_is_compacted(spark, tmp_path):
+    """Readers open one version and the batches after it; events that come late and twice-run batches change nothing."""
+    source, target, check = (str(tmp_path / n) for n in ("events", "state", "check"))
+    kinds = ["agent_round", "tool_call", "validation_cycle_result", "model_response", "run_completed", "validation_stalled"]
+    rows = [(f"r{i % 7}", i, kinds[i * 5 % 6], "author", i % 3, i % 4, i % 9, i % 2, None, None, i / 8) for i in range(400)]
+    random.Random(3).shuffle(rows)
+    for step in range(4):
+        seen = spark.createDataFrame(rows[: 100 * (step + 1)], EVENT_SCHEMA)
+        spark.createDataFrame(rows[100 * step : 100 * (step + 1)], EVENT_SCHEMA).coalesce(1).write.mode("append").json(source)
+        query = follow_runs(spark, source, target, check)
+        query.awaitTermination()
+        assert all(not p["stateOperators"] for p in query.recentProgress)
+        want = sorted(run_state(seen).collect())
+        assert sorted(current_state(spark, target).collect()) == want
+        if step in (1, 3):
+            assert compact(spark, target) == step and compact(spark, target) == step
+            # What lies in batches of the version is not read again.
+            old = spark.read.parquet(f"{target}/batches/batch=0")
+            old.write.mode("append").parquet(f"{target}/batches/batch=0")
+            assert sorted(current_state(spark, target).collect()) == want
+            filters = [t.split("PushedFilters")[0] for t in current_state(spark, target)._jdf.queryExecution().toString().split("PartitionFilters")[1:]]
+            assert len(filters) == 2 and any(f"> {step}" in f for f in filters) and any(f"= {step}" in f for f in filters)
+    assert current_state(spark, target).count() == 7
+
+
 def test_landing_once_and_archive(spark, tmp_path):
     source, target, check, archive = (tmp_path / n for n in ("in", "out", "check", "archive"))
     source.mkdir()
