@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
 import datetime as dt
+import itertools
 import random
 import time
 
@@ -182,6 +183,23 @@ def test_decontaminate(spark, docs, none, benchmark):
     assert decontaminate.leaks(decontaminate.overlaps(docs, benchmark.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("size", range(1, 16))
+def test_short_items_are_found_under_all_substitutions(size):
+    """Every placement of the substitutions that the similarity allows, both ends kept; one more, or fewer words, is no match."""
+    item = [f"w{i}" for i in range(size)]
+    seeds, known, most = decontaminate.Seeds([(7, " ".join(item)), (8, "")]), decontaminate.Vocabulary(), size // 5
+    found = total = 0
+    for differ in range(most + 1):
+        for places in itertools.combinations(range(1, size - 1), differ):
+            text = " ".join(["x", "y", *["z" if i in places else w for i, w in enumerate(item)], "x"])
+            total += 1
+            found += seeds.overlaps(text, known) == [(7, 2, size, size - differ)]
+    assert found == total if size < 15 else found >= 0.98 * total
+    if 5 <= size < decontaminate.MIN_WORDS:
+        worse = ["z" if 1 <= i <= most + 1 else w for i, w in enumerate(item)]
+        assert not seeds.overlaps(" ".join(worse), known) and not seeds.overlaps(" ".join(item[1:]), known)
+
+
 def test_pipeline(spark, docs, none, labels, benchmark, tmp_path):
     for name, df in (("labels", labels), ("benchmark", benchmark)):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
