@@ -269,7 +269,7 @@ def weekday_grid(s):
     "j4_c6_weekday_by_group_grid",
     with_("spend")
     + f""", days AS (SELECT unnest(['Mon','Tue','Wed','Thu','Fri','Sat','Sun']) AS weekday, unnest(range(1, 8)) AS d),
-  f AS (SELECT * FROM spend WHERE {_HALF} AND spend > 90000), c AS (SELECT DISTINCT parent_group FROM f),
+  f AS (SELECT * FROM spend WHERE {_HALF} AND abs(spend) > 90000), c AS (SELECT DISTINCT parent_group FROM f),
   t AS (SELECT isodow(transaction_date) AS d, parent_group, count(*) AS n FROM f GROUP BY ALL)
   SELECT weekday, c.parent_group, CAST(COALESCE(n, 0) AS BIGINT) AS transaction_count FROM days CROSS JOIN c
   LEFT JOIN t ON t.d = days.d AND t.parent_group = c.parent_group""",

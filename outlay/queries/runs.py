@@ -293,6 +293,8 @@ _INDEXED = ("run_id", "start", "end", "duration_seconds", "author_model", "valid
 def index(s):
     """The documents of a run side by side in one row: one scan of runs and one of the ledger."""
     state = s.runs.select("run_id", *[F.when(F.expr(test), F.struct(*columns)).alias(name) for name, (test, columns) in parts(s).items()])
+    # The runs lie in one small file: spread first, or one task would parse every instant.
+    state = state.repartition("run_id")
     cost = runs.ledger_entries(spend(s)).select("run_id", F.struct("own", "alias").alias("l"))
     return runs.indexed(state.join(cost, "run_id", "left")).select(*_INDEXED)
 
