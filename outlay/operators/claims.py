@@ -55,6 +55,9 @@ def unmatched_claims(claims: DataFrame, known: DataFrame, key: str = "report_id"
     Numbers go into cells as wide as the tolerance window. A window is never wider than a cell, so a cell holds a
     match exactly when its smallest or largest number is one: two numbers per cell replace all pairs, whatever the
     number of values behind one key.
+
+    Claims come out of texts, so the planner cannot tell their number and takes a table of millions for a few MB: the
+    joins are sort-merge joins by name, and nothing is sent to the driver.
     """
     width = F.col("tolerance") * 2
     classes = claims.select(key, "tolerance").distinct()
@@ -62,7 +65,7 @@ def unmatched_claims(claims: DataFrame, known: DataFrame, key: str = "report_id"
         F.col("n").isNotNull() & ~F.isnan("n")
     )
     cells = (
-        values.join(classes, key)
+        values.join(classes.hint("merge"), key)
         .withColumn("cell", F.floor(F.col("n") / width))
         .groupBy(key, "tolerance", "cell")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -71,9 +74,10 @@ def unmatched_claims(claims: DataFrame, known: DataFrame, key: str = "report_id"
     spans = F.sequence(
         F.floor((F.col("value") - reach) / width).cast("long"), F.floor((F.col("value") + reach) / width).cast("long")
     )
-    tried = claims.withColumn("cell", F.explode(spans)).join(cells, [key, "tolerance", "cell"])
+    tried = claims.withColumn("cell", F.explode(spans)).join(cells.hint("merge"), [key, "tolerance", "cell"])
     near = (F.abs(F.col("low") - F.col("value")) <= reach) | (F.abs(F.col("high") - F.col("value")) <= reach)
-    return claims.join(tried.where(near).select(key, "position").distinct(), [key, "position"], "left_anti")
+    found = tried.where(near).select(key, "position").distinct()
+    return claims.join(found.hint("merge"), [key, "position"], "left_anti")
 
 
 def narrative_problems(texts: DataFrame, known: DataFrame, key: str = "report_id", text: str = "text") -> DataFrame:

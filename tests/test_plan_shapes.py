@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from outlay.operators import gold, history
+from outlay.operators import claims, gold, history
 from outlay.operators.ordered import keep_largest_copies, neighbours
 from outlay.plans import progress, runs, search, search_index, snapshot
 from outlay.plans.analyze import Context, analyze
@@ -118,3 +118,11 @@ def test_months_outside_the_dates_are_not_opened(spark, stored, tmp_path):
     done = analyze(spark.read.parquet(frame), AnalysisSpec(group_by="category", period="last_month"), context)
     assert "month" in plan(done.grouped).split("PartitionFilters")[1].split("PushedFilters")[0]
     done.release()
+
+
+def test_claims_are_not_sent_to_the_driver(spark):
+    """Files of compressed texts say nothing about the number of claims in them."""
+    texts = spark.createDataFrame([(1, "$5 and 3%")], "report_id int, text string")
+    known = spark.createDataFrame([(1, 5.0)], "report_id int, number double")
+    bad = claims.unmatched_claims(claims.written_claims(texts), known)
+    assert "Broadcast" not in plan(bad) and [r.claim for r in bad.collect()] == ["3%"]
