@@ -120,9 +120,10 @@ def test_months_outside_the_dates_are_not_opened(spark, stored, tmp_path):
     done.release()
 
 
-def test_claims_are_not_sent_to_the_driver(spark):
+def test_claims_are_not_sent_to_the_driver(spark, tmp_path):
     """Files of compressed texts say nothing about the number of claims in them."""
-    texts = spark.createDataFrame([(1, "$5 and 3%")], "report_id int, text string")
-    known = spark.createDataFrame([(1, 5.0)], "report_id int, number double")
+    spark.createDataFrame([(1, "$5 and 3%")], "report_id int, text string").write.parquet(str(tmp_path / "texts"))
+    spark.createDataFrame([(1, 5.0)], "report_id int, number double").write.parquet(str(tmp_path / "known"))
+    texts, known = (spark.read.parquet(str(tmp_path / n)) for n in ("texts", "known"))
     bad = claims.unmatched_claims(claims.written_claims(texts), known)
     assert "Broadcast" not in plan(bad) and [r.claim for r in bad.collect()] == ["3%"]
