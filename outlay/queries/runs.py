@@ -335,16 +335,17 @@ def tally(s):
 
 
 def _trace_folder(s) -> str:
-    """Trace lines of every run, with broken, empty and non-object lines between them."""
+    """Trace lines of every run in files of many runs, with broken, empty and non-object lines between them."""
     folder = scratch_dir(s.spark, "runs")
-    rows = events(s).withColumn("line", F.to_json(F.struct("event", "timestamp", "role", F.col("event_id").alias("attempt"), "cost_usd", "name")))
+    rows = events(s).withColumn("run_id", jsonl.run_name(F.col("run_id")))
+    rows = rows.withColumn("line", F.to_json(F.struct("run_id", "event", "timestamp", "role", F.col("event_id").alias("attempt"), "cost_usd", "name")))
     noise = F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).when(F.col("event_id") % 9 == 1, F.lit("[1, 2]")).when(
         F.col("event_id") % 9 == 2, F.lit("")
     )
     lines = F.array_compact(F.array(F.col("line"), noise))
     rows.select("run_id", "ts", "event_id", F.explode(lines).alias("value")).repartition("run_id").sortWithinPartitions(
         "run_id", "ts", "event_id"
-    ).select("run_id", "value").write.partitionBy("run_id").text(folder)
+    ).select("value", F.lpad(F.lit("0"), 10, "0").alias("pack")).write.partitionBy("pack").text(folder)
     return folder
 
 
@@ -384,10 +385,10 @@ def first_and_last(s):
   WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)""",
 )
 def event_order(s):
-    """Every run is written to several numbered files and read back in the order of its events."""
+    """Every run is written to several numbered files, shared with other runs, and read back in the order of its events."""
     folder = scratch_dir(s.spark, "ordered")
     rows = events(s).select("run_id", "ts", "event_id", "event", F.col("event_id").alias("attempt"))
-    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5)
+    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5, packed=True)
     read = neighbours(jsonl.sequenced(jsonl.read_trace(s.spark, folder)), ["run_id"], "block", ["line"], ["attempt"])
     return read.select(F.col("run_id").cast(s.trace.schema["run_id"].dataType).alias("run_id"), "seq", F.col("attempt").alias("event_id"), "event", F.col("prev.attempt").alias("before"))
 
@@ -403,7 +404,7 @@ def paired_over_files(s):
     """Answers with the call just before them, where a run's events lie in several files."""
     folder = scratch_dir(s.spark, "ordered")
     rows = events(s).select("run_id", "ts", "event_id", "event", "role", F.col("event_id").alias("attempt"))
-    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5)
+    jsonl.write_runs(rows, folder, ["ts", "event_id"], parts=5, packed=True)
     read = jsonl.read_trace(s.spark, folder).where(F.col("event").isin("model_call", "model_response", "model_call_failed"))
     near = neighbours(read, ["run_id", "role"], "block", ["line"], ["event", "attempt"]).where("event <> 'model_call'")
     call = F.when(F.col("prev.event") == "model_call", F.col("prev.attempt"))

@@ -38,6 +38,10 @@ NON_RUN_FOLDERS = ("comparisons", "replays")
 
 #: A numbered file lies in a folder of its own: ``<run>/file=0000000012/part-...json``.
 _FILE_FOLDER = r"/file=(\d+)/[^/]+$"
+#: A numbered file of many runs, whose lines name their run: ``<root>/pack=0000000012/part-...json``.
+_PACK_FOLDER = r"/pack=\d+/[^/]+$"
+# Fixed value: the name that a folder of a run without a name gets.
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +52,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
-    number = F.regexp_extract(file, _FILE_FOLDER, 1)
+    number = F.regexp_extract(file, r"/(?:file|pack)=(\d+)/[^/]+$", 1)
     block = F.struct(
         F.when(number == "", 0).otherwise(number.cast("long")).alias("file"),
         F.element_at(F.split(file, "/"), -1).alias("name"),
@@ -75,7 +79,9 @@ def run_folder(path: Column) -> Column:
 def read_trace(spark: SparkSession, path: str, fields: dict[str, str] = TRACE_FIELDS) -> DataFrame:
     """Trace events under a runs folder; lines that are not JSON objects are skipped."""
     rows = read_lines(spark, path).withColumn("_v", _object(F.col("value"))).where(F.col("_v").isNotNull())
-    rows = rows.withColumn("run_id", run_folder(F.col("path"))).where(~F.col("run_id").isin(*NON_RUN_FOLDERS))
+    # Lines of a packed file name their run, other lines lie in its folder.
+    said = F.when(F.col("path").rlike(_PACK_FOLDER), F.coalesce(F.try_variant_get("_v", "$.run_id", "string"), F.lit(_NO_NAME)))
+    rows = rows.withColumn("run_id", F.coalesce(said, run_folder(F.col("path")))).where(~F.col("run_id").isin(*NON_RUN_FOLDERS))
     return rows.select("run_id", "block", "line", *_fields("_v", fields))
 
 
@@ -141,9 +147,17 @@ def list_documents(
     return out.limit(limit) if limit is not None else out
 
 
-def write_runs(df: DataFrame, path: str, order: list[str] | None = None, parts: int | None = None) -> None:
+def run_name(run_id: Column) -> Column:
+    """The name a run is read back under: its id, or the name of the folder of runs without one."""
+    return F.coalesce(F.nullif(run_id.cast("string"), F.lit("")), F.lit(_NO_NAME))
+
+
+def write_runs(df: DataFrame, path: str, order: list[str] | None = None, parts: int | None = None, packed: bool = False) -> None:
     """One folder per run, JSON lines inside; a large run takes several files.
 
+    With ``packed``, files hold many runs and each line names its run, so the number of files follows the size of the data
+    and not the number of runs; ``read_trace`` reads both. It needs ``order``, and a part's rows of one run lie in one file.
+
     With ``order``, rows are sorted by run and those columns over all tasks, and every task numbers its file, so
     the files of a run follow each other in order. With ``parts``, rows are cut into so many parts by the columns alone,
     as a log is cut by time, and a run has a file in each part it takes part in.
@@ -152,6 +166,13 @@ def write_runs(df: DataFrame, path: str, order: list[str] | None = None, parts:
         df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").json(path)
         return
     rows = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange("run_id", *order)
+    if packed:
+        rows = rows.withColumn("pack", F.lpad(F.spark_partition_id().cast("string"), 10, "0")).withColumn("run_id", run_name(F.col("run_id")))
+        if parts:
+            # A part is cut among tasks by its runs.
+            rows = rows.repartition("pack", "run_id")
+        rows.sortWithinPartitions("pack", "run_id", *order).write.partitionBy("pack").json(path)
+        return
     rows = rows.sortWithinPartitions("run_id", *order)
     rows.withColumn("file", F.lpad(F.spark_partition_id().cast("string"), 10, "0")).write.partitionBy("run_id", "file").json(path)
 

@@ -247,6 +247,21 @@ def test_a_run_in_several_files_keeps_its_order(spark, tmp_path):
     assert first["r1"] == (1.0, 298.0)
 
 
+def test_packed_runs_keep_their_order_in_few_files(spark, tmp_path):
+    rows = [(None if i % 40 == 7 else f"r {i % 40}", i, "agent_round", float(i)) for i in range(1200)]
+    random.Random(2).shuffle(rows)
+    events = spark.createDataFrame(rows, "run_id string, attempt long, event string, timestamp double").repartition(7)
+    names = {k: "__HIVE_DEFAULT_PARTITION__" if k == 7 else f"r {k}" for k in range(40)}
+    want = sorted((names[k], s + 1, i) for k in range(40) for s, i in enumerate(range(k, 1200, 40)))
+    for parts in (None, 4):
+        folder = str(tmp_path / f"packs{parts}")
+        jsonl.write_runs(events, folder, ["attempt"], parts, packed=True)
+        read = jsonl.sequenced(jsonl.read_trace(spark, folder)).collect()
+        assert sorted((r.run_id, r.seq, r.attempt) for r in read) == want
+        assert not parts or {len({r.block.file for r in read if r.run_id == k}) for k in names.values()} == {parts}
+        assert len(list((tmp_path / f"packs{parts}").rglob("*.json"))) <= 4 * (parts or 1)
+
+
 def bm25_by_loop(facts, query, k1=1.5, b=0.75):
     def tokens(t):
         return [x for x in re.findall(r"[^\W_]+", t.lower()) if len(x) > 1 and x not in STOP_WORDS]
