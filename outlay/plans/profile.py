@@ -10,6 +10,7 @@ from outlay.functions.categories import is_analyzed
 from outlay.functions.money import outflow
 from outlay.operators.periods import month_coverage
 from outlay.plans.spec import CATEGORICAL
+from outlay.session import scratch_dir
 
 DIMENSIONS = CATEGORICAL + ("weekday", "day_of_month", "month", "quarter", "week")
 # Thresholds of the status rules.
@@ -18,19 +19,18 @@ MIN_COMPLETE_MONTHS, MIN_QUARTERS, MIN_WEEKS = 2, 2, 4
 TOP_VALUES = 5
 
 
-def value_counts(frame: DataFrame) -> DataFrame:
-    """(dimension, value, n, gross) of analyzed rows for all nine dimensions.
-
-    A row counts once per categorical dimension and once for its day, summed map-side, so only distinct labels are
-    shuffled; the five calendar dimensions then follow from the day totals.
-    """
+def _label_sums(frame: DataFrame) -> DataFrame:
+    """(dimension, value, n, gross) of analyzed rows for the categorical dimensions and the day."""
     d = F.col("transaction_date")
     rows = frame.where(is_analyzed())
     first = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL]
     first.append(F.struct(F.lit("day").alias("dimension"), d.cast("string").alias("value")))
-    sums = rows.select(outflow().alias("gross"), F.inline(F.array(*first))).groupBy("dimension", "value").agg(
+    return rows.select(outflow().alias("gross"), F.inline(F.array(*first))).groupBy("dimension", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("gross").alias("gross")
     )
+
+
+def _with_calendar(sums: DataFrame) -> DataFrame:
     day = F.col("value").try_cast("date")
     calendar = F.array(
         *[
@@ -46,6 +46,15 @@ def value_counts(frame: DataFrame) -> DataFrame:
     )
 
 
+def value_counts(frame: DataFrame) -> DataFrame:
+    """(dimension, value, n, gross) of analyzed rows for all nine dimensions.
+
+    A row counts once per categorical dimension and once for its day, summed map-side, so only distinct labels are
+    shuffled; the five calendar dimensions then follow from the day totals.
+    """
+    return _with_calendar(_label_sums(frame))
+
+
 def distinct_counts(frame: DataFrame, columns: list[str]) -> DataFrame:
     """One row: how many different values each column of the analyzed rows has."""
     labels = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
@@ -196,9 +205,18 @@ def type_counts(frame: DataFrame) -> DataFrame:
 
 
 def profile(frame: DataFrame, today) -> DataFrame:
-    """One row per dimension with statistics, status and reason; dimensions without any row are unusable."""
-    stats = value_stats(value_counts(frame))
-    full = with_status(stats, coverage_counts(data_bounds(frame), today))
+    """One row per dimension with statistics, status and reason; dimensions without any row are unusable.
+
+    The frame is read once: its label sums are written to the shared folder, and all statistics and the range of days follow from them.
+    """
+    spark, path = frame.sparkSession, scratch_dir(frame.sparkSession, "labels")
+    sums = _label_sums(frame)
+    sums.write.parquet(path)
+    sums = spark.read.schema(sums.schema).parquet(path)
+    day = F.col("value").try_cast("date")
+    bounds = sums.where("dimension = 'day'").agg(F.min(day).alias("data_min"), F.max(day).alias("data_max"))
+    stats = value_stats(_with_calendar(sums))
+    full = with_status(stats, coverage_counts(bounds, today))
     names = frame.sparkSession.createDataFrame([(d,) for d in DIMENSIONS], "dimension string")
     none = F.col("status").isNull()
     return names.join(full, "dimension", "left").select(

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from outlay.operators import claims, gold, history
 from outlay.operators.ordered import keep_largest_copies, neighbours
-from outlay.plans import progress, runs, search, search_index, snapshot
+from outlay.plans import catalog, profile, progress, runs, search, search_index, snapshot
 from outlay.plans.analyze import Context, analyze
 from outlay.plans.spec import AnalysisSpec
-from outlay.sources import tables
+from outlay.queries import registry
+from outlay.sources import cards as exports, tables
+from outlay.sources.sample import Sample
 from tests import cards
 
 
@@ -127,3 +129,10 @@ def test_claims_are_not_sent_to_the_driver(spark, tmp_path):
     texts, known = (spark.read.parquet(str(tmp_path / n)) for n in ("texts", "known"))
     bad = claims.unmatched_claims(claims.written_claims(texts), known)
     assert "Broadcast" not in plan(bad) and [r.claim for r in bad.collect()] == ["3%"]
+
+
+def test_profile_and_catalog_are_made_of_written_sums(spark, stored):
+    """Each frame is read by the one pass that is over when the plan is made."""
+    frame = spark.read.parquet(stored)
+    for df in (profile.profile(frame, cards.TODAY),):
+        assert stored not in plan(df) and df.count() > 0
