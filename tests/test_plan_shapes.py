@@ -134,5 +134,5 @@ def test_claims_are_not_sent_to_the_driver(spark, tmp_path):
 def test_profile_and_catalog_are_made_of_written_sums(spark, stored):
     """Each frame is read by the one pass that is over when the plan is made."""
     frame = spark.read.parquet(stored)
-    for df in (profile.profile(frame, cards.TODAY),):
+    for df in (profile.profile(frame, cards.TODAY), catalog.catalog(frame), catalog.list_values(frame, "merchant")):
         assert stored not in plan(df) and df.count() > 0
