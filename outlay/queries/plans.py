@@ -400,7 +400,7 @@ WANTED = ["blue anvil", "Gizmo", "small rign", "anvl blue", "hot ro", "qqqq", "L
   GROUP BY 1""",
 )
 def exact(s):
-    return resolve.exact_or_containing(WANTED, s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")))
+    return resolve.exact_or_containing(WANTED, s.merchant_names)
 
 
 # The block ratio of every request and merchant: equal cells, stretches along diagonals, and parts around the longest stretch.
@@ -432,7 +432,7 @@ _RATIOS = (
   CASE WHEN exact IS NOT NULL THEN 'exact' WHEN containing = 1 THEN 'contains' WHEN close IS NOT NULL THEN 'close' END AS how FROM r""",
 )
 def matched(s):
-    return resolve.match_values(WANTED, s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")))
+    return resolve.match_values(WANTED, s.merchant_names)
 
 
 @query(
@@ -442,7 +442,7 @@ def matched(s):
 )
 def closest(s):
     """The letters of the names are indexed in a table of their own first, as a service would keep them."""
-    names, folder = s.frame.where(is_analyzed()).select(F.col("merchant").alias("value")), scratch_dir(s.spark, "names")
+    names, folder = s.merchant_names, scratch_dir(s.spark, "names")
     resolve.name_index(names).write.partitionBy("kind").parquet(folder)
     return resolve.closest(WANTED, names, index=s.spark.read.parquet(folder))
 
@@ -461,5 +461,5 @@ def repaired(s):
     asked = AnalysisSpec(
         group_by="merchant", filters={"category": "travle", "merchant": "gizmo"}, date_from="2001-07", date_to="2001-09"
     )
-    spec, _ = repair(asked, s.frame, TODAY)
-    return analyze(s.frame, spec, Context(TODAY)).table
+    spec, _ = repair(asked, s.stored_frame, TODAY)
+    return analyze(s.stored_frame, spec, Context(TODAY)).table

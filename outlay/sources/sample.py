@@ -11,9 +11,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outlay.functions.categories import is_analyzed
 from outlay.operators.gold import fact_transactions
 from outlay.session import scratch_dir
-from outlay.sources.tables import analysis_frame, extend_merchants, read_merchants
+from outlay.sources.tables import analysis_frame, extend_merchants, read_merchants, write_table
 
 RAW_CATEGORIES = (
     "Groceries", "Restaurant-Restaurants", "Transportation-Airlines", "Travel", "Bills & Utilities", "Personal",
@@ -192,6 +193,20 @@ class Sample:
         extend_merchants(self.facts, path)
         return analysis_frame(self.facts, merchants=read_merchants(self.spark, path))
 
+    @cached_property
+    def stored_frame(self) -> DataFrame:
+        """The frame, written once for questions that read it several times."""
+        path = scratch_dir(self.spark, "frame")
+        write_table(self.frame, path)
+        return self.spark.read.schema(self.frame.schema).parquet(path)
+
+    @cached_property
+    def merchant_names(self) -> DataFrame:
+        """(value) the merchant of every description of an analyzed row, from a dictionary table."""
+        path = scratch_dir(self.spark, "merchants")
+        extend_merchants(self.facts.where(is_analyzed()), path)
+        return read_merchants(self.spark, path).select(F.col("merchant").alias("value"))
+
     @cached_property
     def raw_lines(self) -> DataFrame:
         return self.bind(RAW_LINES)

@@ -136,3 +136,24 @@ def test_profile_and_catalog_are_made_of_written_sums(spark, stored):
     frame = spark.read.parquet(stored)
     for df in (profile.profile(frame, cards.TODAY), catalog.catalog(frame), catalog.list_values(frame, "merchant")):
         assert stored not in plan(df) and df.count() > 0
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """Four lines of two orders and two parts."""
+    root = str(tmp_path_factory.mktemp("tiny"))
+    lines = [(1, 1, 7, 1, 5.0, 100.0, 0.01, "N", "O"), (1, 2, 8, 2, 6.0, 50.5, 0.02, "A", "F"), (2, 1, 7, 1, 7.0, 20.0, 0.0, "R", "O"), (2, 2, 7, 2, 8.0, 30.0, 0.08, "N", "F")]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, kind).withColumn("l_shipdate", F.to_date(F.lit("2001-09-03"))).write.parquet(root + "/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (2, "2-HIGH")], "o_orderkey long, o_orderpriority string").write.parquet(root + "/orders.parquet")
+    spark.createDataFrame([(1, "blue anvil"), (2, "hot rod")], "p_partkey long, p_name string").write.parquet(root + "/part.parquet")
+    return root
+
+
+def test_names_and_frames_are_read_from_written_tables(spark, tiny):
+    s = Sample(spark, tiny)
+    for df in (s.merchant_names, s.stored_frame):
+        assert "lineitem" not in plan(df)
+    assert {r.value for r in s.merchant_names.collect()} == {"Blue Anvil", "Hot Rod"}
+    for df in (s.stored_frame, s.named_frame):
+        assert df.exceptAll(s.frame).count() == s.frame.exceptAll(df).count() == 0
