@@ -157,3 +157,9 @@ def test_names_and_frames_are_read_from_written_tables(spark, tiny):
     assert {r.value for r in s.merchant_names.collect()} == {"Blue Anvil", "Hot Rod"}
     for df in (s.stored_frame, s.named_frame):
         assert df.exceptAll(s.frame).count() == s.frame.exceptAll(df).count() == 0
+
+
+def test_a_percent_text_computes_its_percent_once(spark, tiny):
+    shown = registry()["f19_percent_text"].build(Sample(spark, tiny))
+    assert plan(shown).count(" div ") == 1
+    assert sorted(r.shown for r in shown.collect())[-1] == "no percentage (previous amount was $0.00)"
