@@ -122,7 +122,7 @@ def union(s):
 def _export_folder(s, issuer: str) -> str:
     folder = scratch_dir(s.spark, f"exports-{issuer.lower()}")
     raw = s.raw_export(issuer)
-    raw.write.partitionBy("file_name").option("header", "true").option("escape", '"').csv(folder)
+    raw.write.partitionBy("file_name").options(**cards.EXPORT_OPTIONS).csv(folder)
     return folder
 
 

@@ -71,7 +71,7 @@ def landing(s):
     personal = ("Card Member", "Account #")
     for part in ("file_name = 'f1'", "file_name <> 'f1'"):
         rows = raw.where(part).drop("file_name")
-        rows.write.mode("append").option("header", "true").option("escape", '"').csv(source)
+        rows.write.mode("append").options(**cards.EXPORT_OPTIONS).csv(source)
         land_new_exports(s.spark, source, target, checkpoint, cards.AMEX, personal, archive).awaitTermination()
     landed = cards.read_exports(s.spark, target, cards.AMEX, personal)
     return landed.agg(

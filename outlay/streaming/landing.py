@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.sources.cards import Layout, csv_options, without_personal
+from outlay.sources.cards import EXPORT_OPTIONS, Layout, csv_options, without_personal
 
 
 def land_new_exports(
@@ -31,7 +31,7 @@ def land_new_exports(
 
     def save(batch: DataFrame, number: int) -> None:
         landed = without_personal(batch, dropped)
-        landed.write.mode("overwrite").option("header", "true").option("escape", '"').csv(f"{target}/batch={number}")
+        landed.write.mode("overwrite").options(**EXPORT_OPTIONS).csv(f"{target}/batch={number}")
 
     return (
         rows.writeStream.foreachBatch(save)

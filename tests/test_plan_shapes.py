@@ -163,3 +163,10 @@ def test_a_percent_text_computes_its_percent_once(spark, tiny):
     shown = registry()["f19_percent_text"].build(Sample(spark, tiny))
     assert plan(shown).count(" div ") == 1
     assert sorted(r.shown for r in shown.collect())[-1] == "no percentage (previous amount was $0.00)"
+
+
+def test_exports_are_written_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("1", 'two\nlines, "quoted"')], "a string, b string")
+    exports.write_export(rows, str(tmp_path / "out"))
+    names = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
