@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from outlay.functions.text import search_tokens
 
 BUCKETS = 256
+#: Tokens of a batch for each task that sorts and writes postings.
+TASK_TOKENS = 1_000_000
 _SCHEMAS = {
     "settings": "buckets int",
     "documents": "id long, length long, batch string",
@@ -64,18 +66,54 @@ def _live(rows: DataFrame, path: str) -> DataFrame:
     return done.join(_dead(spark, path), ["id", "batch"], "left_anti")
 
 
+def _counted(tokens: DataFrame, mine: DataFrame) -> DataFrame:
+    """(term, id, length, tf) of facts (id, length, t) with sorted tokens; ``mine`` has id and length of the same facts.
+
+    Terms are counted where a run of equal tokens ends, inside their text, so a task holds one fact's terms at a time. Facts
+    that are alike in id and length are one, which needs a grouping of these alone.
+    """
+    last = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: ~F.get("t", i).eqNullSafe(F.get("t", i + 1)))
+    ends = tokens.select("id", "length", "t", F.when(F.size("t") > 0, last).alias("ends"))
+    count = lambda e, k: F.struct(F.get("t", e).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(-1))).cast("long").alias("tf"))
+    counts = ends.select("id", "length", F.transform("ends", count).alias("counts"))
+
+    def terms(rows: DataFrame) -> DataFrame:
+        # A row of the explosion carries no text. The plain explosion would have the planner test the array's size below, where it is made again for each token.
+        return rows.select("id", "length", F.explode_outer("counts").alias("c")).where("c IS NOT NULL").select("c.term", "id", "length", "c.tf")
+
+    alike = mine.groupBy("id", "length").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("length").alias("_length"))
+    if alike.isEmpty():
+        return terms(counts)
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("length") == F.col("_length"))
+    summed = terms(counts.join(alike, same, "left_semi")).groupBy("term", "id", "length").agg(F.sum("tf").alias("tf"))
+    return terms(counts.join(alike, same, "left_anti")).unionByName(summed)
+
+
+def _dealt(rows: DataFrame, tasks: int, buckets: int) -> DataFrame:
+    """Rows dealt to about so many tasks by their bucket, or by bucket and fact where there are more tasks than buckets.
+
+    The number of tasks follows the tokens, so what one task sorts does not grow with the batch.
+    """
+    slices = -(-tasks // buckets)
+    place = F.col("bucket") * slices + F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    count = tasks if slices == 1 else buckets * slices
+    return rows.repartitionById(count, F.pmod(place, F.lit(count)))
+
+
 def append(facts: DataFrame, path: str) -> str:
     """Add facts (id, fact_key, fact_text), ids unique among them, and take the place of those that have their ids. Returns the batch's name."""
     spark, batch = facts.sparkSession, uuid.uuid4().hex
     named, buckets = F.lit(batch).alias("batch"), _buckets(spark, path)
     tokens = facts.select("id", fact_tokens(facts).alias("t"))
-    # Terms of a fact meet in its own task, so the shuffle carries each of them once.
-    terms = tokens.select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    rows = terms.select("term", "id", "tf", "length", named, bucket_of(F.col("term"), buckets).alias("bucket"))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    own = f"{path}/documents"
-    tokens.select("id", F.size("t").cast("long").alias("length"), named).write.mode("append").parquet(own)
+    length = F.size("t").cast("long").alias("length")
+    tokens.select("id", length, named).write.mode("append").parquet(f"{path}/documents")
     mine = _read(spark, path, "documents").where(F.col("batch") == batch)
+    rows = _counted(tokens.select("id", length, F.sort_array("t").alias("t")), mine)
+    rows = rows.select("term", "id", "tf", "length", bucket_of(F.col("term"), buckets).alias("bucket"))
+    total = mine.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    rows = _dealt(rows, max(1, -(-total // TASK_TOKENS)), buckets).sortWithinPartitions("bucket", "term")
+    # The batch's name is added after the sort, which need not hold it.
+    rows.select("term", "id", "tf", "length", named, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     old = _live(_read(spark, path, "documents"), path).join(mine.select("id"), "id", "left_semi")
     old.select("id", "batch", F.lit(batch).alias("by")).write.mode("append").parquet(f"{path}/replaced")
     change = mine.select(F.lit(1).alias("n"), "length").unionByName(old.select(F.lit(-1).alias("n"), (-F.col("length")).alias("length")))

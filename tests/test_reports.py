@@ -313,6 +313,31 @@ def test_stored_index_grows_by_batches(spark, tmp_path):
     assert search.bm25(facts, "absent words", index=path).count() == 0
 
 
+def test_tasks_of_an_index_append_do_not_grow_with_the_batch(spark, tmp_path, monkeypatch):
+    """Files, one a task and bucket, hold about as many postings for four times the facts."""
+    monkeypatch.setattr(search_index, "TASK_TOKENS", 1000)
+    kind, most = "id long, fact_key string, fact_text string", []
+    for n in (200, 800):
+        path = str(tmp_path / f"index{n}")
+        rows = [(i, "key", " ".join(f"word{(i * j) % 97}" for j in range(1, 20))) for i in range(n)]
+        search_index.create(spark, path, 2)
+        search_index.append(spark.createDataFrame(rows, kind), path)
+        stored = spark.read.parquet(path + "/postings").withColumn("file", F.input_file_name())
+        most.append(max(r["count"] for r in stored.groupBy("file").count().collect()))
+        want = Counter((i, t) for i, k, text in rows for t in f"{k} {text}".split())
+        assert {(r.id, r.term): r.tf for r in stored.collect()} == want
+    assert max(most) < 1500
+
+
+def test_facts_alike_in_id_and_length_are_one(spark, tmp_path):
+    path = str(tmp_path / "index")
+    search_index.create(spark, path, 2)
+    rows = [(1, "a1", "trip trip rent"), (1, "a1", "trip rent rent"), (2, "a1", "trip"), (None, "", "rent"), (None, "", "rent"), (3, "", "")]
+    search_index.append(spark.createDataFrame(rows, "id long, fact_key string, fact_text string"), path)
+    got = {(r.term, r.id, r.tf, r.length) for r in spark.read.parquet(path + "/postings").collect()}
+    assert got == {("a1", 1, 2, 4), ("trip", 1, 3, 4), ("rent", 1, 3, 4), ("a1", 2, 1, 2), ("trip", 2, 1, 2), ("rent", None, 2, 1)}
+
+
 def test_search(spark):
     vectors = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.6, 0.8], 4: None, 5: [1.0, 0.0, 0.0]}
     rows = [(i, k, t, 1.0, f"2026-01-0{i}", vectors[i], "m" if i != 2 else "old") for i, k, t in FACTS]
