@@ -12,7 +12,8 @@ A line is removed if some earlier line matches it, whether that one is removed o
    all three are bounds, so no match is lost. A semi join finds the sets with a possible earlier match (it stops at
    the first, so a group of k near-copies costs k rows and not k * k), and a window names for each the first set
    of its word and size class, the likely partner.
-4. Partners are verified word by word. Sets whose partner fails meet all their possible partners, and those are verified.
+4. Partners are verified word by word. Sets whose partner fails meet all their possible partners in a semi join that
+   compares the words themselves, so no pairs are written: a group of k sets costs k rows.
 5. Removed lines are dropped from their documents. Documents without a removed line are not shuffled.
 
 Words are verified by 64-bit hashes; set names have 128 bits. Bit tables of fixed size (512 KB) keep rows that cannot matter out of
@@ -199,17 +200,39 @@ def _partners(found: DataFrame, suspects: DataFrame) -> DataFrame:
 # ----- verification -----
 
 
+def _words_at(named: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, line, h): the distinct words, as hashes, of the lines at the places (doc, line), and of some others."""
+    sieve = Sieve(places, "doc", "line")
+    words = _lines(named).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
+    # Rows that are equal in id and text give a place twice.
+    return words.groupBy("doc", "line").agg(F.min("h").alias("h"))
+
+
+def _match(h: str, hy: str) -> Column:
+    """Whether two sets of words match."""
+    return F.size(F.array_intersect(h, hy)) * (TOP + BOTTOM) >= (F.size(h) + F.size(hy)) * TOP
+
+
 def _verified(named: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the pairs (doc, line, ydoc, yline) whose lines match word by word."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("ydoc").alias("doc"), F.col("yline").alias("line")))
-    sieve = Sieve(ends, "doc", "line")
-    words = _lines(named).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
-    # Rows that are equal in id and text give a place twice.
-    words = words.groupBy("doc", "line").agg(F.min("h").alias("h"))
+    words = _words_at(named, ends)
     y = words.select(F.col("doc").alias("ydoc"), F.col("line").alias("yline"), F.col("h").alias("hy"))
     both = pairs.join(y, ["ydoc", "yline"]).select("doc", "line", "hy").join(words, ["doc", "line"])
-    common = F.size(F.array_intersect("h", "hy"))
-    return both.where(common * (TOP + BOTTOM) >= (F.size("h") + F.size("hy")) * TOP).select("doc", "line").distinct()
+    return both.where(_match("h", "hy")).select("doc", "line").distinct()
+
+
+def _verified_rest(named: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
+    """(doc, line) of postings ``mine`` that match, word by word, one of ``others`` with their word.
+
+    Pairs are never rows: of the others those stay that some of ``mine`` may match, then a semi join compares the words
+    and stops at the first match.
+    """
+    may = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y")
+    near = stored(others.alias("y").join(mine.alias("x"), may, "left_semi"), "near")
+    words = stored(_words_at(named, mine.select("doc", "line").unionByName(near.select("doc", "line"))), "words")
+    x, y = mine.join(words, ["doc", "line"]), near.join(words, ["doc", "line"])
+    return x.alias("x").join(y.alias("y"), may & _match("x.h", "y.h"), "left_semi").select("doc", "line").distinct()
 
 
 def _matched(named: DataFrame, found: DataFrame) -> DataFrame:
@@ -224,9 +247,7 @@ def _matched(named: DataFrame, found: DataFrame) -> DataFrame:
     mine = stored(_postings(found.join(left, ["doc", "line"], "left_semi")), "postings")
     sieve = Sieve(mine, "token")
     others = _postings(found).where(sieve.may_hold(F.col("token")))
-    pairs = mine.alias("x").join(others.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y"))
-    pairs = pairs.select("x.doc", "x.line", F.col("y.doc").alias("ydoc"), F.col("y.line").alias("yline")).distinct()
-    return done.unionByName(_verified(named, stored(pairs, "pairs")))
+    return done.unionByName(_verified_rest(named, mine, others))
 
 
 # ----- removal -----

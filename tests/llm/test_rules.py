@@ -155,6 +155,23 @@ def test_chain_of_lines_whose_likely_partner_fails(spark):
     assert got == _removed(docs) and got[3] == ""
 
 
+def test_near_misses_make_no_pairs(spark, monkeypatch):
+    """Lines that share most words with all others but match few: what is written grows with the lines, not with their pairs."""
+    rng, words = random.Random(5), [f"w{k}" for k in range(20)]
+    docs = [(i, " ".join(words[:15] + [f"{w}x{rng.randrange(40)}" if rng.random() < 0.7 else w for w in words[15:]])) for i in range(150)]
+    sizes, plain = {}, line_dedup.stored
+
+    def counted(df, label, **options):
+        out = plain(df, label, **options)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _removed(docs) and 0 < sum(t == "" for t in got.values()) < 150
+    assert "near" in sizes and max(sizes.values()) <= 150 * 5
+
+
 # ----- language model -----
 
 
