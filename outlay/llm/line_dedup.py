@@ -9,15 +9,15 @@ A line is removed if some earlier line matches it, whether that one is removed o
    their n - ceil(4n/5) + 1 rarest. Words that occur only once are left out of the prefix, as nothing shares them.
    Sets of fewer than four words match equal sets only and have no prefix.
 3. Rows that share a prefix word meet. Sizes, positions and a 64-bit parity sketch of the sets rule out nearly all;
-   all three are bounds, so no match is lost. A semi join finds the sets with a possible earlier match (it stops at
-   the first, so a group of k near-copies costs k rows and not k * k), and a window names for each the first set
-   of its word and size class, the likely partner.
+   all three are bounds, so no match is lost. A semi join over all of them finds the sets with a possible match (it stops
+   at the first, so a group of k near-copies costs k rows and not k * k). Among these few a semi join finds the sets with a
+   possible earlier match, and a window names for each the first set of its word and size class, the likely partner.
 4. Partners are verified word by word. Sets whose partner fails meet all their possible partners in a semi join that
    compares the words themselves, so no pairs are written: a group of k sets costs k rows.
 5. Removed lines are dropped from their documents. Documents without a removed line are not shuffled.
 
-Words are verified by 64-bit hashes; set names have 128 bits. Bit tables of fixed size (512 KB) keep rows that cannot matter out of
-shuffles; when they fill up they let more rows through, never fewer.
+Words are verified by 64-bit hashes; set names have 128 bits. Bit tables of a byte for each row, 512 KB at least, keep nearly all
+rows that cannot matter out of shuffles; none that matters is lost.
 
 Null texts stay null, blank lines stay, texts that lose all lines become empty and stay as rows. A null id is
 the least. Where ids are missing or shared, a row is named by its id and a 128-bit hash of its text, so lines go from the very
@@ -33,7 +33,7 @@ from outlay.llm.common import BLANKS, stored, table
 
 #: Similarity as a ratio of whole numbers: 4/5.
 TOP, BOTTOM = 4, 5
-#: Size of the word-count table (a power of two), and longs of a bit table.
+#: Size of the word-count table (a power of two), and longs of the smallest bit table.
 BUCKETS = 1 << 17
 LONGS = 65_536
 #: Words of a set from which the whole sketch is kept.
@@ -42,7 +42,7 @@ SIZES = ("n", "parity", "half")
 _LEAST = -(1 << 63)
 
 
-# ----- tables of fixed size, read by expressions -----
+# ----- tables read by expressions -----
 
 
 class WordClasses:
@@ -54,16 +54,14 @@ class WordClasses:
     def __init__(self, hashes: DataFrame):
         counts = hashes.select(F.col("h").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
         packed = counts.selectExpr("shiftright(b, 3) AS b", "shiftleft(CAST(least(62, floor(log2(n))) AS BIGINT), 8 * (b & 7)) AS c").groupBy("b").agg(F.bit_or("c").alias("c"))
-        longs = ["0"] * (BUCKETS // 8)
+        classes = ["0"] * BUCKETS
         for row in packed.collect():  # BUCKETS / 8 rows at most
-            longs[row.b] = str(row.c)
-        self.table = F.split(F.lit(",".join(longs)), ",").cast("array<bigint>")
+            classes[8 * row.b : 8 * row.b + 8] = [str(row.c >> 8 * i & 63) for i in range(8)]
+        self.table = F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
     def of(self, h: Column) -> Column:
         """0 only for the one occurrence of a word."""
-        b = h.bitwiseAND(BUCKETS - 1).cast("int")
-        byte = F.call_function("shiftright", F.get(self.table, F.shiftright(b, 3)), b.bitwiseAND(7) * 8)
-        return byte.bitwiseAND(63)
+        return F.get(self.table, h.bitwiseAND(BUCKETS - 1).cast("int"))
 
 
 def _dense(pairs: DataFrame, size: int, kind: str) -> DataFrame:
@@ -77,14 +75,16 @@ class Sieve:
     """Whether a row may be among the rows the sieve was made of: false positives, no false negatives."""
 
     def __init__(self, rows: DataFrame, *names: str):
+        # Eight bits for each row, so that the share of false positives does not grow with the rows.
+        self.longs = max(LONGS, 1 << (rows.count() // 8).bit_length())
         h = F.xxhash64(*names)
-        pairs = rows.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(LONGS)).cast("int").alias("b"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(" + ", ".join(names) + "), 64) AS INT))").alias("c"))
+        pairs = rows.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(self.longs)).cast("int").alias("b"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(" + ", ".join(names) + "), 64) AS INT))").alias("c"))
         bits = pairs.groupBy("b").agg(F.bit_or("c").alias("c"))
-        self.table = stored(_dense(bits, LONGS, "bigint"), "sieve")
+        self.table = stored(_dense(bits, self.longs, "bigint"), "sieve")
 
     def may_hold(self, *cols: Column) -> Column:
         h = F.xxhash64(*cols)
-        word = F.get(self.table.scalar(), F.pmod(F.shiftrightunsigned(h, 6), F.lit(LONGS)).cast("int"))
+        word = F.get(self.table.scalar(), F.pmod(F.shiftrightunsigned(h, 6), F.lit(self.longs)).cast("int"))
         return F.getbit(word, F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
@@ -117,12 +117,9 @@ def _words(t: Column) -> Column:
 
 def _keys(t: Column, classes: WordClasses) -> Column:
     """Distinct words as longs that sort from rare to frequent: six bits of class, then 57 bits of hash."""
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(classes.of(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(t), ""), key)))
+    # Functions over arrays are evaluated as they are written: a word is hashed once, and equal words are dropped first.
+    hashes = F.array_distinct(F.transform(F.array_remove(_words(t), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(classes.of(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def keyed_lines(named: DataFrame, classes: WordClasses) -> DataFrame:
@@ -145,9 +142,9 @@ def keyed_lines(named: DataFrame, classes: WordClasses) -> DataFrame:
 
 
 def sets(lines: DataFrame) -> DataFrame:
-    """One row for each distinct set, with its first line (doc, line)."""
+    """One row for each distinct set, with its first line (doc, line) and the number of its lines."""
     rows = lines.select("s1", "s2", F.struct("doc", "line", *SIZES, "lone", "prefix").alias("first"))
-    return rows.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("s1", "s2", "first.*")
+    return rows.groupBy("s1", "s2").agg(F.min("first").alias("first"), F.count("*").alias("copies")).select("s1", "s2", "first.*", "copies")
 
 
 def _postings(found: DataFrame) -> DataFrame:
@@ -177,17 +174,26 @@ def _earlier(y: str, x: str) -> Column:
     return (F.col(f"{y}.doc") < F.col(f"{x}.doc")) | ((F.col(f"{y}.doc") == F.col(f"{x}.doc")) & (F.col(f"{y}.line") < F.col(f"{x}.line")))
 
 
-def _suspects(found: DataFrame) -> DataFrame:
-    """(doc, line) of sets with a possible earlier match."""
+def _involved(found: DataFrame) -> DataFrame:
+    """Sets with a possible match, earlier or later: all that the further steps need, after one shuffle of all postings."""
     p = _postings(found)
+    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line"))
+    semi = p.alias("x").join(p.alias("y"), (F.col("x.token") == F.col("y.token")) & other & _possible("x", "y"), "left_semi")
+    places = stored(semi.select("doc", "line").distinct(), "involved")
+    sieve = Sieve(places, "doc", "line")
+    return found.where(sieve.may_hold(F.col("doc"), F.col("line"))).join(places, ["doc", "line"], "left_semi")
+
+
+def _suspects(few: DataFrame) -> DataFrame:
+    """(doc, line) of sets with a possible earlier match."""
+    p = _postings(few)
     semi = p.alias("x").join(p.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y"), "left_semi")
     return semi.select("doc", "line").distinct()
 
 
-def _partners(found: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(doc, line, ydoc, yline): for suspects the nearest of the first sets of a shared word and size class, if it may match."""
-    sieve = Sieve(_postings(found.join(suspects, ["doc", "line"], "left_semi")).select("token"), "token")
-    p = _postings(found).where(sieve.may_hold(F.col("token")))
+def _partners(few: DataFrame) -> DataFrame:
+    """(doc, line, ydoc, yline): for each set the nearest of the first sets of a shared word and size class, if it may match."""
+    p = _postings(few)
     own = F.struct("doc", "line", *SIZES, "pos")
     band = F.floor(F.log("n") / F.log(F.lit(BOTTOM / TOP)))
     w = Window.partitionBy("token", "band").orderBy("doc", "line")
@@ -203,7 +209,8 @@ def _partners(found: DataFrame, suspects: DataFrame) -> DataFrame:
 def _words_at(named: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, line, h): the distinct words, as hashes, of the lines at the places (doc, line), and of some others."""
     sieve = Sieve(places, "doc", "line")
-    words = _lines(named).where(sieve.may_hold(F.col("doc"), F.col("line"))).select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
+    lines = named.select("doc", F.posexplode(F.split("t", "\n")).alias("line", "t")).where(sieve.may_hold(F.col("doc"), F.col("line"))).withColumn("t", F.lower("t"))
+    words = lines.select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: F.xxhash64(w))).alias("h"))
     # Rows that are equal in id and text give a place twice.
     return words.groupBy("doc", "line").agg(F.min("h").alias("h"))
 
@@ -225,11 +232,12 @@ def _verified(named: DataFrame, pairs: DataFrame) -> DataFrame:
 def _verified_rest(named: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
     """(doc, line) of postings ``mine`` that match, word by word, one of ``others`` with their word.
 
-    Pairs are never rows: of the others those stay that some of ``mine`` may match, then a semi join compares the words
-    and stops at the first match.
+    Pairs are never rows: of the others those stay that some of ``mine`` may match, of ``mine`` those that may match one of
+    them; these few meet with their words in a semi join that stops at the first match.
     """
     may = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y")
     near = stored(others.alias("y").join(mine.alias("x"), may, "left_semi"), "near")
+    mine = stored(mine.alias("x").join(near.alias("y"), may, "left_semi"), "mine")
     words = stored(_words_at(named, mine.select("doc", "line").unionByName(near.select("doc", "line"))), "words")
     x, y = mine.join(words, ["doc", "line"]), near.join(words, ["doc", "line"])
     return x.alias("x").join(y.alias("y"), may & _match("x.h", "y.h"), "left_semi").select("doc", "line").distinct()
@@ -237,17 +245,16 @@ def _verified_rest(named: DataFrame, mine: DataFrame, others: DataFrame) -> Data
 
 def _matched(named: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, line) of the first lines of sets that match an earlier set."""
-    suspects = stored(_suspects(found), "suspects")
-    partners = stored(_partners(found, suspects), "partners")
+    few = stored(_involved(found), "few")
+    suspects = stored(_suspects(few), "suspects")
+    partners = stored(_partners(few), "partners")
     done = stored(_verified(named, partners), "matched")
     left = stored(suspects.join(done, ["doc", "line"], "left_anti"), "left")
     if left.isEmpty():
         return done
     # The rest meet all their possible partners.
-    mine = stored(_postings(found.join(left, ["doc", "line"], "left_semi")), "postings")
-    sieve = Sieve(mine, "token")
-    others = _postings(found).where(sieve.may_hold(F.col("token")))
-    return done.unionByName(_verified_rest(named, mine, others))
+    mine = stored(_postings(few.join(left, ["doc", "line"], "left_semi")), "postings")
+    return stored(done.unionByName(_verified_rest(named, mine, _postings(few))), "matched")
 
 
 # ----- removal -----
@@ -255,14 +262,18 @@ def _matched(named: DataFrame, found: DataFrame) -> DataFrame:
 
 def removals(named: DataFrame) -> DataFrame:
     """(doc, line) of every line to remove from rows ``with_names``."""
-    words = _lines(named).select(F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+    words = named.select(F.explode(_words(F.replace(F.lower("t"), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     classes = WordClasses(words.select(F.xxhash64("w").alias("h")))
     lines = stored(keyed_lines(named, classes), "lines")
     found = stored(sets(lines), "sets")
     matched = _matched(named, found)
-    gone = found.select("doc", "line", "s1", "s2").join(matched.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    gone = gone.select("s1", "s2", F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("doc", "line", "s1", "s2").join(gone, ["s1", "s2"]).where("gone OR doc <> fdoc OR line <> fline").select("doc", "line").distinct()
+    sieve = Sieve(matched, "doc", "line")
+    gone = found.select("doc", "line", "s1", "s2", "copies").where((F.col("copies") > 1) | sieve.may_hold(F.col("doc"), F.col("line")))
+    gone = gone.join(matched.withColumn("gone", F.lit(True)), ["doc", "line"], "left").where("copies > 1 OR gone")
+    gone = stored(gone.select("s1", "s2", F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.coalesce("gone", F.lit(False)).alias("gone")), "gone")
+    sieve = Sieve(gone, "s1", "s2")
+    rows = lines.select("doc", "line", "s1", "s2").where(sieve.may_hold(F.col("s1"), F.col("s2"))).join(gone, ["s1", "s2"])
+    return rows.where("gone OR doc <> fdoc OR line <> fline").select("doc", "line").distinct()
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -172,6 +172,31 @@ def test_near_misses_make_no_pairs(spark, monkeypatch):
     assert "near" in sizes and max(sizes.values()) <= 150 * 5
 
 
+def test_sieve_grows_with_its_rows(spark, monkeypatch):
+    """A bit table that fills up lets all rows pass, so shuffles behind it grow faster than the input."""
+    monkeypatch.setattr(line_dedup, "LONGS", 1)
+    sieve = line_dedup.Sieve(spark.range(2_000).select("id"), "id")
+    passed = spark.range(10_000).where(sieve.may_hold(line_dedup.F.col("id")))
+    assert passed.where("id < 2000").count() == 2_000 and passed.where("id >= 2000").count() < 2_000
+
+
+def test_lines_without_a_possible_match_are_shuffled_once(spark, monkeypatch):
+    """Of lines that share words only those that may match some other go on to the later steps."""
+    lines = [" ".join(prose(k, 24, 60)) for k in range(200)]
+    docs = list(enumerate(lines + [f"{line} one" for line in lines[:6]]))
+    kept, plain = {}, line_dedup.stored
+
+    def counted(df, label, **options):
+        out = plain(df, label, **options)
+        kept[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _removed(docs) and sum(t == "" for t in got.values()) >= 6
+    assert 12 <= kept["few"] <= 30
+
+
 # ----- language model -----
 
 
