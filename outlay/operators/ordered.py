@@ -12,9 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlay.session import scratch_dir
+from outlay.session import scratch_dir, write_scratch
 
 COPY_BLOCK = 100_000
+#: Overlapping files are solved in up to so many slices (a power of two), of about so many rows or more.
+COPY_SLICES, SLICE_ROWS = 16, 1_000_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -103,27 +105,42 @@ def keep_largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFram
     Number the repeats of a key inside each file; for every (key, repeat number) keep the row of the last file by
     name. So a key survives as often as it occurs in the file that has it most often.
 
-    The files are read once: identical rows of a file become one row with a count, map-side before the first shuffle,
-    and that table is written to the shared folder. All that follows reads it. A file's rows of a key are all kept
-    unless a later file has the key too, so rows meet a table that holds just the overlapping keys: small overlaps
-    are broadcast by the adaptive planner after it has measured them, large ones become a sort-merge join whose hot
-    keys it splits. Only rows of which a file keeps some copies are numbered, and only rows with copies are expanded.
+    The files are read once and written to the shared folder, dealt into slices by a hash of the keys. A slice holds
+    all rows of its keys, so slices are solved one after another, and the shuffle files of one are removed before the
+    next: the disk holds the rows, the survivors and the shuffles of one slice. Small inputs are one slice.
     """
-    spark, path, columns = rows.sparkSession, scratch_dir(rows.sparkSession, "copies"), rows.columns
-    collapsed = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
-    collapsed.write.parquet(path)
-    collapsed = spark.read.schema(collapsed.schema).parquet(path)
-    counts = collapsed.groupBy(file, *keys).agg(F.sum("_times").alias("_n"))
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "copies")
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(COPY_SLICES)).cast("int"))
+    write_scratch(dealt, path, "_slice")
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    steps = min(COPY_SLICES, 1 << (dealt.count() // SLICE_ROWS).bit_length())
+    path = scratch_dir(spark, "kept")
+    for step in range(steps):
+        part = dealt.where(F.col("_slice").isin(list(range(step, COPY_SLICES, steps)))) if steps > 1 else dealt
+        kept = _largest_copies(part.drop("_slice"), file, keys)
+        write_scratch(kept, path)
+    left = spark.read.schema(kept.schema).parquet(path)
+    return left.where("_times = 1").drop("_times").unionByName(repeat_rows(left.where("_times > 1"), "_times"))
+
+
+def _largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFrame:
+    """The rows of ``keep_largest_copies`` with a count ``_times`` in place of copies.
+
+    A file's rows of a key are all kept unless a later file has the key too, so rows meet a table that holds just the
+    overlapping keys: small overlaps are broadcast by the adaptive planner after it has measured them, large ones
+    become a sort-merge join whose hot keys it splits. Only rows of which a file keeps some copies are numbered;
+    identical ones become one row with a count, map-side, and are numbered together.
+    """
+    columns, names = rows.columns, [file, *keys]
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.desc(file)).rowsBetween(Window.unboundedPreceding, -1)
     covered = counts.withColumn("_covered", F.max("_n").over(later)).where("_covered > 0")
-    names = [file, *keys]
     covered = covered.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], "_n", "_covered")
-    joined = collapsed.join(covered, null_safe(collapsed, covered, [(c, f"_c{i}") for i, c in enumerate(names)]), "left")
-    untouched = joined.where(F.col("_covered").isNull())
+    same = null_safe(rows, covered, [(c, f"_c{i}") for i, c in enumerate(names)])
+    untouched = rows.join(covered, same, "left_anti").withColumn("_times", F.lit(1).cast("long"))
 
-    some = joined.where(F.col("_covered") < F.col("_n")).select(*columns, "_covered", "_times")
+    some = rows.join(covered.where("_covered < _n"), same).groupBy(*columns, "_covered").agg(F.count(F.lit(1)).alias("_times"))
     others = [c for c in columns if c not in names]
     placed = running_total(some, names, others, F.col("_times"), "_before") if others else some.withColumn("_before", F.lit(0))
     kept = placed.withColumn("_times", F.least(F.col("_times"), F.col("_before") + F.col("_times") - F.col("_covered"))).where("_times > 0")
-    left = untouched.select(*columns, "_times").unionByName(kept.select(*columns, "_times"))
-    return left.where("_times = 1").drop("_times").unionByName(repeat_rows(left.where("_times > 1"), "_times"))
+    return untouched.unionByName(kept.select(*columns, "_times"))

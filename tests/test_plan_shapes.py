@@ -64,6 +64,13 @@ def test_no_products(spark):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+def test_kept_copies_are_joined_before_they_are_read(spark):
+    """Shuffles of all rows are over, and removed, when the plan is made; only rows with copies are spread."""
+    rows = spark.range(10).select(F.lit("f").alias("file"), F.col("id").alias("key"), F.lit("m").alias("memo"))
+    text = plan(keep_largest_copies(rows, "file", ["key"]))
+    assert text.count("Exchange") == 1 and "Join" not in text and "Window" not in text
+
+
 def test_snapshot_reads_the_facts_once(spark, stored):
     done = snapshot.month_snapshot(spark.read.parquet(stored), "2026-09-01", 3000, 1500, savings_goal=500, category_goals={"Travel": 10})
     for df in (done.header, done.categories, done.notable, snapshot.shown_categories(done), snapshot.category_lines(done)):
