@@ -126,20 +126,21 @@ def keep_largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFram
 def _largest_copies(rows: DataFrame, file: str, keys: list[str]) -> DataFrame:
     """The rows of ``keep_largest_copies`` with a count ``_times`` in place of copies.
 
-    A file's rows of a key are all kept unless a later file has the key too, so rows meet a table that holds just the
-    overlapping keys: small overlaps are broadcast by the adaptive planner after it has measured them, large ones
-    become a sort-merge join whose hot keys it splits. Only rows of which a file keeps some copies are numbered;
-    identical ones become one row with a count, map-side, and are numbered together.
+    Identical rows of a file become one row with a count, map-side before the first shuffle. A file's rows of a key
+    are all kept unless a later file has the key too, so rows meet a table that holds just the overlapping keys: small
+    overlaps are broadcast by the adaptive planner after it has measured them, large ones become a sort-merge join
+    whose hot keys it splits. Only rows of which a file keeps some copies are numbered.
     """
     columns, names = rows.columns, [file, *keys]
-    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    collapsed = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    counts = collapsed.groupBy(*names).agg(F.sum("_times").alias("_n"))
     later = Window.partitionBy(*keys).orderBy(F.desc(file)).rowsBetween(Window.unboundedPreceding, -1)
     covered = counts.withColumn("_covered", F.max("_n").over(later)).where("_covered > 0")
     covered = covered.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], "_n", "_covered")
-    same = null_safe(rows, covered, [(c, f"_c{i}") for i, c in enumerate(names)])
-    untouched = rows.join(covered, same, "left_anti").withColumn("_times", F.lit(1).cast("long"))
+    same = null_safe(collapsed, covered, [(c, f"_c{i}") for i, c in enumerate(names)])
+    untouched = collapsed.join(covered, same, "left_anti")
 
-    some = rows.join(covered.where("_covered < _n"), same).groupBy(*columns, "_covered").agg(F.count(F.lit(1)).alias("_times"))
+    some = collapsed.join(covered.where("_covered < _n"), same).select(*columns, "_covered", "_times")
     others = [c for c in columns if c not in names]
     placed = running_total(some, names, others, F.col("_times"), "_before") if others else some.withColumn("_before", F.lit(0))
     kept = placed.withColumn("_times", F.least(F.col("_times"), F.col("_before") + F.col("_times") - F.col("_covered"))).where("_times > 0")
